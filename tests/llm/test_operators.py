@@ -1,0 +1,514 @@
+"""Every operator against a brute-force version over the small tables, and on odd rows."""
+
+import base64
+import collections
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from kestrelog.llm import bpe, decontaminate, html, huffman, jaccard, langid, licenses, linededup, queries, toxicity, trie
+from kestrelog.llm.common import components
+
+SF = "/root/testdata/sf0.01"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, row string, hits string"
+ODD = ["", None, " ", "one", "one two", "a b c", "a b c", "A B C", "x" * 5000, "\n\n\n\n", "naïve café ça", "日本語 テスト", "tab\tand\x1cfs  two", "word " * 4000, "it's 3.14 I'll", "  lead and trail  ", " wide　space\x85nel", "😀 emoji 👩‍👩‍👧"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def rows(docs):
+    return {r.doc_id: r for r in docs.collect()}
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Odd texts, a repeated row, a null id, columns that clash with those operators add."""
+    data = [(i, t, None, None, None, 0.5, "r", "h") for i, t in enumerate(ODD)] + [(3, "one", None, None, None, 0.5, "r", "h"), (None, "no id", "en", "s", 1, None, None, None)]
+    return spark.createDataFrame(data, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def sha(x):
+    return hashlib.sha256(x.encode() if isinstance(x, str) else x).hexdigest()
+
+
+# 1 byte-level BPE
+
+
+def tiktoken_encoding():
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe_equals_tiktoken(spark, rows, odd):
+    enc = tiktoken_encoding()
+    for got in [queries.op1_bpe(spark, SF).collect(), bpe.bpe_round_trip(odd, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).collect()]:
+        texts = {i: r.text for i, r in rows.items()} if len(got) == len(rows) else dict(enumerate(ODD)) | {None: "no id"}
+        for r in got:
+            text = texts[r.doc_id] or ""
+            ids = enc.encode_ordinary(text)
+            assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(text)), (r.doc_id, text[:50])
+
+
+def test_bpe_long_pre_tokens():
+    enc = tiktoken_encoding()
+    codec = bpe.BytePairCodec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    rng = np.random.default_rng(1)
+    for text in ["".join(rng.choice(list("abcdeö"), 3000)), "a" * 2000, " " * 1500 + "x", "!?" * 900, "the" * 3000, "\n" * 99 + " \n x"]:
+        assert codec.encode(text) == enc.encode_ordinary(text)
+        assert codec.decode(codec.encode(text)) == text.encode()
+
+
+def test_rank_queue_is_a_priority_queue():
+    rng = np.random.default_rng(0)
+    q, entries = bpe.RankQueue(50_000), [(int(a), int(b)) for a, b in zip(rng.integers(0, 50_000, 3000), rng.integers(0, 90, 3000))]
+    for e in entries:
+        q.push(*e)
+    assert [q.pop() for _ in entries] == sorted(entries) and not q.top
+
+
+# 2 decontamination
+
+
+def edit_distance(item, text):
+    """Least edit distance of item to a substring of text, by the plain table."""
+    row = [0] * (len(text) + 1)
+    for i, a in enumerate(item, 1):
+        new = [i]
+        for j, b in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (a != b)))
+        row = new
+    return min(row)
+
+
+def test_myers_equals_the_table():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        a, b = ("".join(rng.choice(list("abc "), n)) for n in rng.integers(1, 40, 2))
+        d = edit_distance(a, b)
+        assert (decontaminate.myers(a, b, 99) or (99,))[0] == min(d, len(a)) and (decontaminate.myers(a, b, d - 1) is None)
+
+
+def test_decontamination(spark, docs, rows):
+    items = {r.item_id: decontaminate.normal(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    got = {r.doc_id: r for r in queries.op2_decontaminate(spark, SF).collect()}
+    assert set(got) == set(rows)
+    n = 0
+    for i, r in rows.items():
+        text = decontaminate.normal(r.text)
+        inside = {k for k, t in items.items() if t in text}
+        assert inside <= {int(x) for x in got[i].item_ids.split(",") if x}
+        n += bool(inside)
+        for k in {int(x) for x in got[i].item_ids.split(",") if x} - inside:
+            assert edit_distance(items[k], text) <= int(0.08 * len(items[k]))
+    assert 0 < n < len(rows) / 5
+
+
+def test_decontamination_finds_edited_items(spark, odd, empty):
+    rng = np.random.default_rng(5)
+    item = "The quick brown fox jumps over the lazy dog while seven wizards quietly box five jugs of liquid"
+    texts, near = [], []
+    for i in range(60):
+        t = list(item)
+        for _ in range(i % 12):
+            at = int(rng.integers(0, len(t)))
+            t[at : at + 1] = rng.choice(["", "x", "yz"])
+        text = "Some words first. " + "".join(t).upper() + "\n and after."
+        texts.append((i, text))
+        near.append(edit_distance(decontaminate.normal(item), decontaminate.normal(text)) <= int(0.08 * len(item)))
+    bench = spark.createDataFrame([(1, item), (2, ""), (3, None), (None, "x"), (1, item), (4, "one")], "item_id long, text string")
+    got = {r.doc_id: "1" in r.item_ids.split(",") for r in decontaminate.contaminated(spark.createDataFrame(texts, "doc_id long, text string"), bench).collect()}
+    assert [got[i] for i in range(60)] == near and 10 < sum(near) < 60
+    r = {x.doc_id: x.item_ids for x in decontaminate.contaminated(odd, bench).collect()}
+    assert r[3] == "4" and r[4] == "4" and r[0] == r[1] == ""
+    assert decontaminate.contaminated(empty, bench).count() == 0
+    assert decontaminate.contaminated(odd, bench.limit(0)).filter("n_items > 0").count() == 0
+    assert decontaminate.clean(odd, bench).columns == odd.columns
+
+
+# 3 Jaccard join
+
+
+def shingles(text, width):
+    w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+    w = [bytes(c + 32 if 65 <= c <= 90 else c for c in x) for x in w]
+    return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
+
+
+def brute_components(texts, width, percent):
+    sets = {i: shingles(t, width) for i, t in texts.items()}
+    ids = sorted(sets)
+    parent = {i: i for i in ids}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    index = collections.defaultdict(list)
+    for i in ids:
+        shared = collections.Counter(j for s in sets[i] for j in index[s])
+        for j, n in shared.items():
+            if 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+        for s in sets[i]:
+            index[s].append(i)
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def near_copies(seed, n, words, vocabulary=3000):
+    """Groups of texts with 0 to many words changed, around the threshold, and chains of them."""
+    rng = np.random.default_rng(seed)
+    out = {}
+    while len(out) < n:
+        base = [f"w{x}" for x in rng.integers(0, vocabulary, int(rng.integers(1, words)))]
+        for _ in range(int(rng.integers(1, 12))):
+            t = list(base)
+            for _ in range(int(rng.integers(0, 2 + len(t) // 25))):
+                t[int(rng.integers(0, len(t)))] = f"w{rng.integers(0, vocabulary)}"
+            if rng.random() < 0.3:
+                base = t
+            out[len(out)] = " ".join(t)
+    return out
+
+
+def test_jaccard_query(spark, rows):
+    want = brute_components({i: r.text for i, r in rows.items()}, 3, 90)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op3_jaccard(spark, SF).collect()}
+    assert got == want and len({c for _, c in want.values()}) < len(want)
+
+
+@pytest.mark.parametrize(("width", "percent", "words", "documents"), [(3, 90, 120, None), (5, 80, 200, None), (2, 80, 14, 10**9), (3, 90, 40, 10**10), (1, 50, 30, None)])
+def test_jaccard_near_the_threshold(spark, width, percent, words, documents):
+    texts = near_copies(width * percent, 400, words, 30 if width == 1 else 3000)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_classes(df, width, percent, documents=documents).collect()}
+    assert got == brute_components(texts, width, percent)
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_signatures_of_linked_sets_meet(percent):
+    """The pigeonhole holds for every size and plan: whatever may link shares a signature."""
+    rng = np.random.default_rng(percent)
+    for documents in (1, 10**5, 10**9):
+        plans = jaccard.Plans(percent, documents)
+        for size in [*range(1, 60), 90, 150, 400]:
+            a = rng.integers(0, 2**63, size).astype(np.uint64)
+            for out in range(0, size + 1):
+                most = (out + size) * 100 // percent
+                add = max(0, (size - out) * 100 // percent - size)
+                if 100 * (size - out) < percent * (size + 0):
+                    break
+                b = np.concatenate([a[out:], rng.integers(0, 2**63, min(add, most)).astype(np.uint64)])
+                assert len(np.intersect1d(plans.signatures(np.unique(a)), plans.signatures(np.unique(b)))), (documents, size, out)
+
+
+def test_jaccard_odd_rows(spark, odd, empty):
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_classes(odd, 3, 90).collect()]
+    by = {i: (n, c) for i, n, c in got}
+    assert len(got) == len(ODD) + 2 and by[0] == (0, 0) and by[1] == (0, 1) and by[6] == (1, 5) and by[7] == (1, 5)
+    assert jaccard.jaccard_classes(empty).count() == 0
+
+
+def test_components(spark):
+    rng = np.random.default_rng(2)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 900, (500, 2))] + [(i, i + 1) for i in range(2000, 2300)] + [(5000, 5000 + i) for i in range(300)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(7), "t").collect()}
+    adjacent = collections.defaultdict(set)
+    for a, b in edges:
+        adjacent[a].add(b)
+        adjacent[b].add(a)
+    want = {}
+    for start in sorted(adjacent):
+        if start not in want:
+            stack = [start]
+            while stack:
+                x = stack.pop()
+                if x not in want:
+                    want[x] = start
+                    stack.extend(adjacent[x])
+    assert got == {x: c for x, c in want.items() if x != c}
+
+
+# 4 toxicity
+
+
+def test_toxicity_held_out(spark, rows):
+    got = {r.doc_id: r for r in queries.op4_toxicity(spark, SF).collect()}
+    assert set(got) == set(rows) and all(r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in got.items())
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    held = [(labels[i], r.predicted) for i, r in got.items() if r.held_out and i in labels]
+    assert sum(a == b for a, b in held) / len(held) > 0.93  # some labels are noise: junk texts without a telling word
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got.values())
+
+
+def test_toxicity_restores_words(spark, docs, odd, empty):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.fit(docs, labels, F.lit(True))
+    restorer = toxicity.Restorer(model["counts"])
+    assert [restorer.word(x) for x in ("id1ot", "plain", "stuuuupid", "w0rthless", "m-o-r-o-n", "...", "(word),")] == ["idiot", "plain", "stupid", "worthless", "moron", "", "word"]
+    assert "idiot" in [restorer.word(x) for x in restorer.words("an I d i o t here")]
+    bad = [(0, "the and of id1ot this that"), (1, "the and of m o r o n this that"), (2, "the and of stuuupid this that"), (3, "the and of this that was from")]
+    got = {r.doc_id: r.predicted for r in toxicity.score(spark.createDataFrame(bad, "doc_id long, text string"), model).collect()}
+    assert got == {0: 1, 1: 1, 2: 1, 3: 0}
+    out = toxicity.score(odd, model, carry=True)
+    assert out.count() == len(ODD) + 2 and out.select("row.*").columns == odd.columns
+    assert toxicity.score(empty, model).count() == 0
+    none = toxicity.fit(odd, labels.limit(0), F.lit(True))
+    assert {r.score for r in toxicity.score(odd, none).collect()} == {0.0}
+
+
+# 5 line dedup
+
+
+def brute_lines(texts):
+    first, windows = {}, []
+    for i in sorted(texts):
+        lines = texts[i].split("\n")
+        for p in range(len(lines) - 2):
+            key = tuple(lines[p : p + 3])
+            first.setdefault(key, (i, p))
+            windows.append((i, p, key))
+    gone = collections.defaultdict(set)
+    for i, p, key in windows:
+        f = first[key]
+        if f != (i, p):
+            gone[i].update(x for x in range(p, p + 3) if not (f[0] == i and x <= f[1] + 2))
+    return {i: (len(t.split("\n")), len(gone[i]), "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i])) for i, t in texts.items()}
+
+
+def test_line_dedup(spark, rows):
+    want = brute_lines({i: r.text for i, r in rows.items()})
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text_sha256) for r in queries.op5_line_dedup(spark, SF).collect()}
+    assert got == {i: (a, b, sha(c)) for i, (a, b, c) in want.items()} and sum(b for _, b, _ in want.values()) > 0
+
+
+def test_line_dedup_odd(spark, odd, empty):
+    rng = np.random.default_rng(4)
+    texts = {i: "\n".join(rng.choice(["a", "b", "c", ""], int(rng.integers(1, 30)))) for i in range(80)}
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in linededup.dedup_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == brute_lines(texts)
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in linededup.dedup_lines(odd).collect()}
+    assert got[1] == (0, 0, None) and got[0] == (1, 0, "") and got[9] == (5, 2, "\n\n") and got[None][2] == "no id"
+    assert linededup.dedup_lines(empty).count() == 0
+
+
+# 6 language
+
+
+def test_language(spark, rows, odd, empty):
+    got = {r.doc_id: r for r in queries.op6_language(spark, SF).collect()}
+    held = [(rows[i].lang, r.lang_pred) for i, r in got.items() if r.held_out]
+    assert set(got) == set(rows) and sum(a == b for a, b in held) / len(held) > 0.95
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items())
+    text = "Über den Wolken, über uns!"
+    plain = collections.Counter()
+    for w in re.findall(r"[^\W\d_]+", text.lower()):
+        w = f"\0{w}\0"
+        plain.update(w[i : i + n] for n in (1, 2, 3) for i in range(len(w) - n + 1))
+    codes, counts = langid.ngrams(text)
+    found = {"".join(chr(x) for x in (c >> 42, c >> 21 & 0x1FFFFF, c & 0x1FFFFF) if x != 0x1FFFFF): n for c, n in zip(codes.tolist(), counts.tolist())}
+    letters = {k: n for k, n in plain.items() if k[0] != "\0"}
+    assert {k: n for k, n in found.items() if k[0] != "\0" and "\0" not in k[:-1]} == letters
+    learned = langid.profiles(odd.filter("doc_id is not null or lang = 'en'"), F.lit(True))
+    out = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(odd, learned).collect()}
+    assert out[0] == out[1] == out[9] == ("und", 0.0) and out[3] == ("en", 1.0)
+    assert {r.lang_pred for r in langid.identify(odd, {}).collect()} == {"und"}
+    assert langid.identify(empty, learned).count() == 0 and langid.profiles(empty, F.lit(True)) == {}
+
+
+# 7 main text
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">Menu</a></li></ul></nav>
+<header>Site</header><!-- ad --><div class="ad">Buy</div><div id="cookie-notice"><p>We use cookies</p></div><article><header><h1>Title &amp; more</h1></header><p><b>First
+ &eacute;t&#233; para.<br><p>Second <a href='x>y'>link</a>, a < b &lt;i&gt;</p><form><p>Mail</p></form><aside>Side</aside><ul><li>one<li>two</ul><p>Last</article><div class="comments"><p>Nice!</p></div><aside>More</aside><footer>&copy; x</footer>"""
+
+
+def test_main_text_of_a_page(spark):
+    df = spark.createDataFrame([(1, "http://a.b/c", PAGE), (2, None, None), (3, "", "plain  text"), (4, "x", "<p>a</p><p>b &am"), (5, "http://a.b/d", "<div>x<div class='nav'>y</div>z")], "page_id long, url string, html string")
+    got = {r.page_id: r for r in html.main_text(df).collect()}
+    assert got[1].text == "Title & more\nFirst été para.\nSecond link, a < b <i>\none\ntwo\nLast" and got[1].n_chars == len(got[1].text)
+    assert (got[2].text, got[2].n_chars, got[3].text, got[5].text) == ("", 0, "plain text", "x\nz")
+    assert html.main_text(df.limit(0)).count() == 0
+
+
+def test_style_tree_removes_what_a_host_repeats(spark):
+    page = "<body><div><p>{a}</p></div><div class=top><span>Welcome to the site</span></div><section><p>{a} text</p><p>More {a}</p></section><div class=end><p>Terms apply</p></div></body>"
+    df = spark.createDataFrame([(i, f"https://h.com/{i}", page.format(a=f"word{i}")) for i in range(40)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.main_text(df).collect()}
+    assert got == {i: f"word{i}\nword{i} text\nMore word{i}" for i in range(40)}
+
+
+def test_main_text_query(spark):
+    got = {r.page_id: r for r in queries.op7_main_text(spark, SF).collect()}
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        inside = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
+        want = [" ".join(__import__("html").unescape(re.sub(r"<[^>]+>", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", inside)]
+        assert got[r.page_id].text == "\n".join(x for x in want if x) and got[r.page_id].url == r.url
+
+
+# 8 exact dedup
+
+
+def test_exact_dedup(spark, rows, odd, empty):
+    groups = collections.defaultdict(list)
+    for i, r in rows.items():
+        groups[r.text or ""].append(i)
+    got = {r.doc_id: tuple(r[1:]) for r in queries.op8_exact_dedup(spark, SF).collect()}
+    assert got == {i: (max(g), len(g), i == max(g), sha(t)) for t, g in groups.items() for i in g}
+    out = trie.exact_groups(odd, "min")
+    by = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in out.collect()}
+    assert by[0] == (0, 2, True) and by[1] == (0, 2, False) and by[6] == (5, 2, False) and by[3] == (3, 2, True) and by[None] == (None, 1, True)
+    assert out.count() == len(ODD) + 2 and trie.exact_groups(empty).count() == 0
+
+
+def test_trie_with_spills():
+    rng = np.random.default_rng(6)
+    keys = [bytes(rng.choice([97, 98, 99], int(rng.integers(0, 40)))) for _ in range(4000)] + [b"p" * 60 + bytes([65 + i % 7]) * (i % 50) for i in range(500)]
+    want: dict = {}
+    for i, k in enumerate(keys):
+        old = want.get(k, (i, 0))
+        want[k] = (max(old[0], i), old[1] + 1)
+    for budget in (500, 5000, 10**9):
+        t = trie.PatriciaTrie(max, budget)
+        for i, k in enumerate(keys):
+            t.insert(k, i)
+        assert {k: (i, n) for k, i, n in t.items()} == want
+
+
+# 9 licenses
+
+
+def license_words(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+
+
+def check_licenses(got, texts):
+    phrases = {"cc-by": ["cc", "by"], "gpl": ["general", "public", "license"], "reserved": ["all", "rights", "reserved"]}
+    for r in got:
+        w = license_words(texts[r.doc_id])
+        places = {k: [i for i in range(len(w) - len(p) + 1) if w[i : i + len(p)] == p] for k, p in phrases.items()}
+        at = sorted(x for v in places.values() for x in v)
+        want = (len(w), len(at), at[0] if at else None, at[-1] if at else None, ",".join(sorted(k for k, v in places.items() if v)))
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == want, (r, want)
+        assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(",")))
+
+
+def test_licenses(spark, rows, odd, empty):
+    got = queries.op9_licenses(spark, SF).collect()
+    assert len(got) == len(rows) and sum(r.n_base for r in got) > 0
+    check_licenses(got, {i: r.text for i, r in rows.items()})
+    assert any("mit" in r.labels for r in got)
+    texts = ["All rights reserved. all RIGHTS-reserved, cc by cc by", "Licensed under the very Apache License, Version 2.0", "Licensed under CC BY-NC 4.0.", "general public", "cc\nby é cc byé", "Released under the License", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in licenses.scan(df).collect()}
+    check_licenses(out.values(), dict(enumerate(texts)))
+    assert out[1].labels == "apache-2.0" and 0.8 <= out[1].score < 1 and out[2].labels == "cc-by,cc-by-nc-4.0" and out[5].labels == "" and out[6].score == 0
+    assert licenses.scan(odd).count() == len(ODD) + 2 and licenses.scan(empty).count() == 0
+
+
+# 10 token ids
+
+
+def check_ids(got, order, texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    by, start = collections.defaultdict(list), 0
+    for r in got:
+        by[r.doc_id].append(r)
+    for i in order:
+        ids = [*t.encode(texts[i] or "", add_special_tokens=False).ids, 2]
+        r = by[i].pop(0)
+        assert (r.n_tokens, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) and r.start == start, (i, r)
+        start += len(ids)
+
+
+def test_token_ids(spark, rows, odd, empty, monkeypatch):
+    check_ids(queries.op10_token_ids(spark, SF).collect(), sorted(rows), {i: r.text for i, r in rows.items()})
+    path = public_tokenizers.path("word_bpe_49k.json")
+    got = huffman.read_ids(huffman.write_ids(odd, path, 2)).orderBy("start").collect()
+    check_ids(got, [None, 0, 1, 2, 3, 3, *range(4, len(ODD))], dict(enumerate(ODD)) | {None: "no id"})
+    assert huffman.read_ids(huffman.write_ids(empty, path, 2)).count() == 0
+
+
+@pytest.mark.parametrize(("size", "limit"), [(1, 16), (2, 16), (3, 2), (300, 9), (5000, 16)])
+def test_huffman_shards(size, limit):
+    rng = np.random.default_rng(size)
+    ids = np.minimum(rng.geometric(0.02, 100_001) - 1, size - 1).astype(np.uint16)
+    ids[:size] = np.arange(size)
+    lengths = huffman.code_lengths(np.bincount(ids), limit)
+    used = lengths[lengths > 0].astype(float)
+    assert used.max() <= limit and (2.0**-used).sum() <= 1
+    counts = np.array([0, 5, 70_000, len(ids) - 70_005])
+    image = huffman.write_shard(7, [1, None, 3, 4], counts, ids, lengths)
+    start, docs, n, back = huffman.read_shard(image, {})
+    assert (start, docs, n.tolist()) == (7, [1, None, 3, 4], counts.tolist()) and (back == ids).all()
+
+
+def test_code_lengths_are_optimal():
+    import heapq
+
+    rng = np.random.default_rng(1)
+    for n in (3, 10, 200):
+        counts = rng.integers(1, 1000, n)
+        heap, cost = list(map(int, counts)), 0
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            a, b = heapq.heappop(heap), heapq.heappop(heap)
+            cost += a + b
+            heapq.heappush(heap, a + b)
+        assert int((huffman.code_lengths(counts, 30).astype(int) * counts).sum()) == cost
+
+
+# the pipeline
+
+
+def test_pipeline(spark, rows):
+    import corpus_pipeline
+
+    docs, names = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/documents.parquet").columns
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    items = [decontaminate.normal(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    out = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = {r.doc_id: r.text for r in docs.collect()}
+        docs = stage(spark, docs, SF).cache()
+        after = {r.doc_id: r.text for r in docs.collect()}
+        assert docs.columns == names
+        gone = set(before) - set(after)
+        if name == "toxicity":
+            toxic = {i for i, t in labels.items() if t}
+            assert all(labels.get(i) != 0 for i in gone) and len(toxic & gone) > 0.8 * len(toxic)
+        elif name == "exact_dedup":
+            assert set(after) == set({t: i for i, t in sorted(before.items())}.values())
+        elif name == "jaccard_join":
+            assert set(after) == {i for i, (_, c) in brute_components(before, 5, 80).items() if i == c}
+        else:
+            assert gone == {i for i, t in before.items() if any(x in decontaminate.normal(t) for x in items)}
+        out[name] = len(gone)
+    assert all(out.values())
+    final = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    enc = tiktoken_encoding()
+    for r in final.collect():
+        assert r.token_ids == enc.encode_ordinary(rows[r.doc_id].text) and r.decoded_sha256 == sha(rows[r.doc_id].text)
+    assert {r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()} == set(after)
