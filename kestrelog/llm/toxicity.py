@@ -28,7 +28,7 @@ from kestrelog.llm.langid import _points
 #: Letters that a sign may stand for (fixed values).
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "¡": "i"}
 #: Costs of the channel, in nats.
-SWAP, DROP, DROP_SIGN, DOUBLED, REPEATED = 1.0, 8.0, 1.0, 2.0, 0.5
+SWAP, DROP, DROP_SIGN, DOUBLED, REPEATED = 1.0, 8.0, 1.0, 5.0, 0.5
 #: Hash buckets of the language model's trigram and context counts.
 TRI, BI = 1 << 17, 1 << 14
 #: Labelled rows of each class that the classifier is fitted on, at most, and its features.
