@@ -13,6 +13,7 @@ repeated results, an empty table gives an empty table.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import heapq
 import itertools
@@ -25,12 +26,15 @@ from pyspark.sql import DataFrame
 
 from kestrelog.llm.common import WHITE_SPACE, Memo, arrow_type
 
-#: Chunks whose ids a worker keeps at hand.
-CACHE = 300_000
+#: Chunks, and pre-tokens, whose ids a worker keeps at hand (about 150 MB each).
+CACHE = 700_000
 
 
 class RankQueue:
-    """Priority queue over ranks 0..size-1; within a rank the smallest position comes first."""
+    """Priority queue over ranks 0..size-1; within a rank the smallest position comes first.
+
+    :meth:`BytePairCodec.merge` works on the fields itself, in the same steps.
+    """
 
     def __init__(self, size: int):
         self.buckets: dict[int, list[int]] = {}
@@ -81,29 +85,54 @@ class BytePairCodec:
         self.split = regex.compile(own).findall
         self.uneven = re.compile(f" (?:{white}|\\Z)").search
         self.cut = re.compile(f" (?=[^{WHITE_SPACE}])").split
+        self.tokens = Memo(lambda token: self.merge(token.encode()), cache)
         self.first = Memo(self._chunk, 50_000)
         self.rest = Memo(lambda part: self._chunk(" " + part), cache)
 
     def _chunk(self, chunk: str) -> tuple[int, ...]:
-        ids: list[int] = []
-        for token in self.split(chunk):
-            ids.extend(self.merge(token.encode()))
-        return tuple(ids)
+        found = [self.tokens[token] for token in self.split(chunk)]
+        return found[0] if len(found) == 1 else tuple(itertools.chain.from_iterable(found))
 
-    def merge(self, piece: bytes) -> list[int] | tuple[int, ...]:
-        """Ids of one pre-token."""
+    def merge(self, piece: bytes) -> tuple[int, ...]:
+        """Ids of one pre-token. The rank queue stands here inline: this is the inner loop."""
         ranks = self.ranks
         if (whole := ranks.get(piece)) is not None:
             return (whole,)
-        n, queue = len(piece), self.queue
+        get, queue, n = ranks.get, self.queue, len(piece)
+        buckets, low, mid, top, heappush, heappop = queue.buckets, queue.low, queue.mid, 0, heapq.heappush, heapq.heappop
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = [-1] * n  # rank of the pair that begins here, as the queue should know it
-        for i in range(n - 1):
-            if (rank := ranks.get(piece[i : i + 2])) is not None:
-                pair[i] = rank
-                queue.push(rank, i)
-        while queue.top:
-            rank, i = queue.pop()
+        pair = [get(piece[i : i + 2], -1) for i in range(n)]  # rank of the pair that begins here
+        pair[-1] = -1
+        fresh = [(rank, i) for i, rank in enumerate(pair) if rank >= 0]
+        while True:
+            for rank, i in fresh:
+                if rank in buckets:
+                    heappush(buckets[rank], i)
+                else:
+                    buckets[rank] = [i]
+                    word = rank >> 6
+                    low[word] |= 1 << (rank & 63)
+                    mid[word >> 6] |= 1 << (word & 63)
+                    top |= 1 << (word >> 6)
+            if not top:
+                break
+            a = (top & -top).bit_length() - 1
+            word = mid[a]
+            b = (a << 6) + (word & -word).bit_length() - 1
+            word = low[b]
+            rank = (b << 6) + (word & -word).bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                low[b] = word = word & (word - 1)
+                if not word:
+                    mid[a] = word = mid[a] & (mid[a] - 1)
+                    if not word:
+                        top &= top - 1
+            fresh = ()
             if pair[i] != rank:
                 continue  # stale: a neighbour has been merged meanwhile
             j = after[i]
@@ -111,19 +140,19 @@ class BytePairCodec:
             pair[i] = pair[j] = -1
             if k < n:
                 before[k] = i
-                if (rank := ranks.get(piece[i : after[k]])) is not None:
+                if (rank := get(piece[i : after[k]])) is not None:
                     pair[i] = rank
-                    queue.push(rank, i)
+                    fresh = ((rank, i),)
             if (h := before[i]) >= 0:
-                pair[h] = -1
-                if (rank := ranks.get(piece[h:k])) is not None:
-                    pair[h] = rank
-                    queue.push(rank, h)
+                pair[h] = rank = get(piece[h:k], -1)
+                if rank >= 0:
+                    fresh = (*fresh, (rank, h))
         ids, i = [], 0
         while i < n:
-            ids.append(ranks[piece[i : after[i]]])
-            i = after[i]
-        return ids
+            k = after[i]
+            ids.append(ranks[piece[i:k]])
+            i = k
+        return tuple(ids)
 
     def encode(self, text: str) -> list[int]:
         """A match never runs across a blank that stands before a visible character, so the text is
@@ -141,6 +170,12 @@ class BytePairCodec:
         return b"".join(map(self.vocabulary.__getitem__, ids))
 
 
+@functools.cache
+def codec_of(path: str, pattern: str) -> BytePairCodec:
+    """One codec a worker process: its tables and looked-up chunks outlive a task."""
+    return BytePairCodec(path, pattern)
+
+
 def bpe_round_trip(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
     """Encode every text and decode the ids again: doc_id, n_tokens, ids_sha256, decoded_sha256, and
     token_ids array<int> if ``keep_ids``. A narrow map: no shuffle, a batch of rows at a time."""
@@ -148,7 +183,7 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, keep_ids: bool = Fa
     schema = arrow_type(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = BytePairCodec(path, pattern)
+        codec = codec_of(path, pattern)
         names = {i: str(i) for i in codec.vocabulary}
         for batch in batches:
             counts, sums, backs, kept = [], [], [], []
