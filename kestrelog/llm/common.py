@@ -64,6 +64,16 @@ class Memo(dict):
         return value
 
 
+_kept: dict[str, tuple] = {}
+
+
+def kept(kind: str, key, make):
+    """``make()``, once a worker process for each ``key``; of a kind only the last one is held."""
+    if kind not in _kept or _kept[kind][0] != key:
+        _kept[kind] = (key, make())
+    return _kept[kind][1]
+
+
 def arrow_type(ddl: str) -> pa.Schema:
     """Arrow schema of a flat DDL string of long, int, double, string, binary and boolean columns."""
     kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}

@@ -19,6 +19,7 @@ written as often as they stand; a null doc_id comes first. Extra columns are ign
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrelog.llm.common import Memo, arrow_type, materialize, remove
+from kestrelog.llm.common import arrow_type, kept, materialize, remove
 
 #: Ids in a shard (about), in a block, and between checkpoints.
 SHARD, BLOCK, STEP = 1 << 20, 1 << 15, 128
@@ -152,31 +153,33 @@ class Tokens:
     """Ids of whole texts by the tokenizers library. The tokenizer drops white space and never looks
     across it, so runs without ASCII white space are encoded once and then looked up."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.size = Tokenizer.from_file(path), None
         self.size = self.tokenizer.get_vocab_size()
         self.known: dict[bytes, tuple] = {}
+        self.word = re.compile(rb"([a-z]+)([.,;:!?]+)").fullmatch
         self.limit = limit
 
     def encode(self, texts: list[str | None]) -> list[list[tuple]]:
-        """For each text the ids of its runs."""
+        """For each text the ids of its runs. The tokenizer folds case and ends a word before a sign, so
+        a run is looked up in lower case, and as word and signs if it is a word with signs after it."""
         known = self.known
-        runs = [(t or "").encode().split() for t in texts]  # bytes.split() knows ASCII white space only
-        out = []
-        for part in runs:
-            missing = {run for run in part if run not in known}
-            if missing:
-                if len(known) > self.limit:
-                    known.clear()
-                    missing = set(part)
-                missing = list(missing)
-                for run, e in zip(missing, self.tokenizer.encode_batch([run.decode() for run in missing], add_special_tokens=False)):
-                    known[run] = tuple(e.ids)
-            out.append([known[run] for run in part])
-        return out
+        runs = [(t or "").encode().lower().split() for t in texts]  # bytes know ASCII only
+        missing = set().union(*runs).difference(known)
+        if missing:
+            if len(known) > self.limit:
+                known.clear()
+                missing = set().union(*runs)
+            cut = {run: found.groups() for run in missing if (found := self.word(run))}
+            new = list((missing - cut.keys()).union(*cut.values()).difference(known))
+            for run, e in zip(new, self.tokenizer.encode_batch_fast([run.decode() for run in new], add_special_tokens=False)):
+                known[run] = tuple(e.ids)
+            for run, (word, signs) in cut.items():
+                known[run] = known[word] + known[signs]
+        return [list(map(known.__getitem__, part)) for part in runs]
 
 
 def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, limit: int = 16, name: str = "shards") -> DataFrame:
@@ -187,7 +190,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, limit: int = 16
     raw_ddl = "part int, before long, first long, ids_n long, docs binary, has binary, counts binary, ids binary"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, before, schema = Tokens(tokenizer_path), 0, arrow_type(raw_ddl)
+        tokens, before, schema = kept("tokens", tokenizer_path, lambda: Tokens(tokenizer_path)), 0, arrow_type(raw_ddl)
         part = TaskContext.get().partitionId()
         kind = np.uint16 if tokens.size <= 1 << 16 else np.uint32
         doc_ids: list = []

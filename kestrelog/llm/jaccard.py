@@ -15,7 +15,7 @@ exact lower bound of the difference) doesn't rule out, and those are verified as
 no link.
 
 Null and empty texts have an empty set and no links. A text with fewer words than a shingle is one
-shingle. Repeated rows are copies of each other; a row without doc_id has a null component. Extra columns are
+shingle. Repeated rows are copies of each other; a row without doc_id has nulls. Extra columns are
 ignored.
 """
 
@@ -31,11 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrelog.llm.common import Memo, arrow_type, components, materialize
+from kestrelog.llm.common import Memo, arrow_type, components, kept, materialize
 
 U64 = np.uint64
 GOLD = 0x9E3779B97F4A7C15
-MASK = (1 << 64) - 1
+#: What the cost model takes a related pair to share.
+OVERLAP = 0.25
+#: Bits of a signature.
+KEY_BITS = 48
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -74,10 +77,10 @@ class Shingler:
 class Plans:
     """Size bands and their plans for Jaccard >= percent / 100 over about ``documents`` sets."""
 
-    def __init__(self, percent: int, documents: int, chance: float = 0.1):
+    def __init__(self, percent: int, documents: int, chance: float = 0.001):
         self.percent, self.documents, self.chance = percent, max(1, documents), chance
         self.edges = [1]
-        ratio = (100 / percent) ** 3
+        ratio = max(100 / percent, 1.3)
         while self.edges[-1] < 1 << 40:
             self.edges.append(max(self.edges[-1] + 1, int(self.edges[-1] * ratio)))
         self.plan = cache(self._plan)
@@ -95,33 +98,38 @@ class Plans:
         most = low + low * 100 // self.percent
         return max(0, *(s - 2 * -(-self.percent * s // (100 + self.percent)) for s in (most, most - 1)))
 
-    def _plan(self, band: int) -> tuple[int, int, bool, int]:
-        """(segments, of which one-deletion, whether weak exact segments may be left out, units needed)"""
+    def _plan(self, band: int) -> tuple[int, int, int, int]:
+        """(segments, of which one-deletion, elements that an exact segment must have, units needed).
+
+        The cheapest by signatures a set plus false candidates: ``chance`` is the part of all pairs that
+        have anything in common, as by a shared passage, and OVERLAP how much.
+        """
         low, high, units = self.edges[band], self.edges[band + 1] - 1, self.budget(band) + 1
         best = None
         for deletions in sorted({0, units // 2, *range(0, units // 2 + 1, max(1, units // 16))}):
-            exact = units - 2 * deletions
-            for extra in (0.0, 0.05, 0.1, 0.2, 0.35, 0.5):
-                m = deletions + exact + math.ceil(extra * exact)
-                t = low / m
-                strong = (m - deletions) * (1 - math.exp(-t) * (1 + t))
-                skips = strong - 2 * math.sqrt(max(0.0, strong * (1 - strong / max(1, m - deletions)))) >= exact
-                if extra and not skips:
-                    continue
-                empty = 0.0 if skips else (1 - 1 / m) ** (2 * low)
-                alike = empty + self.chance ** max(t, 2.0 if skips else 0.0)
-                near = (t + 1) ** 2 * ((1 - 1 / m) ** max(0, 2 * low - 2) + self.chance ** max(0.0, t - 1))
-                cost = (m - deletions) + deletions * (high / m + 1) + self.documents * ((m - deletions) * alike + deletions * near)
-                if best is None or cost < best[0]:
-                    best = cost, (m, deletions, skips, units)
-                if skips:
-                    break
+            need = units - 2 * deletions
+            for least in (2, 1, 0):
+                for extra in (0.0, 0.03, 0.06, 0.1, 0.2, 0.35, 0.5) if least else (0.0,):
+                    exact = need + math.ceil(extra * need)
+                    m = max(1, exact + deletions)
+                    t = low / m
+                    odds = [math.exp(-t) * t**j / math.factorial(j) for j in range(8)]
+                    share = 1 - sum(odds[:least])
+                    if least and share * exact - 2 * math.sqrt(share * (1 - share) * exact) < need:
+                        continue
+                    alone = self.chance * math.exp(-t * (1 - OVERLAP))
+                    alike = sum(alone * p * OVERLAP**j if j else p * p for j, p in enumerate(odds) if j >= least)
+                    near = (1 + t) ** 2 * (odds[0] ** 2 + sum(alone * p * OVERLAP ** max(0, j - 1) for j, p in enumerate(odds)))
+                    cost = share * exact + deletions * (high / m + 1) + self.documents * (exact * alike + deletions * near)
+                    if best is None or cost < best[0]:
+                        best = cost, (m, deletions, least, units)
         return best[1]
 
     def signatures(self, items: np.ndarray) -> np.ndarray:
+        """Keys of KEY_BITS bits of the segment subsets of a set; they propose candidates, no more."""
         out = []
         for band in self.bands(len(items)) if len(items) else ():
-            m, deletions, skips, units = self.plan(band)
+            m, deletions, least, units = self.plan(band)
             salt = _salt(self.percent, band)
             own = mix(items + salt)
             segment = ((own >> U64(32)) * U64(m) >> U64(32)).astype(np.int64)
@@ -129,8 +137,8 @@ class Plans:
             np.add.at(sums, segment, own)
             keys = mix(sums + np.arange(1, m + 1, dtype=U64) * U64(GOLD) + salt)
             exact = keys[deletions:]
-            if skips:
-                strong = counts[deletions:] >= 2
+            if least:
+                strong = counts[deletions:] >= least
                 if int(strong.sum()) + 2 * deletions >= units:
                     exact = exact[strong]
             out.append(exact)
@@ -139,28 +147,16 @@ class Plans:
                 where = segment[inside]
                 out.append(keys[:deletions])
                 out.append(mix(sums[where] - own[inside] + (where + 1).astype(U64) * U64(GOLD) + salt))
-        return np.unique(np.concatenate(out)) if out else np.empty(0, U64)
-
+        return np.unique(np.concatenate(out) >> U64(64 - KEY_BITS)) if out else np.empty(0, U64)
 
-SET_DDL = "doc_id long, n long, f1 long, f2 long, s0 long, s1 long, s2 long, s3 long, sigs binary"
 
+def planes(a: np.ndarray) -> bytes:
+    """An array of 64-bit numbers by byte planes, so that zero bytes compress away."""
+    return np.ascontiguousarray(a).view(np.uint8).reshape(-1, 8).T.tobytes()
 
-def _describe(docs: DataFrame, width: int, percent: int, documents: int, chance: float) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, plans, schema = Shingler(width), Plans(percent, documents, chance), arrow_type(SET_DDL)
-        for batch in batches:
-            n, prints, sketches, sigs = [], [], [], []
-            for text in batch.column(1):
-                items = shingle(text.as_py())
-                n.append(len(items))
-                prints.append((mix(items + U64(1)).sum(dtype=U64), mix(items + U64(GOLD)).sum(dtype=U64)))
-                bits = np.bincount((items & U64(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1
-                sketches.append(np.packbits(bits).view(np.int64))
-                sigs.append(plans.signatures(items).tobytes())
-            f, s = np.array(prints, U64).reshape(-1, 2).view(np.int64), np.array(sketches, np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *(pa.array(f[:, i].copy()) for i in range(2)), *(pa.array(s[:, i].copy()) for i in range(4)), pa.array(sigs, pa.binary())], schema=schema)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SET_DDL)
+def unplaned(data: bytes, kind) -> np.ndarray:
+    return np.frombuffer(np.frombuffer(data, np.uint8).reshape(8, -1).T.tobytes(), kind)
 
 
 def _stars(keys: np.ndarray, rows: np.ndarray):
@@ -174,41 +170,77 @@ def _stars(keys: np.ndarray, rows: np.ndarray):
     return keys[first], rows[first], (keys[other], hub[other], rows[other])
 
 
-def _star_edges(described: DataFrame, parts: int) -> DataFrame:
-    """Edges (sig, a, b) from each signature's smallest document to the others that have it."""
+def _index(docs: DataFrame, width: int, percent: int, documents: int, chance: float, parts: int) -> DataFrame:
+    """Rows about documents (sig null): doc_id, n, fingerprint f1 f2, parity sketch s0 to s3; and star
+    edges (sig, a, b) from each signature's smallest document to the others that have it.
+
+    A batch links its own rows first and passes on one row per signature, as sorted and differenced
+    keys; what is known of its documents travels along. So a hot signature reaches the task that
+    owns it once per batch.
+    """
     slots = 4 * parts
-    packed = "slot int, sigs binary, rows binary, es binary, ea binary, eb binary"
+    packed = "slot int, base long, keys binary, rows binary, es binary, ea binary, eb binary, docs binary"
+    about = 8  # numbers of a document row
+
+    def cut(keys: np.ndarray) -> np.ndarray:
+        return np.searchsorted(keys, (np.arange(slots + 1, dtype=np.float64) * (2.0**KEY_BITS / slots)).astype(U64))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = arrow_type(packed)
+        shingle, plans, schema = kept("shingler", width, lambda: Shingler(width)), Plans(percent, documents, chance), arrow_type(packed)
+        slot = 0
         for batch in batches:
-            blobs = batch.column(1).to_pylist()
-            keys = np.frombuffer(b"".join(blobs), U64)
-            rows = np.repeat(np.array(batch.column(0).to_pylist(), np.int64), [len(b) // 8 for b in blobs])
-            keys, rows, edges = _stars(keys, rows)
-            cuts = np.searchsorted((keys >> U64(32)) * U64(slots) >> U64(32), np.arange(slots + 1, dtype=U64))
-            ecuts = np.searchsorted((edges[0] >> U64(32)) * U64(slots) >> U64(32), np.arange(slots + 1, dtype=U64))
+            ids, known, sigs, rows = batch.column(0).to_pylist(), [], [], []
+            for doc_id, text in zip(ids, batch.column(1)):
+                items = shingle(text.as_py())
+                bits = np.bincount((items & U64(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1
+                prints = np.array([mix(items + U64(1)).sum(dtype=U64), mix(items + U64(GOLD)).sum(dtype=U64)], U64)
+                known.append(np.concatenate([np.array([doc_id, len(items)], np.int64), prints.view(np.int64), np.packbits(bits).view(np.int64)]))
+                own = plans.signatures(items)
+                sigs.append(own)
+                rows.append(np.full(len(own), doc_id, np.int64))
+            base = min(ids, default=0)
+            empty = [np.empty(0, np.int64)]
+            keys, rows, edges = _stars(np.concatenate([np.empty(0, U64), *sigs]), np.concatenate(empty + rows))
+            a, e = cut(keys), cut(edges[0])
             out = []
-            for slot in range(slots):
-                a, b, c, d = cuts[slot], cuts[slot + 1], ecuts[slot], ecuts[slot + 1]
-                if b > a:
-                    out.append((slot, keys[a:b].tobytes(), rows[a:b].tobytes(), *(e[c:d].tobytes() for e in edges)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, schema.types)], schema=schema)
+            for k in range(slots):
+                if a[k + 1] > a[k]:
+                    part, links = slice(a[k], a[k + 1]), slice(e[k], e[k + 1])
+                    out.append((k, base, planes(np.diff(keys[part], prepend=U64(0))), planes(rows[part] - base), planes(edges[0][links]), planes(edges[1][links] - base), planes(edges[2][links] - base), b""))
+            for at in range(0, len(known), 200):
+                slot = (slot + 1) % slots
+                out.append((slot, base, b"", b"", b"", b"", b"", np.concatenate(known[at : at + 200]).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 8, schema.types)], schema=schema)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[list[bytes]] = [[] for _ in range(5)]
+        schema = arrow_type(INDEX_DDL)
+        keys, rows, es, ea, eb = [np.empty(0, U64)], *([np.empty(0, np.int64)] for _ in range(4))
+
+        def edges_of(s, a, b):
+            for at in range(0, len(s), 50_000):
+                part = slice(at, at + 50_000)
+                columns = [pa.array(x[part].astype(np.int64)) for x in (s, a, b)]
+                yield pa.RecordBatch.from_arrays(columns + [pa.nulls(len(columns[0]), pa.int64())] * about, schema=schema)
+
         for batch in batches:
-            for i in range(5):
-                found[i].extend(x for x in batch.column(i).to_pylist())
-        keys, rows, es, ea, eb = (np.frombuffer(b"".join(x), t) for x, t in zip(found, (U64, np.int64, U64, np.int64, np.int64)))
-        del found
-        _, _, edges = _stars(keys, rows)
-        s, a, b = np.concatenate([es, edges[0]]).view(np.int64), np.concatenate([ea, edges[1]]), np.concatenate([eb, edges[2]])
-        for at in range(0, len(s), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 50_000].copy()) for x in (s, a, b)], names=["sig", "a", "b"])
+            for r in batch.to_pylist():
+                if r["docs"]:
+                    known = np.frombuffer(r["docs"], np.int64).reshape(-1, about)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(known), pa.int64())] * 3 + [pa.array(known[:, i].copy()) for i in range(about)], schema=schema)
+                if r["keys"]:
+                    keys.append(np.cumsum(unplaned(r["keys"], U64), dtype=U64))
+                    rows.append(unplaned(r["rows"], np.int64) + r["base"])
+                if r["es"]:
+                    yield from edges_of(unplaned(r["es"], np.int64), unplaned(r["ea"], np.int64) + r["base"], unplaned(r["eb"], np.int64) + r["base"])
+        _, _, edges = _stars(np.concatenate(keys), np.concatenate(rows))
+        yield from edges_of(*edges)
+
+    source = docs.selectExpr("cast(doc_id as long) doc_id", "text").filter("doc_id is not null")
+    dealt = source.mapInArrow(local, packed).repartition(parts, "slot")
+    return dealt.mapInArrow(meet, INDEX_DDL)
+
 
-    dealt = described.filter("doc_id is not null").select("doc_id", "sigs").mapInArrow(local, packed).repartition(parts, "slot")
-    return dealt.select("sigs", "rows", "es", "ea", "eb").mapInArrow(meet, "sig long, a long, b long")
+INDEX_DDL = "sig long, a long, b long, doc_id long, n long, f1 long, f2 long, s0 long, s1 long, s2 long, s3 long"
 
 
 def _apart(p: str, q: str) -> F.Column:
@@ -239,7 +271,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, chance: float = 0.1, documents: int | None = None) -> DataFrame:
+def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, chance: float = 0.001, documents: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id that links reach).
 
     ``width`` words a shingle; two sets link if 100 * intersection >= ``percent`` * union. ``documents``
@@ -248,9 +280,10 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, chance:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     documents = docs.count() if documents is None else documents
-    described = materialize(_describe(docs, width, percent, documents, chance), "sets")
-    small = described.filter("n > 0 and doc_id is not null").select("doc_id", "n", "f1", "f2", "s0", "s1", "s2", "s3").dropDuplicates(["doc_id"])
-    edges = materialize(_star_edges(described, parts), "edges")
+    index = materialize(_index(docs, width, percent, documents, chance, parts), "index")
+    described = index.filter("sig is null").select("doc_id", "n", "f1", "f2", "s0", "s1", "s2", "s3")
+    small = described.filter("n > 0").dropDuplicates(["doc_id"])
+    edges = index.filter("sig is not null").select("sig", "a", "b")
 
     pairs = edges.groupBy("a", "b").agg(F.lit(1).alias("one"))
     p, q = small.alias("p"), small.alias("q")
@@ -261,7 +294,7 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, chance:
     members = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(width)
+        shingle = kept("shingler", width, lambda: Shingler(width))
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], names=["doc_id", "items"])
 
@@ -289,5 +322,6 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, chance:
         final = labels
     else:
         final = components(links.union(more), "labels2")
-    out = described.select("doc_id", F.col("n").alias("n_shingles")).join(final, F.col("doc_id") == F.col("node"), "left")
+    nameless = docs.filter("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_shingles"))
+    out = described.select("doc_id", F.col("n").alias("n_shingles")).union(nameless).join(final, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -14,6 +14,7 @@ equal scores; extra columns are ignored.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kestrelog.llm.common import Memo, arrow_type, map_rows, materialize
+from kestrelog.llm.common import Memo, arrow_type, kept, map_rows, materialize
 from kestrelog.llm.langid import _points
 
 #: Letters that a sign may stand for (fixed values).
@@ -214,12 +215,16 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, sample: int = SAMP
 def score(docs: DataFrame, model: dict, threshold: float = 0.7, carry: bool = False) -> DataFrame:
     """doc_id, score, predicted, and with ``carry`` the whole input row as the struct ``row``; a narrow
     map over whole texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, run_key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        restorer, index = Restorer(m["counts"]), {key: i for i, key in enumerate(m["keys"])}
-        known = Memo(lambda chunk: tuple(index[k] for k in features(restorer.word(chunk)) if k in index), 300_000)
+
+        def make():
+            restorer, index = Restorer(m["counts"]), {key: i for i, key in enumerate(m["keys"])}
+            return restorer, Memo(lambda chunk: tuple(index[k] for k in features(restorer.word(chunk)) if k in index), 700_000)
+
+        restorer, known = kept("toxicity", run_key, make)
         weights = m["weights"].tolist()
         for batch in batches:
             scores = []
