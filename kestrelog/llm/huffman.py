@@ -23,7 +23,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -150,36 +149,71 @@ def read_shard(image: bytes, codes: dict) -> tuple[int, list, np.ndarray, np.nda
 
 
 class Tokens:
-    """Ids of whole texts by the tokenizers library. The tokenizer drops white space and never looks
-    across it, so runs without ASCII white space are encoded once and then looked up."""
+    """Ids of whole texts by the tokenizers library, as little-endian bytes of ``kind``. The tokenizer
+    drops white space and never looks across it, so runs without ASCII white space are encoded once and
+    then looked up."""
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.size = Tokenizer.from_file(path), None
-        self.size = self.tokenizer.get_vocab_size()
-        self.known: dict[bytes, tuple] = {}
-        self.word = re.compile(rb"([a-z]+)([.,;:!?]+)").fullmatch
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        size = max(vocabulary.values()) + 1
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(size, bool)
+        if suffix:
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.known: dict[bytes, bytes] = {}
         self.limit = limit
-
-    def encode(self, texts: list[str | None]) -> list[list[tuple]]:
-        """For each text the ids of its runs. The tokenizer folds case and ends a word before a sign, so
-        a run is looked up in lower case, and as word and signs if it is a word with signs after it."""
+        self.signs = re.compile(rb"([a-z\x80-\xff]+)([!-/:-@\[-`{-~]+)").fullmatch
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, self.kind).tobytes() for e in found]
+
+    def _learn(self, runs: list[bytes]) -> None:
+        """Plain words go to the tokenizer many at a time; a word's last id has the end-of-word suffix."""
+        plain = [run for run in runs if run.decode().isalpha()] if self.ends.any() else []
+        other = set(runs).difference(plain)
+        for at in range(0, len(plain), 500):
+            part = plain[at : at + 500]
+            data = self._ids([b" ".join(part).decode()])[0]
+            cuts = (np.flatnonzero(self.ends[np.frombuffer(data, self.kind)]) + 1) * self.kind.itemsize
+            if len(cuts) != len(part):
+                other.update(part)
+                continue
+            low = 0
+            for run, high in zip(part, cuts.tolist()):
+                self.known[run] = data[low:high]
+                low = high
+        other = list(other)
+        self.known.update(zip(other, self._ids([run.decode() for run in other])))
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text. The tokenizer folds case and ends a word before a sign, so a run is
+        looked up in lower case, and learned as word and signs if it is a word with signs after it."""
         known = self.known
         runs = [(t or "").encode().lower().split() for t in texts]  # bytes know ASCII only
-        missing = set().union(*runs).difference(known)
+        out: list[bytes | None] = []
+        missing = set()
+        for part in runs:
+            try:
+                out.append(b"".join(map(known.__getitem__, part)))
+            except KeyError:
+                out.append(None)
+                missing.update(part)
+        missing.difference_update(known)
         if missing:
             if len(known) > self.limit:
                 known.clear()
-                missing = set().union(*runs)
-            cut = {run: found.groups() for run in missing if (found := self.word(run))}
-            new = list((missing - cut.keys()).union(*cut.values()).difference(known))
-            for run, e in zip(new, self.tokenizer.encode_batch_fast([run.decode() for run in new], add_special_tokens=False)):
-                known[run] = tuple(e.ids)
+                missing = set().union(*(part for part, ids in zip(runs, out) if ids is None))
+            cut = {run: m.groups() for run in missing if (m := self.signs(run)) and m[1].decode().isalpha()}
+            self._learn(list((missing - cut.keys()).union(*cut.values()).difference(known)))
             for run, (word, signs) in cut.items():
                 known[run] = known[word] + known[signs]
-        return [list(map(known.__getitem__, part)) for part in runs]
+        return [b"".join([known[run] for run in part]) if ids is None else ids for part, ids in zip(runs, out)]
 
 
 def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, limit: int = 16, name: str = "shards") -> DataFrame:
@@ -191,15 +225,15 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, limit: int = 16
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, before, schema = kept("tokens", tokenizer_path, lambda: Tokens(tokenizer_path)), 0, arrow_type(raw_ddl)
-        part = TaskContext.get().partitionId()
-        kind = np.uint16 if tokens.size <= 1 << 16 else np.uint32
+        part, width = TaskContext.get().partitionId(), tokens.kind.itemsize
+        end = np.array(end_id, tokens.kind).tobytes()
         doc_ids: list = []
         counts: list[int] = []
-        held: list[np.ndarray] = []
+        held: list[bytes] = []
 
         def shard():
-            ids = np.concatenate(held)
-            row = [part, before, doc_ids[0], len(ids), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), bytes(d is not None for d in doc_ids), np.array(counts, "<u4").tobytes(), ids.tobytes()]
+            ids = b"".join(held)
+            row = [part, before, doc_ids[0], len(ids) // width, np.array([d or 0 for d in doc_ids], "<i8").tobytes(), bytes(d is not None for d in doc_ids), np.array(counts, "<u4").tobytes(), ids]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, schema.types)], schema=schema)
 
         size = 0
@@ -207,13 +241,11 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, limit: int = 16
             rows = batch.column(0).to_pylist()
             for low in range(0, len(rows), 500):
                 texts = batch.column(1).slice(low, 500).to_pylist()
-                for doc_id, runs in zip(rows[low : low + 500], tokens.encode(texts)):
-                    ids = list(chain.from_iterable(runs))
-                    ids.append(end_id)
+                for doc_id, ids in zip(rows[low : low + 500], tokens.encode(texts)):
                     doc_ids.append(doc_id)
-                    counts.append(len(ids))
-                    held.append(np.array(ids, kind))
-                    size += len(ids)
+                    counts.append(len(ids) // width + 1)
+                    held += (ids, end)
+                    size += counts[-1]
                     if size >= SHARD:
                         yield shard()
                         before += size
