@@ -13,7 +13,6 @@ repeated results, an empty table gives an empty table.
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 import heapq
 import itertools
@@ -24,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from kestrelog.llm.common import WHITE_SPACE, Memo, arrow_type
+from kestrelog.llm.common import WHITE_SPACE, Memo, arrow_type, kept
 
 #: Chunks, and pre-tokens, whose ids a worker keeps at hand (about 150 MB each).
 CACHE = 700_000
@@ -170,12 +169,6 @@ class BytePairCodec:
         return b"".join(map(self.vocabulary.__getitem__, ids))
 
 
-@functools.cache
-def codec_of(path: str, pattern: str) -> BytePairCodec:
-    """One codec a worker process: its tables and looked-up chunks outlive a task."""
-    return BytePairCodec(path, pattern)
-
-
 def bpe_round_trip(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
     """Encode every text and decode the ids again: doc_id, n_tokens, ids_sha256, decoded_sha256, and
     token_ids array<int> if ``keep_ids``. A narrow map: no shuffle, a batch of rows at a time."""
@@ -183,21 +176,21 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, keep_ids: bool = Fa
     schema = arrow_type(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(path, pattern)
+        codec = kept("bpe", path, lambda: BytePairCodec(path, pattern))
         names = {i: str(i) for i in codec.vocabulary}
         for batch in batches:
-            counts, sums, backs, kept = [], [], [], []
+            counts, sums, backs, lists = [], [], [], []
             for text in batch.column(1):
                 ids = codec.encode(text.as_py() or "")
                 counts.append(len(ids))
                 sums.append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
                 backs.append(hashlib.sha256(codec.decode(ids)).hexdigest())
                 if keep_ids:
-                    kept.append(pa.array(ids, pa.int32()))
+                    lists.append(pa.array(ids, pa.int32()))
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.string()), pa.array(backs, pa.string())]
             if keep_ids:
                 offsets = pa.array([0, *itertools.accumulate(counts)], pa.int32())
-                columns.append(pa.ListArray.from_arrays(offsets, pa.concat_arrays(kept) if kept else pa.array([], pa.int32())))
+                columns.append(pa.ListArray.from_arrays(offsets, pa.concat_arrays(lists) if lists else pa.array([], pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, ddl)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -64,14 +67,26 @@ class Memo(dict):
         return value
 
 
-_kept: dict[str, tuple] = {}
+_kept: dict[tuple, object] = {}
 
 
 def kept(kind: str, key, make):
-    """``make()``, once a worker process for each ``key``; of a kind only the last one is held."""
-    if kind not in _kept or _kept[kind][0] != key:
-        _kept[kind] = (key, make())
-    return _kept[kind][1]
+    """``make()``, once a worker process for each ``kind`` and ``key``. A process holds only the last
+    one: the caches of several operators side by side would not fit an executor."""
+    if (kind, key) not in _kept:
+        if _kept:
+            _kept.clear()
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):  # give the memory back, where the C library can
+                ctypes.CDLL(None).malloc_trim(0)
+        _kept[kind, key] = make()
+    return _kept[kind, key]
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that have run: they go when their plan is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def arrow_type(ddl: str) -> pa.Schema:
@@ -82,12 +97,16 @@ def arrow_type(ddl: str) -> pa.Schema:
 
 def map_rows(docs: DataFrame, run, ddl: str, carry: bool) -> DataFrame:
     """``run`` over batches of doc_id and text and, with ``carry``, the whole row as a last struct column."""
-    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text")]
-    schema = T.StructType.fromDDL(ddl)
-    if carry:
-        columns.append(F.struct("*").alias("row"))
-        schema = schema.add("row", docs.schema)
-    return docs.select(*columns).mapInArrow(run, schema)
+    doc_id, schema = F.col("doc_id").cast("long").alias("doc_id"), T.StructType.fromDDL(ddl)
+    if not carry:
+        return docs.select(doc_id, "text").mapInArrow(run, schema)
+
+    def with_text(batches):  # the text is taken from the row: it isn't sent twice
+        for batch in batches:
+            row = batch.column(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), row.field(row.type.get_field_index("text")), row], names=["doc_id", "text", "row"])
+
+    return docs.select(doc_id, F.struct("*").alias("row")).mapInArrow(lambda batches: run(with_text(batches)), schema.add("row", docs.schema))
 
 
 def _contract(batches):

@@ -196,24 +196,20 @@ class Tokens:
         looked up in lower case, and learned as word and signs if it is a word with signs after it."""
         known = self.known
         runs = [(t or "").encode().lower().split() for t in texts]  # bytes know ASCII only
-        out: list[bytes | None] = []
-        missing = set()
-        for part in runs:
-            try:
-                out.append(b"".join(map(known.__getitem__, part)))
-            except KeyError:
-                out.append(None)
-                missing.update(part)
-        missing.difference_update(known)
+        found = [list(map(known.get, part)) for part in runs]
+        gaps = [[i for i, ids in enumerate(part) if ids is None] for part in found]
+        missing = {part[i] for part, at in zip(runs, gaps) for i in at}
         if missing:
             if len(known) > self.limit:
                 known.clear()
-                missing = set().union(*(part for part, ids in zip(runs, out) if ids is None))
             cut = {run: m.groups() for run in missing if (m := self.signs(run)) and m[1].decode().isalpha()}
             self._learn(list((missing - cut.keys()).union(*cut.values()).difference(known)))
             for run, (word, signs) in cut.items():
                 known[run] = known[word] + known[signs]
-        return [b"".join([known[run] for run in part]) if ids is None else ids for part, ids in zip(runs, out)]
+            for part, ids, at in zip(runs, found, gaps):
+                for i in at:
+                    ids[i] = known[part[i]]
+        return [b"".join(ids) for ids in found]
 
 
 def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, limit: int = 16, name: str = "shards") -> DataFrame:

@@ -10,7 +10,7 @@ cheapest plan of a cost model over the number of documents.
 
 Candidates: a signature's rows are linked to its smallest document (first per batch, then per
 signature), never pair by pair. Links are verified exactly, from the sets. Signatures whose documents
-then lie in several components give all pairs across components that a 256-bit parity sketch (an
+then lie in several components give all pairs across components that a 1024-bit parity sketch (an
 exact lower bound of the difference) doesn't rule out, and those are verified as well: components lose
 no link.
 
@@ -22,8 +22,9 @@ ignored.
 from __future__ import annotations
 
 import math
+import operator
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +32,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrelog.llm.common import Memo, arrow_type, components, kept, materialize
+from kestrelog.llm.common import Memo, arrow_type, components, kept, materialize, release
 
 U64 = np.uint64
 GOLD = 0x9E3779B97F4A7C15
 #: What the cost model takes a related pair to share.
 OVERLAP = 0.25
+#: 64-bit words of a parity sketch.
+WORDS = 16
+SKETCH = [f"s{i}" for i in range(WORDS)]
+#: Signatures that a task holds before it links and passes them on.
+HELD = 500_000
 #: Bits of a signature.
 KEY_BITS = 48
 
@@ -171,36 +177,29 @@ def _stars(keys: np.ndarray, rows: np.ndarray):
 
 
 def _index(docs: DataFrame, width: int, percent: int, documents: int, chance: float, parts: int) -> DataFrame:
-    """Rows about documents (sig null): doc_id, n, fingerprint f1 f2, parity sketch s0 to s3; and star
+    """Rows about documents (sig null): doc_id, n, fingerprint f1 f2, parity sketch s0 to s15; and star
     edges (sig, a, b) from each signature's smallest document to the others that have it.
 
-    A batch links its own rows first and passes on one row per signature, as sorted and differenced
+    A task links a part of its rows first and passes on one row per signature, as sorted and differenced
     keys; what is known of its documents travels along. So a hot signature reaches the task that
-    owns it once per batch.
+    owns it once per part.
     """
     slots = 4 * parts
     packed = "slot int, base long, keys binary, rows binary, es binary, ea binary, eb binary, docs binary"
-    about = 8  # numbers of a document row
+    about = 4 + WORDS  # numbers of a document row
 
     def cut(keys: np.ndarray) -> np.ndarray:
         return np.searchsorted(keys, (np.arange(slots + 1, dtype=np.float64) * (2.0**KEY_BITS / slots)).astype(U64))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, plans, schema = kept("shingler", width, lambda: Shingler(width)), Plans(percent, documents, chance), arrow_type(packed)
-        slot = 0
-        for batch in batches:
-            ids, known, sigs, rows = batch.column(0).to_pylist(), [], [], []
-            for doc_id, text in zip(ids, batch.column(1)):
-                items = shingle(text.as_py())
-                bits = np.bincount((items & U64(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1
-                prints = np.array([mix(items + U64(1)).sum(dtype=U64), mix(items + U64(GOLD)).sum(dtype=U64)], U64)
-                known.append(np.concatenate([np.array([doc_id, len(items)], np.int64), prints.view(np.int64), np.packbits(bits).view(np.int64)]))
-                own = plans.signatures(items)
-                sigs.append(own)
-                rows.append(np.full(len(own), doc_id, np.int64))
-            base = min(ids, default=0)
-            empty = [np.empty(0, np.int64)]
-            keys, rows, edges = _stars(np.concatenate([np.empty(0, U64), *sigs]), np.concatenate(empty + rows))
+        slot, ids, known, sigs, held = 0, [], [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal slot
+            base = min(ids)
+            rows = np.repeat(np.array(ids, np.int64), [len(x) for x in sigs])
+            keys, rows, edges = _stars(np.concatenate(sigs), rows)
             a, e = cut(keys), cut(edges[0])
             out = []
             for k in range(slots):
@@ -210,7 +209,22 @@ def _index(docs: DataFrame, width: int, percent: int, documents: int, chance: fl
             for at in range(0, len(known), 200):
                 slot = (slot + 1) % slots
                 out.append((slot, base, b"", b"", b"", b"", b"", np.concatenate(known[at : at + 200]).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 8, schema.types)], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                items = shingle(text.as_py())
+                bits = np.bincount((items & U64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS).astype(np.uint8) & 1
+                prints = np.array([mix(items + U64(1)).sum(dtype=U64), mix(items + U64(GOLD)).sum(dtype=U64)], U64)
+                known.append(np.concatenate([np.array([doc_id, len(items)], np.int64), prints.view(np.int64), np.packbits(bits).view(np.int64)]))
+                ids.append(doc_id)
+                sigs.append(plans.signatures(items))
+                held += len(sigs[-1])
+                if held >= HELD or len(ids) >= HELD // 50:  # a part of the batch at a time bounds the memory
+                    yield flush()
+                    ids, known, sigs, held = [], [], [], 0
+        if ids:
+            yield flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_type(INDEX_DDL)
@@ -240,11 +254,11 @@ def _index(docs: DataFrame, width: int, percent: int, documents: int, chance: fl
     return dealt.mapInArrow(meet, INDEX_DDL)
 
 
-INDEX_DDL = "sig long, a long, b long, doc_id long, n long, f1 long, f2 long, s0 long, s1 long, s2 long, s3 long"
+INDEX_DDL = "sig long, a long, b long, doc_id long, n long, f1 long, f2 long, " + ", ".join(f"s{i} long" for i in range(WORDS))
 
 
 def _apart(p: str, q: str) -> F.Column:
-    return sum((F.bit_count(F.col(f"{p}.s{i}").bitwiseXOR(F.col(f"{q}.s{i}"))) for i in range(1, 4)), F.bit_count(F.col(f"{p}.s0").bitwiseXOR(F.col(f"{q}.s0"))))
+    return reduce(operator.add, [F.bit_count(F.col(f"{p}.{s}").bitwiseXOR(F.col(f"{q}.{s}"))) for s in SKETCH])
 
 
 def _possible(p: str, q: str, percent: int) -> F.Column:
@@ -281,7 +295,8 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, chance:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     documents = docs.count() if documents is None else documents
     index = materialize(_index(docs, width, percent, documents, chance, parts), "index")
-    described = index.filter("sig is null").select("doc_id", "n", "f1", "f2", "s0", "s1", "s2", "s3")
+    release(spark)
+    described = index.filter("sig is null").select("doc_id", "n", "f1", "f2", *SKETCH)
     small = described.filter("n > 0").dropDuplicates(["doc_id"])
     edges = index.filter("sig is not null").select("sig", "a", "b")
 
@@ -301,6 +316,7 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, chance:
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "text").join(members, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = materialize(texts.select("doc_id", "text").mapInArrow(shingles, "doc_id long, items binary"), "items")
 
+    release(spark)
     links = materialize(likely.filter("equal").select("a", "b").union(_verify(likely.filter("not equal"), sets, percent)), "links")
     labels = components(links, "labels")
 
@@ -311,13 +327,14 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, chance:
     mixed = mixed.filter("low <> high").select("sig")
     # of rows with equal sets in one component one is enough
     groups = rows.join(mixed, "sig").join(small, "doc_id")
-    groups = groups.groupBy("sig", "component", "n", "f1", "f2", "s0", "s1", "s2", "s3").agg(F.min("doc_id").alias("doc_id"))
+    groups = groups.groupBy("sig", "component", "n", "f1", "f2").agg(F.min("doc_id").alias("doc_id"), *[F.first(s).alias(s) for s in SKETCH])
     groups = materialize(groups, "groups")
     p, q = groups.alias("p"), groups.alias("q")
     across = p.join(q, (F.col("p.sig") == F.col("q.sig")) & (F.col("p.component") < F.col("q.component")) & _possible("p", "q", percent))
     across = across.select(F.least("p.doc_id", "q.doc_id").alias("a"), F.greatest("p.doc_id", "q.doc_id").alias("b")).distinct()
     across = across.join(likely, ["a", "b"], "left_anti")
     more = materialize(_verify(across, sets, percent), "links2")
+    release(spark)
     if more.isEmpty():
         final = labels
     else:

@@ -72,7 +72,7 @@ class Restorer:
 
     def __init__(self, counts: np.ndarray):
         self.tri, self.bi = counts[:TRI], counts[TRI:]
-        self.costs = Memo(self._cost, 500_000)
+        self.costs = Memo(self._cost, 100_000)
         signs = re.escape("".join(c for c in LEET if not c.isalnum()))
         self.run = re.compile(r"(.)\1*", re.S)
         one = rf"[\w{signs}]"
@@ -222,7 +222,7 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.7, carry: bool = Fa
 
         def make():
             restorer, index = Restorer(m["counts"]), {key: i for i, key in enumerate(m["keys"])}
-            return restorer, Memo(lambda chunk: tuple(index[k] for k in features(restorer.word(chunk)) if k in index), 700_000)
+            return restorer, Memo(lambda chunk: tuple(index[k] for k in features(restorer.word(chunk)) if k in index), 200_000)
 
         restorer, known = kept("toxicity", run_key, make)
         weights = m["weights"].tolist()
