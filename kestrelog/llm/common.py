@@ -17,7 +17,16 @@ from pyspark.sql import types as T
 WHITE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
+def modest_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Fewer rows an Arrow batch than Spark's default, unless the session sets its own number: whole
+    texts are long, and batches stand in the executor's memory several times."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) == 10_000:
+        spark.conf.set(key, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    modest_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

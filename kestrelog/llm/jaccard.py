@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrelog.llm.common import Memo, arrow_type, components, kept, materialize, release
+from kestrelog.llm.common import Memo, arrow_type, components, kept, materialize, modest_batches, release
 
 U64 = np.uint64
 GOLD = 0x9E3779B97F4A7C15
@@ -292,6 +292,7 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, chance:
     (the number of rows unless given) and ``chance`` feed the cost model only, never the result.
     """
     spark = docs.sparkSession
+    modest_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     documents = docs.count() if documents is None else documents
     index = materialize(_index(docs, width, percent, documents, chance, parts), "index")
