@@ -265,9 +265,11 @@ def test_toxicity_restores_words(spark, docs, odd, empty):
     restorer = toxicity.Restorer(model["counts"])
     assert [restorer.word(x) for x in ("id1ot", "plain", "stuuuupid", "w0rthless", "m-o-r-o-n", "...", "(word),")] == ["idiot", "plain", "stupid", "worthless", "moron", "", "word"]
     assert "idiot" in [restorer.word(x) for x in restorer.words("an I d i o t here")]
-    bad = [(0, "the and of id1ot this that"), (1, "the and of m o r o n this that"), (2, "the and of stuuupid this that"), (3, "the and of this that was from")]
-    got = {r.doc_id: r.predicted for r in toxicity.score(spark.createDataFrame(bad, "doc_id long, text string"), model).collect()}
-    assert got == {0: 1, 1: 1, 2: 1, 3: 0}
+    # an obfuscated text scores as its plain form does, and the telling word counts
+    pairs = [("the and of id1ot this that", "the and of idiot this that"), ("the and of m o r o n this that", "the and of moron this that"), ("the and of stuuuupid w0rthless this that", "the and of stupid worthless this that")]
+    texts = [(2 * i + k, t) for i, pair in enumerate(pairs) for k, t in enumerate(pair)] + [(6, "the and of this that was from")]
+    got = {r.doc_id: (r.score, r.predicted) for r in toxicity.score(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    assert all(got[2 * i] == got[2 * i + 1] and got[2 * i][0] > got[6][0] for i in range(3)) and got[0][1] == 1 and got[6][1] == 0
     out = toxicity.score(odd, model, carry=True)
     assert out.count() == len(ODD) + 2 and out.select("row.*").columns == odd.columns
     assert toxicity.score(empty, model).count() == 0
