@@ -30,6 +30,10 @@ def instant(column: str) -> F.Column:
     return F.timestamp_micros(F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {column})"))
 
 
+def us() -> F.Column:
+    return F.unix_micros("timestamp").alias("us")
+
+
 def project(rows: DataFrame) -> DataFrame:
     """The log projection of the events table."""
     kind = F.col("event_type")
@@ -58,7 +62,6 @@ ev AS (SELECT event_id, us, user_id, k, 'svc-' || (user_id % 5) AS service, 't-'
   event_type || ' by user ' || user_id || ' k=' || k AS message, event_type || ' by user <NUM> k=<NUM>' AS template,
   sha256(event_type || ' by user <NUM> k=<NUM>')[1:16] AS fingerprint FROM e0)"""
 DEPS = "deps AS (SELECT * FROM (VALUES ('svc-0', 'svc-1'), ('svc-1', 'svc-2'), ('svc-3', 'svc-0')) t(service, dependency))"
-US = F.unix_micros("timestamp").alias("us")
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -105,7 +108,7 @@ def parse_json_events(spark, sf_dir):
     level = F.when(F.col("severity") == 40, "error").when(F.col("severity") == 30, "warn").when(F.col("severity") == 10, "debug").otherwise("info")
     line = F.to_json(F.struct(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("ts"), level.alias("lvl"), F.col("message").alias("msg"), F.col("service").alias("app"), F.col("trace_id").alias("traceId"), F.col("k").alias("k")))
     raw = events(spark, sf_dir).select(F.lit("x.jsonl").alias("source_id"), line.alias("line"), F.current_timestamp().alias("received_at"), F.lit("json").alias("log_format"), "ord")
-    return parse.parse(raw).select("ord", US, "service", F.col("severity").cast("int").alias("severity"), "message", "template", "trace_id", F.col("attributes")["k"].alias("k"))
+    return parse.parse(raw).select("ord", us(), "service", F.col("severity").cast("int").alias("severity"), "message", "template", "trace_id", F.col("attributes")["k"].alias("k"))
 
 
 @register(f"WITH {EV} SELECT event_id AS ord, us // 1000 * 1000 AS us, 'app' AS service, severity, message || ' trace_id=' || trace_id AS message, trace_id, 'app.core' AS logger FROM ev")
@@ -113,7 +116,7 @@ def parse_plain_events(spark, sf_dir):
     level = F.when(F.col("severity") == 40, "ERROR").when(F.col("severity") == 30, "WARN").when(F.col("severity") == 10, "DEBUG").otherwise("INFO")
     line = F.concat(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss,SSS"), F.lit("Z "), level, F.lit(" app.core "), F.col("message"), F.lit(" trace_id="), F.col("trace_id"))
     raw = events(spark, sf_dir).select(F.lit("/var/log/app.log").alias("source_id"), line.alias("line"), F.current_timestamp().alias("received_at"), F.lit("plain").alias("log_format"), "ord")
-    return parse.parse(raw).select("ord", US, "service", F.col("severity").cast("int").alias("severity"), "message", "trace_id", F.col("attributes")["logger"].alias("logger"))
+    return parse.parse(raw).select("ord", us(), "service", F.col("severity").cast("int").alias("severity"), "message", "trace_id", F.col("attributes")["logger"].alias("logger"))
 
 
 # filters and reads
@@ -121,7 +124,7 @@ def parse_plain_events(spark, sf_dir):
 
 @register(f"WITH {EV} SELECT event_id, us, service, severity FROM ev WHERE us BETWEEN epoch_us(TIMESTAMP '2024-01-10') AND epoch_us(TIMESTAMP '2024-01-12') AND severity >= 30 AND service = 'svc-1'")
 def window_filter(spark, sf_dir):
-    return query.window(events(spark, sf_dir), START, END, "svc-1", 30).select("event_id", US, "service", F.col("severity").cast("int").alias("severity"))
+    return query.window(events(spark, sf_dir), START, END, "svc-1", 30).select("event_id", us(), "service", F.col("severity").cast("int").alias("severity"))
 
 
 @register(f"WITH {EV} SELECT event_id, message FROM ev WHERE contains(lower(message), 'error by user 1') AND severity >= 40")
