@@ -165,6 +165,8 @@ class Graph:
 
 
 def _per_incident(vertices: DataFrame, edges: DataFrame, run, schema: str) -> DataFrame:
+    # both may come from one table: fresh columns keep them apart
+    vertices = vertices.select(*[F.col(c).alias(c, metadata={"side": "vertices"}) for c in vertices.columns])
     return vertices.groupBy("incident_id").cogroup(edges.groupBy("incident_id")).applyInPandas(run, schema)
 
 
