@@ -19,7 +19,7 @@ written as often as they stand; a null doc_id comes first. Extra columns are ign
 from __future__ import annotations
 
 import os
-import re
+import string
 import struct
 import zlib
 from collections.abc import Iterator
@@ -34,6 +34,8 @@ from kestrelog.llm.common import arrow_type, kept, materialize, remove
 
 #: Ids in a shard (about), in a block, and between checkpoints.
 SHARD, BLOCK, STEP = 1 << 20, 1 << 15, 128
+#: ASCII signs: what is neither letter, digit nor white space.
+SIGNS = string.punctuation.encode()
 _HEAD = struct.Struct("<4sBBIQIII")
 
 
@@ -148,6 +150,10 @@ def read_shard(image: bytes, codes: dict) -> tuple[int, list, np.ndarray, np.nda
     return start, [d if h else None for d, h in zip(doc_ids, has)], counts, np.concatenate(parts)
 
 
+def _letters(run: bytes) -> bool:
+    return run.isalpha() or not run.isascii() and run.decode().isalpha()
+
+
 class Tokens:
     """Ids of whole texts by the tokenizers library, as little-endian bytes of ``kind``. The tokenizer
     drops white space and never looks across it, so runs without ASCII white space are encoded once and
@@ -155,7 +161,7 @@ class Tokens:
 
     def __init__(self, path: str, limit: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
@@ -167,19 +173,27 @@ class Tokens:
             self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.known: dict[bytes, bytes] = {}
         self.limit = limit
-        self.signs = re.compile(rb"([a-z\x80-\xff]+)([!-/:-@\[-`{-~]+)").fullmatch
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        self.bare = Tokenizer.from_file(path)  # for lower-case ASCII words: white space is all it looks at
+        self.bare.normalizer, self.bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        probe = f"{string.ascii_lowercase} the quick brown fox {string.ascii_lowercase[::-1]} jumps"
+        if self._ids([probe]) != self._ids([probe], self.bare):
+            self.bare = self.tokenizer
+
+    def _ids(self, texts: list[str], tokenizer=None) -> list[bytes]:
+        found = (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in found]
 
     def _learn(self, runs: list[bytes]) -> None:
         """Plain words go to the tokenizer many at a time; a word's last id has the end-of-word suffix."""
-        plain = [run for run in runs if run.decode().isalpha()] if self.ends.any() else []
-        other = set(runs).difference(plain)
-        for at in range(0, len(plain), 500):
-            part = plain[at : at + 500]
-            data = self._ids([b" ".join(part).decode()])[0]
+        words: dict[bool, list[bytes]] = {True: [], False: []}  # by whether they are ASCII
+        other, suffixed = set(), bool(self.ends.any())
+        for run in runs:
+            if suffixed and _letters(run):
+                words[run.isascii()].append(run)
+            else:
+                other.add(run)
+        for part, tokenizer in ((words[k][at : at + 100], t) for k, t in ((True, self.bare), (False, self.tokenizer)) for at in range(0, len(words[k]), 100)):
+            data = self._ids([b" ".join(part).decode()], tokenizer)[0]
             cuts = (np.flatnonzero(self.ends[np.frombuffer(data, self.kind)]) + 1) * self.kind.itemsize
             if len(cuts) != len(part):
                 other.update(part)
@@ -202,7 +216,7 @@ class Tokens:
         if missing:
             if len(known) > self.limit:
                 known.clear()
-            cut = {run: m.groups() for run in missing if (m := self.signs(run)) and m[1].decode().isalpha()}
+            cut = {run: (word, run[len(word) :]) for run in missing if (word := run.rstrip(SIGNS)) != run and _letters(word)}
             self._learn(list((missing - cut.keys()).union(*cut.values()).difference(known)))
             for run, (word, signs) in cut.items():
                 known[run] = known[word] + known[signs]
