@@ -9,10 +9,11 @@ left out of it wherever the others alone are worth enough. How many segments, an
 cheapest plan of a cost model over the number of documents.
 
 Candidates: a signature's rows are linked to its smallest document (first per batch, then per
-signature), never pair by pair. Links are verified exactly, from the sets. Signatures whose documents
-then lie in several components give all pairs across components that a 1024-bit parity sketch (an
-exact lower bound of the difference) doesn't rule out, and those are verified as well: components lose
-no link.
+signature), never pair by pair. Links are verified exactly, from the sets. Where a signature's documents
+then lie in several components, a second round links one document of each to one of the largest there,
+drawn anew by each signature. What still lies in several components gives all pairs across components
+that a 1024-bit parity sketch (an exact lower bound of the difference) doesn't rule out, and those are
+verified as well: components lose no link.
 
 Null and empty texts have an empty set and no links. A text with fewer words than a shingle is one
 shingle. Repeated rows are copies of each other; a row without doc_id has nulls. Extra columns are
@@ -285,6 +286,26 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _labelled(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """sig, doc_id, component of the documents of each signature (its smallest one repeats)."""
+    rows = edges.select("sig", F.explode(F.array("a", "b")).alias("doc_id"))
+    return rows.join(labels, rows.doc_id == labels.node, "left").select("sig", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+
+
+def _across_stars(rows: DataFrame, small: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a, b): one document of each component of a signature and one of that component which
+    has the most rows there. Which one is drawn by signature and document, so that the signatures of two
+    components propose different pairs; at most one pair for each signature and component."""
+    drawn = F.min_by("doc_id", F.xxhash64("sig", "doc_id")).alias("doc_id")
+    parts = rows.groupBy("sig", "component").agg(F.count("*").alias("size"), drawn)
+    hubs = parts.groupBy("sig").agg(F.max(F.struct("size", "component", "doc_id")).alias("hub"), F.count("*").alias("several")).filter("several > 1")
+    pairs = parts.join(hubs.select("sig", "hub"), "sig").filter("component <> hub.component")
+    pairs = pairs.select(F.least("doc_id", "hub.doc_id").alias("a"), F.greatest("doc_id", "hub.doc_id").alias("b")).distinct()
+    p, q = small.alias("p"), small.alias("q")
+    joined = pairs.join(p, F.col("a") == F.col("p.doc_id")).join(q, F.col("b") == F.col("q.doc_id"))
+    return joined.filter(_possible("p", "q", percent)).select("a", "b")
+
+
 def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, chance: float = 0.001, documents: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id that links reach).
 
@@ -321,9 +342,16 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, chance:
     links = materialize(likely.filter("equal").select("a", "b").union(_verify(likely.filter("not equal"), sets, percent)), "links")
     labels = components(links, "labels")
 
+    # few documents of a group may miss its smallest one: other members, a different one by each signature
+    near = _across_stars(_labelled(edges, labels), small, percent).join(likely.select("a", "b"), ["a", "b"], "left_anti")
+    near = materialize(_verify(near, sets, percent), "stars")
+    if not near.isEmpty():
+        links = links.union(near)
+        labels = components(links, "labels1")
+    release(spark)
+
     # signatures whose documents still lie in several components
-    rows = edges.select("sig", F.explode(F.array("a", "b")).alias("doc_id"))
-    rows = rows.join(labels, rows.doc_id == labels.node, "left").select("sig", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    rows = _labelled(edges, labels)
     mixed = rows.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     mixed = mixed.filter("low <> high").select("sig")
     # of rows with equal sets in one component one is enough
@@ -333,7 +361,7 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, chance:
     p, q = groups.alias("p"), groups.alias("q")
     across = p.join(q, (F.col("p.sig") == F.col("q.sig")) & (F.col("p.component") < F.col("q.component")) & _possible("p", "q", percent))
     across = across.select(F.least("p.doc_id", "q.doc_id").alias("a"), F.greatest("p.doc_id", "q.doc_id").alias("b")).distinct()
-    across = across.join(likely, ["a", "b"], "left_anti")
+    across = across.join(likely.select("a", "b"), ["a", "b"], "left_anti")
     more = materialize(_verify(across, sets, percent), "links2")
     release(spark)
     if more.isEmpty():
