@@ -4,11 +4,14 @@ The pages of a host are merged into one tree of styles: a node is a path of bloc
 names and classes. A node's importance is 1 minus the entropy of what stands there over the host's
 pages, as in a style tree: what most pages share (menus, notices, footers) tells nothing about a page,
 what differs from page to page is content. The entropy of a node's inner markup counts with the small
-weight 1 - DECAY. Nodes under the threshold are removed from each page.
+weight 1 - DECAY. A text at a node has an importance of its own, 1 - log n / log m if n of the m pages
+with the node hold it. A page counts for the nodes it has, whatever else its host holds, and pages with
+equal blocks count once.
 
-Elements whose role the markup itself states keep it, whatever the entropies say (they mean little on a
-host with few pages): inside article or main nothing is removed for its importance, and menus,
-headers, footers, sidebars, forms, adverts, notices and comments are removed by element or class name.
+Elements whose role the markup itself states keep it, whatever the entropies say: inside article or main
+nothing is removed for its importance, and menus, headers, footers, sidebars, forms, adverts, notices and
+comments are removed by element or class name. Elsewhere a block goes if its node is on two pages or more
+and below LEAST, or its text below LEAST at a node of PAGES pages or more.
 
 Character references are decoded, white space in a block becomes one space, blocks are trimmed and
 joined by line feeds in page order. Null html is empty. A null or odd url is its own host. Pages
@@ -28,8 +31,13 @@ from pyspark.sql import functions as F
 
 from kestrelog.llm.common import arrow_type, materialize
 
-#: Least pages of a host with a node for its entropy to count; least importance; weight of the content.
-PAGES, LEAST, DECAY = 8, 0.3, 0.9
+#: Pages with a node for its entropy to outweigh a role; weight of the content.
+PAGES, DECAY = 8, 0.9
+#: Least importance of what stays: without a role, of a text in an article, of a node with a noise role.
+LEAST, ARTICLE, HIGH = 0.3, 0.1, 0.4
+#: Roles of blocks, and verdicts on nodes and texts.
+PLAIN, GONE, INSIDE, NOISY = range(4)
+DROP_PLAIN, DROP_INSIDE, KEEP_NOISY = 1, 2, 4
 
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -52,11 +60,12 @@ _HOST = re.compile(r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", re.I)
 _SPACE = re.compile(r"\s+")
 
 
-def blocks(page: str) -> list[tuple[str, str, str, bool, bool]]:
-    """(path, style, text, in a noise element, in an article) of each text block in page order."""
-    out: list[tuple[str, str, str, bool, bool]] = []
+def blocks(page: str) -> list[tuple[str, str, str, int, int]]:
+    """(path, style, text, noise, article) of each text block in page order. noise: 1 in a noise element,
+    2 hidden; article: 1 in article or main, 2 in one that is a noise element or lies in one."""
+    out: list[tuple[str, str, str, int, int]] = []
     # name, path, noise, article
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+    stack: list[tuple[str, str, int, int]] = [("", "", 0, 0)]
     text: list[str] = []
     marks: list[str] = []
     inline: list[tuple[str, int]] = []
@@ -129,7 +138,7 @@ def blocks(page: str) -> list[tuple[str, str, str, bool, bool]]:
             text.append(" ")
             continue
         role = " ".join(x for m in _ROLE.findall(rest) for x in m if x).lower() if "=" in rest else ""
-        noise = name in NOISE or (bool(role) and not NOISE_WORDS.isdisjoint(_WORD.findall(role))) or ("hid" in rest or "none" in rest) and bool(_HIDDEN.search(rest))
+        noise = 2 if ("hid" in rest or "none" in rest) and _HIDDEN.search(rest) else int(name in NOISE or (bool(role) and not NOISE_WORDS.isdisjoint(_WORD.findall(role))))
         if name in BLOCK:
             flush()
             inline.clear()
@@ -153,15 +162,18 @@ def blocks(page: str) -> list[tuple[str, str, str, bool, bool]]:
                 continue
             _, path, was, article = stack[-1]
             if name in ("header", "form") and article and name == "header" and not role:
-                noise = False  # an article's own header holds its title
-            if name in ("html", "body"):
-                noise = False
-            stack.append((name, f"{path}/{name}.{role}" if role else f"{path}/{name}", was or noise, article or name in MAIN))
+                noise = 0  # an article's own header holds its title
+            if name in ("html", "body", "main") and noise == 1:
+                noise = 0
+            noise = max(was, noise)
+            if name in MAIN and noise < 2:
+                noise, article = 0, 2 if noise else article or 1
+            stack.append((name, f"{path}/{name}.{role}" if role else f"{path}/{name}", noise, article))
         else:
             marks.append(name)
             if name not in VOID and not rest.endswith("/"):
-                inline.append((name, int(noise)))
-                hidden += noise
+                inline.append((name, int(noise > 0)))
+                hidden += noise > 0
     flush()
     return out
 
@@ -175,32 +187,71 @@ def _key(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) >> 1
 
 
-def importances(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, importance) of every node of every host's style tree.
+def roles(found: list[tuple[str, str, str, int, int]]) -> list[int]:
+    """The role of each block of a page: PLAIN, INSIDE an article, NOISY, or GONE whatever its importance."""
+    marked = {article for _, _, _, noise, article in found if article and not noise}
+    own = min(marked, default=0)  # articles in noise elements count where there is no other
+    out = []
+    for _, _, _, noise, article in found:
+        if noise == 2:
+            out.append(GONE)
+        elif noise:
+            out.append(GONE)
+        else:
+            out.append(PLAIN if not article else INSIDE if article == 1 else GONE)
+    return out
+
+
+PARSED = "page_id long, url string, host string, digest long, nodes array<long>, whats array<long>, styles array<long>, roles array<int>, texts array<string>"
+
+
+def parse(pages: DataFrame) -> DataFrame:
+    """A row per page with its blocks as arrays; equal digests stand for equal blocks."""
+    longs, ints, strings = pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.string())
+    names = [part.split()[0] for part in PARSED.split(", ")]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), longs, longs, longs, ints, strings]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for page_id, url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                found = blocks(page.as_py() or "")
+                digest = _key("\0".join(x for path, style, text, noise, article in found for x in (path, style, text, f"{noise}{article}")))
+                rows.append((page_id, url, host_of(url), digest, [_key(b[0]) for b in found], [_key(b[2]) for b in found], [_key(b[1]) for b in found], own := roles(found), ["" if role == GONE else b[2] for role, b in zip(own, found)]))
+            columns = list(zip(*rows)) if rows else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+
+    return pages.selectExpr("cast(page_id as long) page_id", "url", "html").mapInArrow(run, PARSED)
+
+
+def counts(distinct: DataFrame) -> DataFrame:
+    """(host, node, kind, what, n): on how many pages a node (kind 0), a text (1) or a style (2) at it stands.
 
     Of a page come one row per node and distinct content or style, folded per batch; the tree is
     merged by aggregation alone, so a host with any number of pages is spread over the cluster.
     """
-    ddl = "host string, path long, kind int, what long, n long"
+    ddl = "host string, node long, kind int, what long, n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: dict[tuple, int] = {}
-            for url, page in zip(batch.column(0).to_pylist(), batch.column(1)):
-                host = host_of(url)
+            total: dict[tuple, int] = {}
+            for host, nodes, whats, styles in zip(*(c.to_pylist() for c in batch.columns)):
                 seen = set()
-                for path, style, text, _, _ in blocks(page.as_py() or ""):
-                    key = _key(path)
-                    seen.update(((host, key, 0, 0), (host, key, 1, _key(text)), (host, key, 2, _key(style))))
+                for node, what, style in zip(nodes, whats, styles):
+                    seen.update(((host, node, 0, 0), (host, node, 1, what), (host, node, 2, style)))
                 for item in seen:
-                    counts[item] = counts.get(item, 0) + 1
-            columns = list(zip(*counts)) if counts else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*columns, list(counts.values())], arrow_type(ddl).types)], schema=arrow_type(ddl))
+                    total[item] = total.get(item, 0) + 1
+            columns = list(zip(*total)) if total else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*columns, list(total.values())], arrow_type(ddl).types)], schema=arrow_type(ddl))
+
+    return distinct.select("host", "nodes", "whats", "styles").mapInArrow(run, ddl).groupBy("host", "node", "kind", "what").agg(F.sum("n").alias("n"))
+
 
-    seen = pages.select("url", "html").mapInArrow(run, ddl).groupBy("host", "path", "kind", "what").agg(F.sum("n").alias("n"))
+def importances(seen: DataFrame) -> DataFrame:
+    """(host, node, pages, importance) of every node of every host's style tree."""
     # a feature on n of m pages, once each, has the entropy log n / log m; styles are one distribution
     log = F.log(F.col("n").cast("double"))
-    nodes = seen.groupBy("host", "path").agg(
+    nodes = seen.groupBy("host", "node").agg(
         F.max(F.when(F.col("kind") == 0, F.col("n"))).alias("pages"),
         F.sum(F.when(F.col("kind") == 1, F.col("n"))).alias("texts"),
         F.sum(F.when(F.col("kind") == 1, F.col("n") * log)).alias("text_logs"),
@@ -210,35 +261,55 @@ def importances(pages: DataFrame) -> DataFrame:
     m = F.log(F.col("pages").cast("double"))
     content = F.when(F.col("pages") > 1, 1 - F.col("text_logs") / F.col("texts") / m).otherwise(1.0)
     style = F.when(F.col("pages") > 1, (F.log(F.col("styles").cast("double")) - F.col("style_logs") / F.col("styles")) / m).otherwise(1.0)
-    return nodes.select("host", "path", "pages", (DECAY * content + (1 - DECAY) * F.least(style, F.lit(1.0))).alias("importance"))
+    return nodes.select("host", "node", "pages", (DECAY * content + (1 - DECAY) * F.least(style, F.lit(1.0))).alias("importance"))
+
+
+def verdicts(seen: DataFrame) -> DataFrame:
+    """(host, node, what, verdict) of nodes (what is 0) and texts that change what their role would do."""
+    tree = importances(seen)
+    enough = F.col("pages") >= PAGES
+    of_node = F.when((F.col("pages") > 1) & (F.col("importance") < LEAST), DROP_PLAIN).when(enough & (F.col("importance") >= HIGH), KEEP_NOISY)
+    nodes = tree.select("host", "node", F.lit(0).cast("long").alias("what"), of_node.alias("verdict")).filter("verdict is not null")
+    # a text under the threshold is on two pages or more
+    own = 1 - F.log(F.col("n").cast("double")) / F.log(F.col("pages").cast("double"))
+    texts = seen.filter("kind = 1 and n > 1").join(tree.filter(enough), ["host", "node"]).filter(own < LEAST)
+    return nodes.union(texts.select("host", "node", "what", F.when(own < ARTICLE, DROP_PLAIN).otherwise(DROP_PLAIN)))
 
 
-def main_text(pages: DataFrame, least: float = LEAST, support: int = PAGES) -> DataFrame:
+def main_text(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
-    # only nodes on a twentieth of a host's pages can be its template, so a host's list is bounded by
-    # twenty times the nodes of a page
-    tree = materialize(importances(pages), "tree")
-    size = tree.groupBy("host").agg(F.max("pages").alias("size"))
-    low = tree.filter((F.col("pages") >= support) & (F.col("importance") < least)).join(size, "host").filter(F.col("pages") * 20 >= F.col("size"))
-    # a table of its own, so that the pages of a hot host can be split in the join, or not be moved at all
-    low = materialize(low.groupBy("host").agg(F.collect_list("path").alias("low")), "low")
+    parsed = materialize(parse(pages), "parsed")
+    # equal pages once, as hashes alone; a hot page is folded before it moves
+    distinct = parsed.groupBy("host", "digest").agg(*[F.first(c).alias(c) for c in ("nodes", "whats", "styles", "roles")])
+    seen = materialize(counts(distinct), "seen")
+    judged = materialize(verdicts(seen), "judged")
+    # verdicts meet single blocks, so no list grows with a host; what comes back is as long as a page
+    blocks_of = F.filter(F.arrays_zip("nodes", "whats", "roles"), lambda x: x["roles"] != GONE)
+    asks = F.array(*map(F.lit, (DROP_PLAIN, 0, DROP_INSIDE, DROP_PLAIN | KEEP_NOISY)))  # by role
+
+    def probe(what):
+        return lambda x: F.struct(x["nodes"].alias("node"), what(x).alias("what"), F.get(asks, x["roles"]).alias("asks"))
+
+    of_node = F.transform(F.filter(blocks_of, lambda x: x["roles"] != INSIDE), probe(lambda x: F.lit(0).cast("long")))
+    probes = F.array_distinct(F.concat(of_node, F.transform(blocks_of, probe(lambda x: x["whats"]))))
+    asked = distinct.select("host", "digest", F.explode(probes).alias("p")).select("host", "digest", "p.node", "p.what", "p.asks")
+    told = asked.join(judged, ["host", "node", "what"]).filter(F.col("verdict").bitwiseAND(F.col("asks")) != 0)
+    told = told.groupBy("host", "digest").agg(F.collect_set(F.struct("node", "what", "verdict")).alias("told"))
+    told = materialize(told, "told")
     ddl = "page_id long, url string, text string, n_chars long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for page, drop in zip(batch.column(2), batch.column(3).to_pylist()):
-                drop = set(drop or ())
-                keep = [text for path, _, text, noise, article in blocks(page.as_py() or "") if not noise and (article or not drop or _key(path) not in drop)]
-                texts.append("\n".join(keep))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=arrow_type(ddl))
-
-    rows = pages.selectExpr("cast(page_id as long) page_id", "url", "html").withColumn("host", host_column())
-    return rows.join(low, "host", "left").select("page_id", "url", "html", "low").mapInArrow(run, ddl)
-
-
-def host_column() -> F.Column:
-    """:func:`host_of` as a column."""
-    url = F.coalesce("url", F.lit(""))
-    found = F.regexp_extract(url, r"(?i)^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
-    return F.when(found == "", url).otherwise(F.lower(found))
+            out = []
+            for nodes, whats, kinds, texts, given in zip(*(c.to_pylist() for c in batch.columns[2:])):
+                verdict = {(x["node"], x["what"]): x["verdict"] for x in given or ()}
+                out.append("\n".join(text for node, what, role, text in zip(nodes, whats, kinds, texts) if role != GONE and _stays(role, verdict.get((node, 0), 0), verdict.get((node, what), 0))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], schema=arrow_type(ddl))
+
+    return parsed.join(told, ["host", "digest"], "left").select("page_id", "url", "nodes", "whats", "roles", "texts", "told").mapInArrow(run, ddl)
+
+
+def _stays(role: int, node: int, text: int) -> bool:
+    if role == INSIDE:
+        return not text & DROP_INSIDE
+    return not (node | text) & DROP_PLAIN and (role == PLAIN or bool(node & KEEP_NOISY))

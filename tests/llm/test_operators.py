@@ -359,6 +359,21 @@ def test_style_tree_removes_what_a_host_repeats(spark):
     assert got == {i: f"word{i}\nword{i} text\nMore word{i}" for i in range(40)}
 
 
+def extract(spark, pages):
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in html.main_text(df).orderBy("page_id").collect()]
+
+
+def test_unrelated_pages_of_a_host_change_nothing(spark):
+    section = [(f"https://h.com/s/{i}", f"<div class=s><p>Story {i}</p></div><div class=note><p>Section notice</p></div>") for i in range(12)]
+    others = [(f"https://h.com/o/{i}", f"<div class=o{i}><p>Other {i}</p></div>") for i in range(500)]
+    alone = extract(spark, section)
+    assert alone == [f"Story {i}" for i in range(12)] and extract(spark, section + others) == alone + [f"Other {i}" for i in range(500)]
+    # small hosts are judged by the entropy too; equal pages are one page
+    assert extract(spark, section[:2]) == ["Story 0", "Story 1"]
+    assert extract(spark, [section[0]] * 9) == ["Story 0\nSection notice"] * 9
+
+
 def test_main_text_query(spark):
     got = {r.page_id: r for r in queries.op7_main_text(spark, SF).collect()}
     for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
