@@ -8,10 +8,16 @@ weight 1 - DECAY. A text at a node has an importance of its own, 1 - log n / log
 with the node hold it. A page counts for the nodes it has, whatever else its host holds, and pages with
 equal blocks count once.
 
-Elements whose role the markup itself states keep it, whatever the entropies say: inside article or main
-nothing is removed for its importance, and menus, headers, footers, sidebars, forms, adverts, notices and
-comments are removed by element or class name. Elsewhere a block goes if its node is on two pages or more
-and below LEAST, or its text below LEAST at a node of PAGES pages or more.
+The role that the markup states is a prior that importance has to overcome:
+
+- a block without a role goes if its node is on two pages or more and below LEAST, or its text below
+  LEAST at a node of PAGES pages or more;
+- inside article or main a block goes only if its text is below ARTICLE at a node of PAGES pages or more;
+- menus, headers, footers, sidebars, forms, adverts, notices and comments (by element or by a word of
+  class, id or role) go, unless their node has PAGES pages or more and an importance of HIGH or more and
+  the text is not below LEAST. This holds inside an article and on pages without one: where a page marks
+  its article, what lies outside in such elements goes. An article or main inside such an element is the
+  page's article if there is no other. What is hidden goes.
 
 Character references are decoded, white space in a block becomes one space, blocks are trimmed and
 joined by line feeds in page order. Null html is empty. A null or odd url is its own host. Pages
@@ -196,9 +202,9 @@ def roles(found: list[tuple[str, str, str, int, int]]) -> list[int]:
         if noise == 2:
             out.append(GONE)
         elif noise:
-            out.append(GONE)
+            out.append(NOISY if article == own else GONE)
         else:
-            out.append(PLAIN if not article else INSIDE if article == 1 else GONE)
+            out.append(PLAIN if not article else INSIDE if article == own else GONE)
     return out
 
 
@@ -273,7 +279,7 @@ def verdicts(seen: DataFrame) -> DataFrame:
     # a text under the threshold is on two pages or more
     own = 1 - F.log(F.col("n").cast("double")) / F.log(F.col("pages").cast("double"))
     texts = seen.filter("kind = 1 and n > 1").join(tree.filter(enough), ["host", "node"]).filter(own < LEAST)
-    return nodes.union(texts.select("host", "node", "what", F.when(own < ARTICLE, DROP_PLAIN).otherwise(DROP_PLAIN)))
+    return nodes.union(texts.select("host", "node", "what", F.when(own < ARTICLE, DROP_PLAIN | DROP_INSIDE).otherwise(DROP_PLAIN)))
 
 
 def main_text(pages: DataFrame) -> DataFrame:

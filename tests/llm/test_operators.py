@@ -374,6 +374,18 @@ def test_unrelated_pages_of_a_host_change_nothing(spark):
     assert extract(spark, [section[0]] * 9) == ["Story 0\nSection notice"] * 9
 
 
+def test_roles_are_a_prior(spark):
+    notice = [(f"http://n.org/{i}", f"<article><p>Story {i}</p><p>We use cookies</p><div>Buy now</div></article>") for i in range(12)]
+    assert extract(spark, notice) == [f"Story {i}" for i in range(12)]
+    wrapper = [(f"http://w.org/{i}", f"<div class='page has-sidebar'><p>Story {i}</p><p>Buy now</p></div><div class=ad>Buy</div><div hidden>Story {i}</div>") for i in range(12)]
+    assert extract(spark, wrapper) == [f"Story {i}" for i in range(12)]
+    inside = [(f"http://i.org/{i}", f"<main><p>Story {i}</p><section class=related-work><p>Work {i}</p></section></main><nav>Here {i}</nav>") for i in range(12)]
+    assert extract(spark, inside) == [f"Story {i}\nWork {i}" for i in range(12)]
+    # few pages: the role stands, but an article in a noise element is the article if there is no other
+    few = [(None, "<div id=search-results><article><p>a</p><nav>m</nav></article><p>b</p></div>"), ("x", "<main><p>c</p></main><div class=comments><article>d</article></div>"), ("y", "<div class=sidebar><p>e</p></div>")]
+    assert extract(spark, few) == ["a", "c", ""]
+
+
 def test_main_text_query(spark):
     got = {r.page_id: r for r in queries.op7_main_text(spark, SF).collect()}
     for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
