@@ -1,7 +1,7 @@
 """Operator 4: toxicity by noisy-channel deobfuscation.
 
 A word that isn't plain letters (leetspeak, symbols inside, runs of three) and a run of single letters
-set apart by blanks or signs are character lattices: each place offers the letters it may stand for, at
+set apart by any blanks or signs (where words may end) are character lattices: each place offers the letters it may stand for, at
 a cost. A Viterbi search over trigram states finds the reading that a character language model,
 counted over all documents, likes best. The restored words are then scored by a logistic model over
 words and word beginnings, learned from labelled rows.
@@ -29,7 +29,7 @@ from kestrelog.llm.langid import _points
 #: Letters that a sign may stand for (fixed values).
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "¡": "i"}
 #: Costs of the channel, in nats.
-SWAP, DROP, DROP_SIGN, DOUBLED, REPEATED = 1.0, 8.0, 1.0, 5.0, 0.5
+SWAP, DROP, DROP_SIGN, DOUBLED, REPEATED, BREAK = 1.0, 8.0, 1.0, 5.0, 0.5, 3.0
 #: Hash buckets of the language model's trigram and context counts.
 TRI, BI = 1 << 17, 1 << 14
 #: Labelled rows of each class that the classifier is fitted on, at most, and its features.
@@ -75,8 +75,10 @@ class Restorer:
         self.costs = Memo(self._cost, 100_000)
         signs = re.escape("".join(c for c in LEET if not c.isalnum()))
         self.run = re.compile(r"(.)\1*", re.S)
-        one = rf"[\w{signs}]"
-        self.spaced = re.compile(rf"(?<!\S){one}(?:[ .\-_*]{one}){{2,}}(?!\S)").findall
+        one = rf"(?:[^\W_]|[{signs}])"
+        self.spaced = re.compile(rf"(?<![^\W_]){one}(?:(?:[^\w{signs}]|_)+{one}){{2,}}(?![^\W_])").findall
+        self.between = re.compile(rf"(?:[^\w{signs}]|_)+")
+        self.spans = Memo(self._span, 50_000)
         self.tripled = re.compile(r"(.)\1\1").search
         self.ends = re.compile(r"^[^\w@$]+|(?<=.)[^\w]+$|^[^\w]+$")
 
@@ -86,8 +88,9 @@ class Restorer:
         n = self.tri[_bucket((two << 21) | c, 17)]
         return float(-np.log((n + 0.1) / (self.bi[_bucket(two, 14)] + 4.0)))
 
-    def decode(self, word: str) -> str:
-        """The cheapest reading of a lattice; states are the last two letters."""
+    def decode(self, word: str, pause: float | None = None) -> str:
+        """The cheapest reading of a lattice; states are the last two letters. With ``pause``, the cost of
+        one, a blank may follow each letter."""
         states = {(" ", " "): (0.0, "")}
         costs = self.costs
         for found in self.run.finditer(word):
@@ -98,19 +101,28 @@ class Restorer:
                 options = [(x, SWAP) for x in LEET[c]] + [("", DROP)] + [(x + x, SWAP) for x in LEET[c] if n > 1]
             else:
                 options = [("", DROP_SIGN)]
+            if pause is not None:
+                options += [(x + " ", price + pause) for x, price in options if x and found.end() < len(word)]
             after: dict = {}
             for state, (cost, text) in states.items():
-                for letters, price in options:
+                for more, price in options:
                     (a, b), total = state, cost + price
-                    for x in letters:
+                    for x in more:
                         total += costs[a, b, x]
                         a, b = b, x
                     old = after.get((a, b))
                     if old is None or total < old[0]:
-                        after[a, b] = (total, text + letters)
+                        after[a, b] = (total, text + more)
             states = after
         return min((cost + costs[a, b, " "], text) for (a, b), (cost, text) in states.items())[1]
 
+    def _span(self, letters: str) -> list[str]:
+        """Words of spaced-out letters; the first and the last may be one-letter words beside them."""
+        if not any(c.isalpha() for c in letters):
+            return []
+        parts = {x for x in (letters, letters[1:], letters[:-1], letters[1:-1]) if len(x) > 2}
+        return sorted({word for part in parts for word in self.decode(part, BREAK).split()})
+
     def word(self, chunk: str) -> str:
         """The restored word of a lower-case chunk without blanks; empty if it has no letters."""
         if not chunk.isalpha():
@@ -122,11 +134,11 @@ class Restorer:
         return self.decode(chunk)
 
     def words(self, text: str) -> Iterator[str]:
-        """Distinct chunks of the text, then its spaced-out words joined."""
+        """Distinct chunks of the text, then the words that its spaced-out letters spell."""
         text = text.lower()
         yield from set(text.split())
         for span in self.spaced(text):
-            yield "".join(c for c in span if c not in " .-_*")
+            yield from self.spans[self.between.sub("", span)]
 
 
 def features(word: str) -> list[int]:

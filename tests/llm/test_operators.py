@@ -277,6 +277,12 @@ def test_toxicity_restores_words(spark, docs, odd, empty):
     assert {r.score for r in toxicity.score(odd, none).collect()} == {0.0}
 
 
+def test_toxicity_bounds_of_spaced_words(spark, docs):
+    restorer = toxicity.Restorer(toxicity.language_model(docs))
+    for text in ("you i d i o t.", "(i d i o t)", '"i d i o t"', "a i d i o t b", "i/d/i/o/t", "i  d\ni o t", "i d i 0 t!"):
+        assert "idiot" in [restorer.word(x) for x in restorer.words(text)], text
+
+
 # 5 line dedup
 
 
