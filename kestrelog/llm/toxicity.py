@@ -1,7 +1,7 @@
 """Operator 4: toxicity by noisy-channel deobfuscation.
 
-A word that isn't plain letters (leetspeak, symbols inside, runs of three) and a run of single letters
-set apart by any blanks or signs (where words may end) are character lattices: each place offers the letters it may stand for, at
+A word that isn't plain letters (leetspeak, signs at its ends or inside), one with repeated letters, and
+a run of single letters set apart by any blanks or signs (where words may end) are character lattices: each place offers the letters it may stand for, at
 a cost. A Viterbi search over trigram states finds the reading that a character language model,
 counted over all documents, likes best. The restored words are then scored by a logistic model over
 words and word beginnings, learned from labelled rows.
@@ -79,8 +79,9 @@ class Restorer:
         self.spaced = re.compile(rf"(?<![^\W_]){one}(?:(?:[^\w{signs}]|_)+{one}){{2,}}(?![^\W_])").findall
         self.between = re.compile(rf"(?:[^\w{signs}]|_)+")
         self.spans = Memo(self._span, 50_000)
-        self.tripled = re.compile(r"(.)\1\1").search
+        self.repeated = re.compile(r"(.)\1").search
         self.ends = re.compile(r"^[^\w@$]+|(?<=.)[^\w]+$|^[^\w]+$")
+        self.edges = re.compile(rf"^[^\w{signs}]+|[^\w{signs}]+$")
 
     def _cost(self, key: tuple[str, str, str]) -> float:
         a, b, c = (0 if x == " " else ord(x) for x in key)
@@ -127,12 +128,20 @@ class Restorer:
         """The restored word of a lower-case chunk without blanks; empty if it has no letters."""
         if not chunk.isalpha():
             chunk = self.ends.sub("", chunk)
-        if chunk.isalpha() and not self.tripled(chunk):
+        if chunk.isalpha() and not self.repeated(chunk):
             return chunk
         if not any(c.isalpha() for c in chunk):
             return ""
         return self.decode(chunk)
 
+    def readings(self, chunk: str) -> set[str]:
+        """The restored word without signs at its ends, and what the chunk spells if they are letters."""
+        found = {self.word(chunk)}
+        core = self.edges.sub("", chunk)
+        if not core.isalpha() and any(c.isalpha() for c in core) and not (core[0].isalnum() and core[-1].isalnum()):
+            found.add(self.decode(core))
+        return found
+
     def words(self, text: str) -> Iterator[str]:
         """Distinct chunks of the text, then the words that its spaced-out letters spell."""
         text = text.lower()
@@ -180,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, sample: int = SAMP
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(shared.value)
-        known = Memo(lambda chunk: features(restorer.word(chunk)), 200_000)
+        known = Memo(lambda chunk: [k for word in restorer.readings(chunk) for k in features(word)], 200_000)
         for batch in batches:
             keys = []
             for text in batch.column(1):
@@ -234,7 +243,7 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.7, carry: bool = Fa
 
         def make():
             restorer, index = Restorer(m["counts"]), {key: i for i, key in enumerate(m["keys"])}
-            return restorer, Memo(lambda chunk: tuple(index[k] for k in features(restorer.word(chunk)) if k in index), 200_000)
+            return restorer, Memo(lambda chunk: tuple(index[k] for word in restorer.readings(chunk) for k in features(word) if k in index), 200_000)
 
         restorer, known = kept("toxicity", run_key, make)
         weights = m["weights"].tolist()

@@ -283,6 +283,13 @@ def test_toxicity_bounds_of_spaced_words(spark, docs):
         assert "idiot" in [restorer.word(x) for x in restorer.words(text)], text
 
 
+def test_toxicity_signs_at_ends_and_doubled_letters(spark, docs):
+    restorer = toxicity.Restorer(toxicity.language_model(docs))
+    assert all("idiot" in restorer.readings(x) for x in ("!diot", "|diot", "idio+")) and "trash" in restorer.readings("+rash")
+    words = {"stuupid": "stupid", "iiddiioott": "idiot", "idiot!": "idiot", "(idiot),": "idiot", "will": "will", "book": "book"}
+    assert {x: restorer.word(x) for x in words} == words
+
+
 # 5 line dedup
 
 
