@@ -19,6 +19,7 @@ written as often as they stand; a null doc_id comes first. Extra columns are ign
 from __future__ import annotations
 
 import os
+import re
 import string
 import struct
 import zlib
@@ -171,6 +172,8 @@ class Tokens:
         self.ends = np.zeros(size, bool)
         if suffix:
             self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        added = sorted({str(t).encode() for t in self.tokenizer.get_added_tokens_decoder().values()} - {b""}, key=len, reverse=True)
+        self.added = re.compile(b"|".join(map(re.escape, added)), re.I) if added else None
         self.known: dict[bytes, bytes] = {}
         self.limit = limit
         self.bare = Tokenizer.from_file(path)  # for lower-case ASCII words: white space is all it looks at
@@ -207,9 +210,13 @@ class Tokens:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text. The tokenizer folds case and ends a word before a sign, so a run is
-        looked up in lower case, and learned as word and signs if it is a word with signs after it."""
+        looked up in lower case, and learned as word and signs if it is a word with signs after it. Added
+        tokens match before case is folded: a text that holds one's letters in any case is encoded whole."""
         known = self.known
-        runs = [(t or "").encode().lower().split() for t in texts]  # bytes know ASCII only
+        data = [(t or "").encode() for t in texts]
+        special = [i for i, t in enumerate(data) if self.added and self.added.search(t)]
+        whole = dict(zip(special, self._ids([texts[i] for i in special]))) if special else {}
+        runs = [[] if i in whole else t.lower().split() for i, t in enumerate(data)]  # bytes know ASCII only
         found = [list(map(known.get, part)) for part in runs]
         gaps = [[i for i, ids in enumerate(part) if ids is None] for part in found]
         missing = {part[i] for part, at in zip(runs, gaps) for i in at}
@@ -223,7 +230,7 @@ class Tokens:
             for part, ids, at in zip(runs, found, gaps):
                 for i in at:
                     ids[i] = known[part[i]]
-        return [b"".join(ids) for ids in found]
+        return [whole[i] if i in whole else b"".join(ids) for i, ids in enumerate(found)]
 
 
 def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, limit: int = 16, name: str = "shards") -> DataFrame:

@@ -493,6 +493,16 @@ def test_token_ids(spark, rows, odd, empty, monkeypatch):
     assert huffman.read_ids(huffman.write_ids(empty, path, 2)).count() == 0
 
 
+def test_added_tokens_keep_their_case():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    texts = ["<|ENDOFTEXT|>", "a <|StartOfText|> b", "<|endoftext|>", "Word <|endoftext|>Word <|EndOfText|>.", "plain Words"]
+    tokens = huffman.Tokens(path)
+    assert [np.frombuffer(x, tokens.kind).tolist() for x in tokens.encode(texts)] == [library.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 @pytest.mark.parametrize(("size", "limit"), [(1, 16), (2, 16), (3, 2), (300, 9), (5000, 16)])
 def test_huffman_shards(size, limit):
     rng = np.random.default_rng(size)
