@@ -2,16 +2,20 @@
 
 Texts are encoded, an end id is appended to each, and the ids of all documents in ascending doc_id
 order are cut into shards. One code, from the counts of all ids and limited in length by package-merge,
-serves every shard. A shard is a self-contained file image:
+serves every shard. A shard is a file of its own in the shared folder:
 
     b"HTOK" | u8 version | u8 longest code | u32 ids in the vocabulary | u64 ids before this shard |
     u32 documents | u32 blocks | u32 bytes of packed lengths | lengths (zlib, one byte an id) |
     i64 doc_id of each document | u8 which have one | u32 ids of each document |
     then each block: u32 ids | u32 bytes | u32 bit offset of every STEP-th id | bits
+    and, at the end, a line feed
 
 Blocks end on bytes and are decoded on their own, by a table over the longest code; the offsets let all
 runs of STEP ids in a block advance side by side. Numbers are little-endian, codes big-endian.
 
+Spark writes the files (bytes as lines of text, one a file, under its commit protocol) and reads them as
+binaryFile, so any file system that it knows will do; the ids before a shard, in its head, give the order.
+
 Null texts count as empty: just the end id. An empty table gives no shard and no row. Repeated rows are
 written as often as they stand; a null doc_id comes first. Extra columns are ignored.
 """
@@ -22,16 +26,17 @@ import os
 import re
 import string
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrelog.llm.common import arrow_type, kept, materialize, remove
+from kestrelog.llm.common import arrow_type, kept, materialize, remove, scratch_path
 
 #: Ids in a shard (about), in a block, and between checkpoints.
 SHARD, BLOCK, STEP = 1 << 20, 1 << 15, 128
@@ -152,7 +157,12 @@ def read_shard(image: bytes, codes: dict) -> tuple[int, list, np.ndarray, np.nda
 
 
 def _letters(run: bytes) -> bool:
-    return run.isalpha() or not run.isascii() and run.decode().isalpha()
+    """All letters, in lower case too: some capitals become a letter and a mark."""
+    return run.isalpha() or not run.isascii() and run.decode().lower().isalpha()
+
+
+def _composed(text: str) -> bool:
+    return text.isascii() or unicodedata.is_normalized("NFC", text)
 
 
 class Tokens:
@@ -211,12 +221,14 @@ class Tokens:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text. The tokenizer folds case and ends a word before a sign, so a run is
         looked up in lower case, and learned as word and signs if it is a word with signs after it. Added
-        tokens match before case is folded: a text that holds one's letters in any case is encoded whole."""
+        tokens match, and marks are composed, before case is folded: a text that holds an added token's
+        letters in any case, or that NFC changes before or after folding, is encoded whole."""
         known = self.known
         data = [(t or "").encode() for t in texts]
-        special = [i for i, t in enumerate(data) if self.added and self.added.search(t)]
+        low = [t.lower() for t in data]  # bytes know ASCII only
+        special = [i for i, t in enumerate(data) if self.added and self.added.search(t) or not (t.isascii() or _composed(texts[i]) and _composed(low[i].decode()))]
         whole = dict(zip(special, self._ids([texts[i] for i in special]))) if special else {}
-        runs = [[] if i in whole else t.lower().split() for i, t in enumerate(data)]  # bytes know ASCII only
+        runs = [[] if i in whole else t.split() for i, t in enumerate(low)]
         found = [list(map(known.get, part)) for part in runs]
         gaps = [[i for i, ids in enumerate(part) if ids is None] for part in found]
         missing = {part[i] for part, at in zip(runs, gaps) for i in at}
@@ -233,9 +245,9 @@ class Tokens:
         return [whole[i] if i in whole else b"".join(ids) for i, ids in enumerate(found)]
 
 
-def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, limit: int = 16, name: str = "shards") -> DataFrame:
-    """Encode all texts and write the shards: a shared table (start, n_docs, n_ids, image), whose images
-    in order of ``start`` hold all documents in ascending doc_id order."""
+def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, limit: int = 16, name: str = "shards") -> str:
+    """Encode all texts and write the shards to a fresh folder under the shared one; its path. In order of
+    the ids before them the files hold all documents in ascending doc_id order."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     raw_ddl = "part int, before long, first long, ids_n long, docs binary, has binary, counts binary, ids binary"
@@ -292,7 +304,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, limit: int = 16
         base[r.part] = total  # one entry a partition
         total += r.n
     shared = spark.sparkContext.broadcast((code_lengths(counts, limit), base))
-    ddl = "start long, n_docs long, n_ids long, image binary"
+    ddl = "image binary"
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths, base = shared.value
@@ -303,11 +315,13 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, limit: int = 16
                 docs = [d if h else None for d, h in zip(np.frombuffer(r["docs"], "<i8").tolist(), r["has"])]
                 start = base[r["part"]] + r["before"]
                 image = write_shard(start, docs, np.frombuffer(r["counts"], "<u4"), ids, lengths, code)
-                yield pa.RecordBatch.from_pydict({"start": [start], "n_docs": [len(docs)], "n_ids": [len(ids)], "image": [image]}, schema=arrow_type(ddl))
+                yield pa.RecordBatch.from_pydict({"image": [image]}, schema=arrow_type(ddl))
 
-    shards = materialize(raw.mapInArrow(compress, ddl), name)
+    path = scratch_path(spark, name)
+    images = raw.mapInArrow(compress, ddl).select(F.col("image").cast("string").alias("value"))  # the same bytes
+    images.write.option("maxRecordsPerFile", 1).option("lineSep", "\n").option("compression", "none").text(path)
     remove(spark, raw)
-    return shards
+    return path
 
 
 def _kind(blob, n: int):
@@ -315,8 +329,8 @@ def _kind(blob, n: int):
     return np.uint16 if size == 2 * n else np.uint32
 
 
-def read_ids(shards: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32, read back from the shard images."""
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32, read back from the shard files of a folder."""
     ddl = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,4 +344,5 @@ def read_ids(shards: DataFrame) -> DataFrame:
                 columns = [pa.array(doc_ids, pa.int64()), pa.array(start + ends - counts), pa.array(counts.astype(np.int64)), pa.array(crcs, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow_type(ddl))
 
-    return shards.select("image").mapInArrow(run, ddl)
+    files = spark.read.format("binaryFile").load(path).filter("length > 0")  # an empty table leaves an empty file
+    return files.select("content").mapInArrow(run, ddl)

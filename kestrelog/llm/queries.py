@@ -58,7 +58,7 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
-    return huffman.read_ids(huffman.write_ids(table(spark, sf_dir, "documents"), path, end_id=2))
+    return huffman.read_ids(spark, huffman.write_ids(table(spark, sf_dir, "documents"), path, end_id=2))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
