@@ -1,23 +1,31 @@
 """Operator 7: main text by site style trees.
 
 The pages of a host are merged into one tree of styles: a node is a path of block elements with their
-names and classes. A node's importance is 1 minus the entropy of what stands there over the host's
-pages, as in a style tree: what most pages share (menus, notices, footers) tells nothing about a page,
-what differs from page to page is content. The entropy of a node's inner markup counts with the small
-weight 1 - DECAY. A text at a node has an importance of its own, 1 - log n / log m if n of the m pages
-with the node hold it. A page counts for the nodes it has, whatever else its host holds, and pages with
-equal blocks count once.
+names and classes. The content of a node is worth 1 minus the entropy of what stands there over the
+host's pages: what most pages share (menus, notices, footers) tells nothing about a page, what differs
+from page to page is content. The importance of a node is composed over its branch: the mean of the
+contents of all nodes in it, weighted by their characters, and, with the small weight 1 - DECAY, the
+entropy of the node's own inner markup. A branch is low if its node and all nodes below it have an
+importance below LEAST on two pages or more; low branches are what is removed, so a text goes with its
+node if that is the top of a low branch or lies in one. A text at a node has an importance of its own,
+1 - log n / log m if n of the m pages with the node hold it. A page counts for the nodes it has, whatever
+else its host holds, and pages with equal blocks count once.
 
 The role that the markup states is a prior that importance has to overcome:
 
-- a block without a role goes if its node is on two pages or more and below LEAST, or its text below
-  LEAST at a node of PAGES pages or more;
+- a block without a role goes if its branch is low, or its text below LEAST at a node of PAGES pages or
+  more;
 - inside article or main a block goes only if its text is below ARTICLE at a node of PAGES pages or more;
-- menus, headers, footers, sidebars, forms, adverts, notices and comments (by element or by a word of
-  class, id or role) go, unless their node has PAGES pages or more and an importance of HIGH or more and
-  the text is not below LEAST. This holds inside an article and on pages without one: where a page marks
-  its article, what lies outside in such elements goes. An article or main inside such an element is the
-  page's article if there is no other. What is hidden goes.
+- menus, headers, footers, sidebars, forms and notices (by element or by a name in class, id or role)
+  go, unless their node has PAGES pages or more and an importance of HIGH or more and the text is not
+  below LEAST. This holds inside an article and on pages without one: where a page marks its article,
+  what lies outside in such elements goes. An article or main inside such an element is the page's
+  article if there is no other;
+- reader comments and adverts differ from page to page by nature: they go whatever their importance, and
+  so does what is hidden.
+
+A name in class, id or role counts if it is one of NOISE_WORDS or HARD_WORDS, or joins some of them with
+none but PARTS ("site-footer", "comment-list", but not "ad-hoc" or "has-sidebar").
 
 Character references are decoded, white space in a block becomes one space, blocks are trimmed and
 joined by line feeds in page order. Null html is empty. A null or odd url is its own host. Pages
@@ -39,6 +47,8 @@ from kestrelog.llm.common import arrow_type, materialize
 
 #: Pages with a node for its entropy to outweigh a role; weight of the content.
 PAGES, DECAY = 8, 0.9
+#: Elements nested deeper stand beside each other in the tree, as in browsers.
+DEPTH = 512
 #: Least importance of what stays: without a role, of a text in an article, of a node with a noise role.
 LEAST, ARTICLE, HIGH = 0.3, 0.1, 0.4
 #: Roles of blocks, and verdicts on nodes and texts.
@@ -47,11 +57,15 @@ DROP_PLAIN, DROP_INSIDE, KEEP_NOISY = 1, 2, 4
 
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("iframe math noembed noframes noscript object script style svg template textarea title xmp".split())
+#: Elements whose content is no text of the page; xmp holds text without markup.
+RAW = set("iframe noembed noframes noscript script style svg template textarea title xmp".split())
 NOISE = set("aside button dialog footer form header menu nav search select".split())
 MAIN = set("article main".split())
-#: Words of class, id and role that name a role (fixed values).
-NOISE_WORDS = set("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar aside widget footer header masthead cookie cookies consent gdpr notice notices alert popup modal overlay comment comments disqus reply replies respond share sharing social related recommended subscribe subscription newsletter signup login search form pagination pager toolbar skip contentinfo complementary".split())
+#: Names in class, id and role of what importance may override, of what it may not, and what they are
+#: joined with (fixed values).
+NOISE_WORDS = set("banner nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar aside widget footer header masthead cookie cookies consent gdpr notice notices alert popup modal overlay share sharing social related recommended subscribe subscription newsletter signup login search form pagination pager toolbar skip contentinfo complementary".split())
+HARD_WORDS = set("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion comment comments disqus reply replies respond".split())
+PARTS = set("site page main post article blog global primary secondary top bottom left right inner outer area section wrapper wrap container box block list item items link links bar row col column group panel text results thread".split())
 #: Tags that a start tag of the same group closes.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Elements that bound such closing.
@@ -61,17 +75,29 @@ _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ROLE = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none""", re.I)
-_WORD = re.compile(r"[a-z]+")
+_NAME = re.compile(r"[^\W_]+")
 _HOST = re.compile(r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", re.I)
 _SPACE = re.compile(r"\s+")
 
 
-def blocks(page: str) -> list[tuple[str, str, str, int, int]]:
-    """(path, style, text, noise, article) of each text block in page order. noise: 1 in a noise element,
-    2 hidden; article: 1 in article or main, 2 in one that is a noise element or lies in one."""
-    out: list[tuple[str, str, str, int, int]] = []
-    # name, path, noise, article
-    stack: list[tuple[str, str, int, int]] = [("", "", 0, 0)]
+def named(role: str) -> int:
+    """2 if a name in the classes, ids and roles of an element says comment or advert, 1 if it says menu,
+    footer and the like, else 0."""
+    found = 0
+    for name in role.split():
+        parts = set(_NAME.findall(name))
+        if (words := parts & (NOISE_WORDS | HARD_WORDS)) and parts - words <= PARTS:
+            found = max(found, 2 if words & HARD_WORDS else 1)
+    return found
+
+
+def blocks(page: str) -> list[tuple[tuple[int, ...], str, str, int, int]]:
+    """(nodes, style, text, noise, article) of each text block in page order. nodes: keys of the elements
+    that hold it, its own last; noise: 1 in a noise element, 2 in one that always goes; article: 1 in
+    article or main, 2 in one that is a noise element or lies in one."""
+    out: list[tuple[tuple[int, ...], str, str, int, int]] = []
+    # name, nodes, noise, article
+    stack: list[tuple[str, tuple[int, ...], int, int]] = [("", (_key(""),), 0, 0)]
     text: list[str] = []
     marks: list[str] = []
     inline: list[tuple[str, int]] = []
@@ -81,8 +107,8 @@ def blocks(page: str) -> list[tuple[str, str, str, int, int]]:
         if text:
             line = _SPACE.sub(" ", "".join(text)).strip()
             if line:
-                _, path, noise, article = stack[-1]
-                out.append((path, ",".join(marks), line, noise, article))
+                _, nodes, noise, article = stack[-1]
+                out.append((nodes, ",".join(marks), line, noise, article))
             text.clear()
         marks.clear()
 
@@ -136,7 +162,12 @@ def blocks(page: str) -> list[tuple[str, str, str, int, int]]:
         if name in RAW:
             if not rest.endswith("/"):
                 close = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
-                at = n if close is None else close.start()
+                end = n if close is None else close.start()
+                if name == "xmp" and not hidden:
+                    flush()
+                    text.append(page[at:end])
+                    flush()
+                at = end
                 end = page.find(">", at)
                 at = n if end < 0 else end + 1
             continue
@@ -144,7 +175,7 @@ def blocks(page: str) -> list[tuple[str, str, str, int, int]]:
             text.append(" ")
             continue
         role = " ".join(x for m in _ROLE.findall(rest) for x in m if x).lower() if "=" in rest else ""
-        noise = 2 if ("hid" in rest or "none" in rest) and _HIDDEN.search(rest) else int(name in NOISE or (bool(role) and not NOISE_WORDS.isdisjoint(_WORD.findall(role))))
+        noise = 2 if ("hid" in rest or "none" in rest) and _HIDDEN.search(rest) else max(int(name in NOISE), named(role) if role else 0)
         if name in BLOCK:
             flush()
             inline.clear()
@@ -166,15 +197,16 @@ def blocks(page: str) -> list[tuple[str, str, str, int, int]]:
                         break
             if name in VOID or rest.endswith("/"):
                 continue
-            _, path, was, article = stack[-1]
+            _, nodes, was, article = stack[-1]
             if name in ("header", "form") and article and name == "header" and not role:
                 noise = 0  # an article's own header holds its title
-            if name in ("html", "body", "main") and noise == 1:
+            if name in ("html", "body", "main") and not (noise == 2 and _HIDDEN.search(rest)):
                 noise = 0
             noise = max(was, noise)
             if name in MAIN and noise < 2:
                 noise, article = 0, 2 if noise else article or 1
-            stack.append((name, f"{path}/{name}.{role}" if role else f"{path}/{name}", noise, article))
+            above = nodes if len(nodes) < DEPTH else nodes[:-1]
+            stack.append((name, (*above, _key(f"{above[-1]}/{name}.{role}")), noise, article))
         else:
             marks.append(name)
             if name not in VOID and not rest.endswith("/"):
@@ -193,7 +225,7 @@ def _key(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) >> 1
 
 
-def roles(found: list[tuple[str, str, str, int, int]]) -> list[int]:
+def roles(found: list[tuple[tuple[int, ...], str, str, int, int]]) -> list[int]:
     """The role of each block of a page: PLAIN, INSIDE an article, NOISY, or GONE whatever its importance."""
     marked = {article for _, _, _, noise, article in found if article and not noise}
     own = min(marked, default=0)  # articles in noise elements count where there is no other
@@ -208,22 +240,25 @@ def roles(found: list[tuple[str, str, str, int, int]]) -> list[int]:
     return out
 
 
-PARSED = "page_id long, url string, host string, digest long, nodes array<long>, whats array<long>, styles array<long>, roles array<int>, texts array<string>"
+PARSED = "page_id long, url string, host string, digest long, nodes array<long>, whats array<long>, styles array<long>, roles array<int>, sizes array<int>, lower array<long>, upper array<long>, texts array<string>"
 
 
 def parse(pages: DataFrame) -> DataFrame:
     """A row per page with its blocks as arrays; equal digests stand for equal blocks."""
     longs, ints, strings = pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.string())
     names = [part.split()[0] for part in PARSED.split(", ")]
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), longs, longs, longs, ints, strings]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), longs, longs, longs, ints, ints, longs, longs, strings]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for page_id, url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 found = blocks(page.as_py() or "")
-                digest = _key("\0".join(x for path, style, text, noise, article in found for x in (path, style, text, f"{noise}{article}")))
-                rows.append((page_id, url, host_of(url), digest, [_key(b[0]) for b in found], [_key(b[2]) for b in found], [_key(b[1]) for b in found], own := roles(found), ["" if role == GONE else b[2] for role, b in zip(own, found)]))
+                digest = _key("\0".join(str(x) for path, style, text, noise, article in found for x in (path[-1], style, text, noise, article)))
+                own, nodes = roles(found), [b[0][-1] for b in found]
+                links = {(path[-1], x) for path in {b[0] for b in found} for x in path[:-1]}
+                keys = [_key(b[2]) for b in found], [_key(b[1]) for b in found], own, [len(b[2]) for b in found]
+                rows.append((page_id, url, host_of(url), digest, nodes, *keys, [x for x, _ in links], [x for _, x in links], ["" if role == GONE else b[2] for role, b in zip(own, found)]))
             columns = list(zip(*rows)) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
@@ -231,34 +266,42 @@ def parse(pages: DataFrame) -> DataFrame:
 
 
 def counts(distinct: DataFrame) -> DataFrame:
-    """(host, node, kind, what, n): on how many pages a node (kind 0), a text (1) or a style (2) at it stands.
+    """(host, node, kind, what, n, size): on how many pages a node (kind 0, size: its characters), a text
+    (1) or a style (2) at it stands, and with which node above it (3).
 
-    Of a page come one row per node and distinct content or style, folded per batch; the tree is
+    Of a page come one row per node and distinct content, style or link, folded per batch; the tree is
     merged by aggregation alone, so a host with any number of pages is spread over the cluster.
     """
-    ddl = "host string, node long, kind int, what long, n long"
+    ddl = "host string, node long, kind int, what long, n long, size long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total: dict[tuple, int] = {}
-            for host, nodes, whats, styles in zip(*(c.to_pylist() for c in batch.columns)):
-                seen = set()
-                for node, what, style in zip(nodes, whats, styles):
-                    seen.update(((host, node, 0, 0), (host, node, 1, what), (host, node, 2, style)))
+            chars: dict[tuple, int] = {}
+            for host, nodes, whats, styles, sizes, lower, upper in zip(*(c.to_pylist() for c in batch.columns)):
+                seen = {(host, a, 3, b) for a, b in zip(lower, upper)}
+                for node, what, style, size in zip(nodes, whats, styles, sizes):
+                    own = (host, node, 0, 0)
+                    chars[own] = chars.get(own, 0) + size
+                    seen.update((own, (host, node, 1, what), (host, node, 2, style)))
                 for item in seen:
                     total[item] = total.get(item, 0) + 1
             columns = list(zip(*total)) if total else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*columns, list(total.values())], arrow_type(ddl).types)], schema=arrow_type(ddl))
+            columns += [list(total.values()), [chars.get(item, 0) for item in total]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow_type(ddl).types)], schema=arrow_type(ddl))
 
-    return distinct.select("host", "nodes", "whats", "styles").mapInArrow(run, ddl).groupBy("host", "node", "kind", "what").agg(F.sum("n").alias("n"))
+    rows = distinct.select("host", "nodes", "whats", "styles", "sizes", "lower", "upper").mapInArrow(run, ddl)
+    return rows.groupBy("host", "node", "kind", "what").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
 
 
 def importances(seen: DataFrame) -> DataFrame:
-    """(host, node, pages, importance) of every node of every host's style tree."""
+    """(host, node, pages, importance, most) of every node with text of every host's style tree; most is
+    the highest importance in its branch."""
     # a feature on n of m pages, once each, has the entropy log n / log m; styles are one distribution
     log = F.log(F.col("n").cast("double"))
-    nodes = seen.groupBy("host", "node").agg(
+    nodes = seen.filter("kind < 3").groupBy("host", "node").agg(
         F.max(F.when(F.col("kind") == 0, F.col("n"))).alias("pages"),
+        F.max(F.when(F.col("kind") == 0, F.col("size"))).alias("chars"),
         F.sum(F.when(F.col("kind") == 1, F.col("n"))).alias("texts"),
         F.sum(F.when(F.col("kind") == 1, F.col("n") * log)).alias("text_logs"),
         F.sum(F.when(F.col("kind") == 2, F.col("n"))).alias("styles"),
@@ -267,14 +310,22 @@ def importances(seen: DataFrame) -> DataFrame:
     m = F.log(F.col("pages").cast("double"))
     content = F.when(F.col("pages") > 1, 1 - F.col("text_logs") / F.col("texts") / m).otherwise(1.0)
     style = F.when(F.col("pages") > 1, (F.log(F.col("styles").cast("double")) - F.col("style_logs") / F.col("styles")) / m).otherwise(1.0)
-    return nodes.select("host", "node", "pages", (DECAY * content + (1 - DECAY) * F.least(style, F.lit(1.0))).alias("importance"))
+    nodes = materialize(nodes.select("host", "node", "pages", "chars", content.alias("content"), F.least(style, F.lit(1.0)).alias("style")), "nodes")
+    # a node's branch: itself and the nodes below it
+    below = seen.filter("kind = 3").select("host", F.col("what").alias("top"), "node")
+    branch = below.union(nodes.select("host", F.col("node").alias("top"), "node"))
+    parts = branch.join(nodes, ["host", "node"]).groupBy("host", "top").agg((F.sum(F.col("chars") * F.col("content")) / F.sum("chars")).alias("branch"))
+    tree = nodes.join(parts, (nodes.host == parts.host) & (nodes.node == parts.top)).select(nodes.host, nodes.node, "pages", (DECAY * F.col("branch") + (1 - DECAY) * F.col("style")).alias("importance"))
+    tree = materialize(tree, "tree")
+    most = branch.join(tree, ["host", "node"]).groupBy("host", F.col("top").alias("node")).agg(F.max("importance").alias("most"))
+    return tree.join(most, ["host", "node"])
 
 
 def verdicts(seen: DataFrame) -> DataFrame:
     """(host, node, what, verdict) of nodes (what is 0) and texts that change what their role would do."""
     tree = importances(seen)
     enough = F.col("pages") >= PAGES
-    of_node = F.when((F.col("pages") > 1) & (F.col("importance") < LEAST), DROP_PLAIN).when(enough & (F.col("importance") >= HIGH), KEEP_NOISY)
+    of_node = F.when((F.col("pages") > 1) & (F.col("most") < LEAST), DROP_PLAIN).when(enough & (F.col("importance") >= HIGH), KEEP_NOISY)
     nodes = tree.select("host", "node", F.lit(0).cast("long").alias("what"), of_node.alias("verdict")).filter("verdict is not null")
     # a text under the threshold is on two pages or more
     own = 1 - F.log(F.col("n").cast("double")) / F.log(F.col("pages").cast("double"))
@@ -286,7 +337,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
     parsed = materialize(parse(pages), "parsed")
     # equal pages once, as hashes alone; a hot page is folded before it moves
-    distinct = parsed.groupBy("host", "digest").agg(*[F.first(c).alias(c) for c in ("nodes", "whats", "styles", "roles")])
+    distinct = parsed.groupBy("host", "digest").agg(*[F.first(c).alias(c) for c in ("nodes", "whats", "styles", "roles", "sizes", "lower", "upper")])
     seen = materialize(counts(distinct), "seen")
     judged = materialize(verdicts(seen), "judged")
     # verdicts meet single blocks, so no list grows with a host; what comes back is as long as a page
