@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 WHITE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
-def modest_batches(spark: SparkSession, rows: int = 2000) -> None:
+def modest_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Fewer rows an Arrow batch than Spark's default, unless the session sets its own number: whole
     texts are long, and batches stand in the executor's memory several times."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -61,6 +62,23 @@ def remove(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """row (a number that no two rows share), doc_id, text and the whole row as ``document``.
+
+    Rows of files are numbered by file, in order of the paths, and by place in it: the same whenever they
+    are read, with whatever splits and executors. What isn't read from files with row numbers (tests) is
+    numbered as Spark meets it.
+    """
+    spark, what = docs.sparkSession, ["doc_id", "text", F.struct("*").alias("document")]
+    try:
+        rows = docs.select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_index"), *what)
+    except AnalysisException:
+        return docs.select(F.monotonically_increasing_id().alias("row"), *what)
+    paths = sorted(r[0] for r in rows.select("_path").distinct().collect())  # one for each file
+    files = spark.createDataFrame([(path, i << 40) for i, path in enumerate(paths)], "_path string, _base long")
+    return rows.join(files, "_path").select((F.col("_base") + F.col("_index")).alias("row"), "doc_id", "text", "document")
+
+
 class Memo(dict):
     """Computed values by key; emptied when it holds ``limit`` keys, so memory stays bounded."""
 
@@ -145,7 +163,8 @@ def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     that isn't its component's smallest node; component is the smallest node.
 
     Partitions are contracted first, then large-star and small-star steps alternate until the edges
-    stay as they are. Links and labels never leave the executors; each round is a shared table.
+    stay as they are. Links and labels never leave the executors; each round is a shared table, which
+    goes once the next one stands.
     Self loops, repeated edges and an empty input are fine.
     """
     e = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").mapInArrow(_contract, "u long, v long")
@@ -165,7 +184,8 @@ def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low)
         step = materialize(small.filter("u > v").distinct(), name)
-        after, e = mark(step), step
+        after, old, e = mark(step), e, step
+        remove(e.sparkSession, old)
         if after == before:
             break
         before = after
