@@ -7,11 +7,16 @@ distance verifies each.
 
 Both sides are compared lower-cased and with white space runs as one space. Null and empty texts hold
 no item; empty items are found nowhere; an item too short for an edit must occur exactly, bounded by
-non-letters. Repeated items count once per item_id. Extra columns are ignored.
+non-letters. An item is its item_id and its text: several texts under one item_id are all searched for,
+and it counts once, with the best match; items without an id are one item, without a number in item_ids.
+Every row gives one row, repeated ids and null ids too, however many items there are. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
+import itertools
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -20,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrelog.llm.common import map_rows
+from kestrelog.llm.common import kept, map_rows, materialize
 
 #: Items and characters of the query set that one pass over the documents holds in memory.
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 8_000_000
@@ -64,11 +69,13 @@ def myers(pattern: str, text: str, most: int) -> tuple[int, int] | None:
 class Matcher:
     """Finds items within their error budget in normalised texts."""
 
-    def __init__(self, items: list[tuple[int, str | None]], rate: float):
-        self.items = {i: (t, int(rate * len(t))) for i, text in items if (t := normal(text))}
+    def __init__(self, items: list[tuple[int | None, str | None]], rate: float):
+        own = dict.fromkeys((i, t) for i, text in items if (t := normal(text)))
+        self.ids = [i for i, _ in own]
+        self.items = [(t, int(rate * len(t))) for _, t in own]
         self.automaton = ahocorasick.Automaton()
         pieces = defaultdict(list)
-        for i, (t, k) in self.items.items():
+        for i, (t, k) in enumerate(self.items):
             cuts = [j * len(t) // (k + 1) for j in range(k + 2)]
             for a, b in zip(cuts, cuts[1:]):
                 pieces[t[a:b]].append((i, a))
@@ -77,22 +84,27 @@ class Matcher:
         if pieces:
             self.automaton.make_automaton()
 
-    def find(self, text: str) -> dict[int, tuple[int, int]]:
-        """item -> (distance, end position in the normalised text), the least distance and first end."""
+    def find(self, text: str) -> dict[int | None, tuple[int, int]]:
+        """item_id -> (distance, end position in the normalised text), the least distance and first end."""
         starts: dict[int, list[int]] = defaultdict(list)
         if not self.items or not text:
             return {}
         for end, (size, owners) in self.automaton.iter(text):
             for i, offset in owners:
                 starts[i].append(end + 1 - size - offset)
-        found = {}
+        found: dict[int | None, tuple[int, int]] = {}
+
+        def add(i, hit):
+            own = self.ids[i]
+            found[own] = min(found.get(own, hit), hit)
+
         for i, at in starts.items():
             item, k = self.items[i]
             if k == 0:
-                for a in at:
+                for a in sorted(at):
                     b = a + len(item)
                     if not (text[a - 1 : a].isalnum() or text[b : b + 1].isalnum()):
-                        found[i] = (0, b)
+                        add(i, (0, b))
                         break
                 continue
             at = sorted(set(at))
@@ -103,9 +115,7 @@ class Matcher:
                     continue
                 a = max(0, low - k)
                 if hit := myers(item, text[a : here + len(item) + k], k):
-                    best = (hit[0], a + hit[1] + 1)
-                    if i not in found or best < found[i]:
-                        found[i] = best
+                    add(i, (hit[0], a + hit[1] + 1))
                 low = after
         return found
 
@@ -114,7 +124,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of bounded size, one block at the driver at a time."""
     block, chars = [], 0
     for row in benchmark.selectExpr("cast(item_id as long) item_id", "text").dropDuplicates().toLocalIterator():
-        if row.text is None or row.item_id is None:
+        if row.text is None:
             continue
         if block and (len(block) >= BLOCK_ITEMS or chars + len(row.text) > BLOCK_CHARS):
             yield block
@@ -126,15 +136,15 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 def _scan(docs: DataFrame, block: list, rate: float, carry: bool = False) -> DataFrame:
     """doc_id, hits ("item:distance:end" by item, comma-joined) and, with ``carry``, row."""
-    shared = docs.sparkSession.sparkContext.broadcast(block)
+    shared, key = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(shared.value, rate)
+        matcher = kept("matcher", key, lambda: Matcher(shared.value, rate))
         for batch in batches:
             hits = []
             for text in batch.column(1):
-                found = matcher.find(normal(text.as_py()))
-                hits.append(",".join(f"{i}:{d}:{e}" for i, (d, e) in sorted(found.items())))
+                found = sorted(matcher.find(normal(text.as_py())).items(), key=lambda x: (x[0] is not None, x))
+                hits.append(",".join(f"{'' if i is None else i}:{d}:{e}" for i, (d, e) in found))
             columns = [batch.column(0), pa.array(hits, pa.string()), *batch.columns[2:]]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "hits", "row"][: len(columns)])
 
@@ -142,25 +152,40 @@ def _scan(docs: DataFrame, block: list, rate: float, carry: bool = False) -> Dat
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08) -> DataFrame:
-    """The documents that hold no item, with their columns; narrow maps only."""
-    for block in _blocks(benchmark):
+    """The documents that hold no item, with their columns; narrow maps only, each block a table of its own
+    so that a task holds one automaton."""
+    blocks = _blocks(benchmark)
+    block = next(blocks)
+    while True:
         docs = _scan(docs, block, rate, carry=True).filter("hits = ''").select("row.*")
-    return docs
+        if (block := next(blocks, None)) is None:
+            return docs
+        docs = materialize(docs, "clean")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08) -> DataFrame:
     """One row per document: doc_id, n_items, item_ids (ascending, comma-joined), min_distance (null if
-    none), ends (end of each match in the normalised text). Documents stay where they are: each
-    block of items is broadcast, its size bounded by BLOCK_ITEMS and BLOCK_CHARS."""
-    parts = [_scan(docs, block, rate) for block in _blocks(benchmark)]
-    hits = parts[0]
-    if len(parts) > 1:
-        for part in parts[1:]:
-            hits = hits.union(part)
-        hits = hits.groupBy("doc_id").agg(F.concat_ws(",", F.sort_array(F.collect_list(F.when(F.col("hits") != "", F.col("hits"))))).alias("hits"))
+    none), ends (end of each match in the normalised text). Each block of items is broadcast, its size
+    bounded by BLOCK_ITEMS and BLOCK_CHARS. Documents stay where they are; with several blocks what later
+    ones find, few rows, comes back by (doc_id, hash of the text), on which it depends alone."""
+    blocks = _blocks(benchmark)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        hits = _scan(docs, first, rate)
+    else:
+        texts, found = docs.select("doc_id", "text", F.xxhash64("text").alias("own")), None
+        for block in itertools.chain([first, second], blocks):
+            part = _scan(texts, block, rate, carry=True).filter("hits <> ''").select("doc_id", "row.own", "hits")
+            part = materialize(part.distinct(), "hits")
+            found = part if found is None else found.union(part)
+        found = found.groupBy(F.col("doc_id").alias("d"), F.col("own").alias("o")).agg(F.concat_ws(",", F.collect_list("hits")).alias("hits"))
+        every = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "own")
+        hits = every.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("own").eqNullSafe(F.col("o")), "left").select("doc_id", F.coalesce("hits", F.lit("")).alias("hits"))
     each = F.when(F.col("hits") == "", F.array().cast("array<string>")).otherwise(F.split("hits", ","))
-    out = hits.select("doc_id", F.transform(each, lambda x: F.split(x, ":").cast("array<long>")).alias("h"))
-    out = out.select("doc_id", F.array_sort(F.transform("h", lambda x: F.struct(x[0].alias("i"), x[1].alias("d"), x[2].alias("e")))).alias("h"))
+    parts = F.transform(F.transform(each, lambda x: F.split(x, ":")), lambda x: F.struct(F.nullif(x[0], F.lit("")).cast("long").alias("i"), x[1].cast("long").alias("d"), x[2].cast("long").alias("e")))
+    out = hits.select("doc_id", F.array_sort(parts).alias("all"))
+    # an item with texts in several blocks counts once, with its best match
+    out = out.select("doc_id", F.filter("all", lambda x, k: (k == 0) | ~x["i"].eqNullSafe(F.get("all", k - 1)["i"])).alias("h"))
     return out.select(
         "doc_id",
         F.size("h").cast("long").alias("n_items"),
