@@ -2,13 +2,14 @@
 
 A text is cut at every line feed. Each three consecutive lines are one window, known by two 64-bit
 hashes. Of a window that stands more than once in the table, the occurrence with the smallest
-(doc_id, line) stays; every later one covers its three lines. The covered lines of a document are
-merged and removed. A later occurrence that overlaps the first one covers only the lines after it, so
-what stays is whole.
+(doc_id, hash of the text, line) stays, null ids first; every later one covers its three lines. The
+covered lines of a document are merged and removed. A later occurrence that overlaps the first one
+covers only the lines after it, so what stays is whole.
 
-Null texts stay null, with no lines. Texts of fewer than three lines have no window and stay as they
-are. Repeated rows with one doc_id are one document given twice: both are cleaned alike. Extra columns
-are ignored.
+A document is known by its doc_id, null or not, and the 64-bit hash of its text. So two texts under one
+doc_id are two documents, and rows that repeat both are one document given several times: all are
+cleaned alike. Null texts stay null, with no lines. Texts of fewer than three lines have no window and
+stay as they are. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,11 +19,13 @@ from pyspark.sql import functions as F
 
 
 def covered_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, removed array<int>) of documents that lose lines; lines count from 0."""
-    lines = docs.filter("text is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.split("text", "\n", -1).alias("l"))
-    hashed = lines.filter(F.size("l") >= 3).select("doc_id", F.transform("l", lambda x: F.xxhash64(x)).alias("h"), F.transform("l", lambda x: F.crc32(x.cast("binary"))).alias("c"))
+    """(doc_id, t, removed array<int>) of documents that lose lines; t is the text's hash, lines count
+    from 0."""
+    lines = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), F.split("text", "\n", -1).alias("l"))
+    hashed = lines.filter(F.size("l") >= 3).select("doc_id", "t", F.transform("l", lambda x: F.xxhash64(x)).alias("h"), F.transform("l", lambda x: F.crc32(x.cast("binary"))).alias("c"))
     keys = hashed.select(
         "doc_id",
+        "t",
         F.posexplode(
             F.transform(
                 F.sequence(F.lit(0), F.size("h") - 3),
@@ -32,17 +35,20 @@ def covered_lines(docs: DataFrame) -> DataFrame:
                 ),
             )
         ).alias("pos", "k"),
-    ).select("doc_id", "pos", "k.k1", "k.k2")
-    first = keys.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    later = keys.join(first, ["k1", "k2"]).filter("doc_id <> first.doc_id or pos <> first.pos")
-    begins = F.when(F.col("doc_id") == F.col("first.doc_id"), F.greatest("pos", F.col("first.pos") + 3)).otherwise(F.col("pos"))
-    spans = later.select("doc_id", F.explode(F.filter(F.sequence(F.col("pos"), F.col("pos") + 2), lambda x: x >= begins)).alias("line"))
-    return spans.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    ).select("doc_id", "t", "pos", "k.k1", "k.k2")
+    first = keys.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "t", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t") == F.col("first.t"))
+    later = keys.join(first, ["k1", "k2"]).filter(~same | (F.col("pos") != F.col("first.pos")))
+    begins = F.when(same, F.greatest("pos", F.col("first.pos") + 3)).otherwise(F.col("pos"))
+    spans = later.select("doc_id", "t", F.explode(F.filter(F.sequence(F.col("pos"), F.col("pos") + 2), lambda x: x >= begins)).alias("line"))
+    return spans.groupBy("doc_id", "t").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, text (what stays, joined by line feeds)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(covered_lines(docs), "doc_id", "left")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t"))
+    covered = covered_lines(docs).select(F.col("doc_id").alias("d"), F.col("t").alias("u"), "removed")
+    rows = rows.join(covered, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("u")), "left")
     lines = F.split("text", "\n", -1)
     gone = F.coalesce("removed", F.array().cast("array<int>"))
     out = rows.select("doc_id", "text", lines.alias("l"), gone.alias("gone"))
@@ -58,18 +64,19 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 
 SQL = r"""
-WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
-w AS (SELECT doc_id, l, unnest(range(0, len(l) - 2)) AS pos FROM l WHERE len(l) >= 3),
-k AS (SELECT doc_id, pos, l[pos + 1] AS a, l[pos + 2] AS b, l[pos + 3] AS c FROM w),
-f AS (SELECT a, b, c, min(doc_id * 10000000 + pos) AS first FROM k GROUP BY a, b, c HAVING count(*) > 1),
-later AS (SELECT k.doc_id, k.pos, f.first FROM k JOIN f USING (a, b, c) WHERE k.doc_id * 10000000 + k.pos <> f.first),
-s AS (SELECT doc_id, first, unnest(range(pos, pos + 3)) AS line FROM later),
-r AS (SELECT DISTINCT doc_id, line FROM s WHERE NOT (first // 10000000 = doc_id AND line < first % 10000000 + 3)),
-n AS (SELECT doc_id, count(*) AS n FROM r GROUP BY doc_id),
-e AS (SELECT doc_id, l, unnest(range(0, len(l))) AS line FROM l),
-j AS (SELECT e.doc_id, string_agg(e.l[e.line + 1], chr(10) ORDER BY e.line) AS text
-      FROM e LEFT JOIN r ON r.doc_id = e.doc_id AND r.line = e.line WHERE r.line IS NULL GROUP BY e.doc_id)
-SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END AS n_lines,
-       coalesce(n.n, 0) AS n_removed, CASE WHEN d.text IS NULL THEN NULL ELSE sha256(coalesce(j.text, '')) END AS text_sha256
-FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN j ON j.doc_id = d.doc_id
+WITH l AS (SELECT DISTINCT doc_id, text, coalesce(doc_id, -9223372036854775808) AS d, md5(text) AS t, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+w AS (SELECT d, t, l, unnest(range(0, len(l) - 2)) AS pos FROM l WHERE len(l) >= 3),
+k AS (SELECT d, t, pos, l[pos + 1] AS a, l[pos + 2] AS b, l[pos + 3] AS c FROM w),
+f AS (SELECT a, b, c, min(row(d, t, pos)) AS first, count(*) AS n FROM k GROUP BY a, b, c HAVING count(*) > 1),
+later AS (SELECT k.d, k.t, k.pos, first FROM k JOIN f USING (a, b, c) WHERE row(k.d, k.t, k.pos) <> first),
+s AS (SELECT d, t, first, unnest(range(pos, pos + 3)) AS line FROM later),
+r AS (SELECT DISTINCT d, t, line FROM s WHERE NOT (first[1] = d AND first[2] = t AND line < first[3] + 3)),
+n AS (SELECT d, t, count(*) AS n FROM r GROUP BY d, t),
+e AS (SELECT d, t, l, unnest(range(0, len(l))) AS line FROM l),
+j AS (SELECT e.d, e.t, string_agg(e.l[e.line + 1], chr(10) ORDER BY e.line) AS text
+      FROM e LEFT JOIN r ON r.d = e.d AND r.t = e.t AND r.line = e.line WHERE r.line IS NULL GROUP BY e.d, e.t)
+SELECT q.doc_id, CASE WHEN q.text IS NULL THEN 0 ELSE len(string_split(q.text, chr(10))) END AS n_lines,
+       coalesce(n.n, 0) AS n_removed, CASE WHEN q.text IS NULL THEN NULL ELSE sha256(coalesce(j.text, '')) END AS text_sha256
+FROM (SELECT *, coalesce(doc_id, -9223372036854775808) AS d, md5(text) AS t FROM documents) q
+LEFT JOIN n ON n.d = q.d AND n.t = q.t LEFT JOIN j ON j.d = q.d AND j.t = q.t
 """
