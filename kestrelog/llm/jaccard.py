@@ -16,8 +16,8 @@ that a 1024-bit parity sketch (an exact lower bound of the difference) doesn't r
 verified as well: components lose no link.
 
 Null and empty texts have an empty set and no links. A text with fewer words than a shingle is one
-shingle. Repeated rows are copies of each other; a row without doc_id has nulls. Extra columns are
-ignored.
+shingle. Rows with one doc_id are one document: it links by each of its texts, and each row tells the size
+of its own set. A row without doc_id has nulls and links nothing. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrelog.llm.common import Memo, arrow_type, components, kept, materialize, modest_batches, release
+from kestrelog.llm.common import Memo, arrow_type, components, kept, materialize, modest_batches, release, remove
 
 U64 = np.uint64
 GOLD = 0x9E3779B97F4A7C15
@@ -319,7 +319,7 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, chance:
     index = materialize(_index(docs, width, percent, documents, chance, parts), "index")
     release(spark)
     described = index.filter("sig is null").select("doc_id", "n", "f1", "f2", *SKETCH)
-    small = described.filter("n > 0").dropDuplicates(["doc_id"])
+    small = described.filter("n > 0").dropDuplicates(["doc_id", "f1", "f2"])
     edges = index.filter("sig is not null").select("sig", "a", "b")
 
     pairs = edges.groupBy("a", "b").agg(F.lit(1).alias("one"))
@@ -335,7 +335,7 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, chance:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], names=["doc_id", "items"])
 
-    texts = docs.selectExpr("cast(doc_id as long) doc_id", "text").join(members, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = docs.selectExpr("cast(doc_id as long) doc_id", "text", "xxhash64(text) as t").join(members, "doc_id", "left_semi").dropDuplicates(["doc_id", "t"])
     sets = materialize(texts.select("doc_id", "text").mapInArrow(shingles, "doc_id long, items binary"), "items")
 
     release(spark)
@@ -345,9 +345,11 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, chance:
     # few documents of a group may miss its smallest one: other members, a different one by each signature
     near = _across_stars(_labelled(edges, labels), small, percent).join(likely.select("a", "b"), ["a", "b"], "left_anti")
     near = materialize(_verify(near, sets, percent), "stars")
+    every = links
     if not near.isEmpty():
-        links = links.union(near)
-        labels = components(links, "labels1")
+        every = links.union(near)
+        remove(spark, labels)
+        labels = components(every, "labels1")
     release(spark)
 
     # signatures whose documents still lie in several components
@@ -367,7 +369,11 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, chance:
     if more.isEmpty():
         final = labels
     else:
-        final = components(links.union(more), "labels2")
+        final = components(every.union(more), "labels2")
+        remove(spark, labels)
+    known = materialize(described.select("doc_id", F.col("n").alias("n_shingles")), "sizes")
+    for done in (index, likely, sets, links, near, groups, more):  # what the result doesn't read
+        remove(spark, done)
     nameless = docs.filter("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_shingles"))
-    out = described.select("doc_id", F.col("n").alias("n_shingles")).union(nameless).join(final, F.col("doc_id") == F.col("node"), "left")
+    out = known.union(nameless).join(final, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
