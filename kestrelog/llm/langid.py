@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 from kestrelog.llm.common import arrow_type, materialize
 
 #: Code points that are letters get themselves, all else is a word end (0).
-_LETTER = np.array([i if chr(i).isalpha() else 0 for i in range(0x110000)], np.int64)
+LETTER = np.array([i if chr(i).isalpha() else 0 for i in range(0x110000)], np.int64)
 
 
 def _points(text: str) -> np.ndarray:
     """Lower-case letters as code points, runs of anything else as one 0, with 0 at both ends."""
     a = np.frombuffer(("\0" + text.lower() + "\0").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    a = _LETTER[a]
+    a = LETTER[a]
     keep = np.ones(len(a), bool)
     keep[1:] = (a[1:] != 0) | (a[:-1] != 0)
     return a[keep]

@@ -1,10 +1,14 @@
 """Operator 4: toxicity by noisy-channel deobfuscation.
 
-A word that isn't plain letters (leetspeak, signs at its ends or inside), one with repeated letters, and
-a run of single letters set apart by any blanks or signs (where words may end) are character lattices: each place offers the letters it may stand for, at
-a cost. A Viterbi search over trigram states finds the reading that a character language model,
-counted over all documents, likes best. The restored words are then scored by a logistic model over
-words and word beginnings, learned from labelled rows.
+A word that isn't plain letters (leetspeak, digits and signs at its ends, inside or alone), one with
+repeated letters, and a run of single letters set apart by any blanks or signs (where words may end) are
+character lattices: each place offers the letters it may stand for, at a cost. A Viterbi search over
+trigram states finds the reading that a character language model likes best. The model is the exact
+counts of all letter trigrams of all documents: it grows with what they hold. Letters without case, of
+scripts that nobody writes in leetspeak, are one letter to it, so its size is bounded by the trigrams of
+the cased alphabets that occur. The restored words are then scored by a logistic model over words and
+word beginnings, learned from labelled rows; its weights are not negative, so a word speaks for toxicity
+or not at all, and no wealth of harmless words outweighs a toxic one.
 
 Null and empty texts have no words and get the model's base score. Labels that are null or whose
 document is missing teach nothing; without labels of both classes every score is 0. Repeated rows get
@@ -16,6 +20,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,54 +29,71 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kestrelog.llm.common import Memo, arrow_type, kept, map_rows, materialize
-from kestrelog.llm.langid import _points
+from kestrelog.llm.langid import LETTER, _points
 
 #: Letters that a sign may stand for (fixed values).
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "¡": "i"}
 #: Costs of the channel, in nats.
 SWAP, DROP, DROP_SIGN, DOUBLED, REPEATED, BREAK = 1.0, 8.0, 1.0, 5.0, 0.5, 3.0
-#: Hash buckets of the language model's trigram and context counts.
-TRI, BI = 1 << 17, 1 << 14
 #: Labelled rows of each class that the classifier is fitted on, at most, and its features.
 SAMPLE, FEATURES = 6000, 2048
 #: Least chi-square statistic of a feature.
 CHI = 12.0
 
 
-def _bucket(codes, bits):
-    return (codes * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> (64 - bits)
+#: Letters numbered below this are counted in a plain array: the Latin ones of most texts.
+FEW = 64
 
 
-def language_model(docs: DataFrame) -> np.ndarray:
-    """Counts of letter trigrams (TRI hash buckets) and their two-letter contexts (BI) over all texts."""
+@cache
+def alphabet() -> np.ndarray:
+    """Number of each code point: 0 for what is no letter (a word's end), 1 for letters without case, and
+    each lower-case letter its own from 2, in order."""
+    out, n = (LETTER != 0).astype(np.int64), 2
+    for i in np.flatnonzero(LETTER).tolist():
+        c = chr(i)
+        if c.lower() == c != c.upper():
+            out[i], n = n, n + 1
+    return out
+
+
+def language_model(docs: DataFrame) -> dict[str, np.ndarray]:
+    """Counts of letter trigrams over all texts, and of the two letters that they begin with: tri and bi,
+    ascending codes of 12 bits a letter, with tri_n and bi_n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(TRI + BI, np.int64)
-        factor, shift = np.uint64(0x9E3779B97F4A7C15), np.uint64(64)
+        numbers, few = alphabet(), np.zeros(FEW**3, np.int64)
         for batch in batches:
-            for text in batch.column(0):
-                a = _points(text.as_py() or "").astype(np.uint64)
-                if len(a) < 3:
-                    continue
-                two = (a[:-2] << np.uint64(21)) | a[1:-1]
-                tri = (two << np.uint64(21)) | a[2:]
-                np.add.at(total, (tri * factor >> (shift - np.uint64(17))).astype(np.int64), 1)
-                np.add.at(total, TRI + (two * factor >> (shift - np.uint64(14))).astype(np.int64), 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(total[at])], names=["bucket", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    out = np.zeros(TRI + BI, np.int64)
-    for row in rows.collect():  # TRI + BI rows at most
-        out[row.bucket] = row.n
-    return out
+            for at in range(0, batch.num_rows, 200):  # a part at a time bounds the memory
+                a = np.concatenate([numbers[_points(t.as_py() or "")] for t in batch.column(0).slice(at, 200)])
+                x, y, z = a[:-2], a[1:-1], a[2:]
+                real = ((x != 0) | (y != 0)) & ((y != 0) | (z != 0))  # not from one text to the next
+                plain = real & (np.maximum(np.maximum(x, y), z) < FEW)
+                few += np.bincount((x[plain] * FEW + y[plain]) * FEW + z[plain], minlength=len(few))
+                other = real & ~plain
+                codes, n = np.unique((x[other] << 24) | (y[other] << 12) | z[other], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n.astype(np.int64))], names=["code", "n"])
+        at = np.flatnonzero(few)
+        yield pa.RecordBatch.from_arrays([pa.array((at // FEW**2 << 24) | (at // FEW % FEW << 12) | at % FEW), pa.array(few[at])], names=["code", "n"])
+
+    rows = docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    tri, n = rows.column("code").to_numpy(), rows.column("n").to_numpy()
+    order = np.argsort(tri)
+    tri, n = tri[order], n[order]
+    bi, first = np.unique(tri >> 12, return_index=True)
+    return {"tri": tri, "tri_n": n, "bi": bi, "bi_n": np.add.reduceat(n, first) if len(n) else n}
+
+
+def _count(codes: np.ndarray, counts: np.ndarray, code: int) -> int:
+    at = int(np.searchsorted(codes, code))
+    return int(counts[at]) if at < len(codes) and codes[at] == code else 0
 
 
 class Restorer:
     """Words of a text with obfuscated ones restored."""
 
-    def __init__(self, counts: np.ndarray):
-        self.tri, self.bi = counts[:TRI], counts[TRI:]
+    def __init__(self, counts: dict[str, np.ndarray]):
+        self.counts, self.numbers = counts, alphabet()
         self.costs = Memo(self._cost, 100_000)
         signs = re.escape("".join(c for c in LEET if not c.isalnum()))
         self.run = re.compile(r"(.)\1*", re.S)
@@ -84,16 +106,13 @@ class Restorer:
         self.edges = re.compile(rf"^[^\w{signs}]+|[^\w{signs}]+$")
 
     def _cost(self, key: tuple[str, str, str]) -> float:
-        a, b, c = (0 if x == " " else ord(x) for x in key)
-        two = (a << 21) | b
-        n = self.tri[_bucket((two << 21) | c, 17)]
-        return float(-np.log((n + 0.1) / (self.bi[_bucket(two, 14)] + 4.0)))
+        a, b, c = (int(self.numbers[ord(x)]) for x in key)
+        m, two = self.counts, a << 12 | b
+        return float(-np.log((_count(m["tri"], m["tri_n"], two << 12 | c) + 0.1) / (_count(m["bi"], m["bi_n"], two) + 4.0)))
 
-    def decode(self, word: str, pause: float | None = None) -> str:
-        """The cheapest reading of a lattice; states are the last two letters. With ``pause``, the cost of
-        one, a blank may follow each letter."""
-        states = {(" ", " "): (0.0, "")}
-        costs = self.costs
+    def lattice(self, word: str, pause: float | None = None) -> Iterator[list[tuple[str, float]]]:
+        """What each place may stand for, at what cost. With ``pause``, the cost of one, a blank may follow
+        each letter."""
         for found in self.run.finditer(word):
             c, n = found[1], len(found[0])
             if c.isalpha():
@@ -104,6 +123,13 @@ class Restorer:
                 options = [("", DROP_SIGN)]
             if pause is not None:
                 options += [(x + " ", price + pause) for x, price in options if x and found.end() < len(word)]
+            yield options
+
+    def decode(self, word: str, pause: float | None = None) -> str:
+        """The cheapest reading of a lattice; states are the last two letters."""
+        states = {(" ", " "): (0.0, "")}
+        costs = self.costs
+        for options in self.lattice(word, pause):
             after: dict = {}
             for state, (cost, text) in states.items():
                 for more, price in options:
@@ -119,26 +145,22 @@ class Restorer:
 
     def _span(self, letters: str) -> list[str]:
         """Words of spaced-out letters; the first and the last may be one-letter words beside them."""
-        if not any(c.isalpha() for c in letters):
-            return []
         parts = {x for x in (letters, letters[1:], letters[:-1], letters[1:-1]) if len(x) > 2}
         return sorted({word for part in parts for word in self.decode(part, BREAK).split()})
 
     def word(self, chunk: str) -> str:
-        """The restored word of a lower-case chunk without blanks; empty if it has no letters."""
+        """The restored word of a lower-case chunk without blanks; empty if nothing in it may be a letter."""
         if not chunk.isalpha():
             chunk = self.ends.sub("", chunk)
         if chunk.isalpha() and not self.repeated(chunk):
             return chunk
-        if not any(c.isalpha() for c in chunk):
-            return ""
-        return self.decode(chunk)
+        return self.decode(chunk) if any(c.isalpha() or c in LEET for c in chunk) else ""
 
     def readings(self, chunk: str) -> set[str]:
         """The restored word without signs at its ends, and what the chunk spells if they are letters."""
         found = {self.word(chunk)}
         core = self.edges.sub("", chunk)
-        if not core.isalpha() and any(c.isalpha() for c in core) and not (core[0].isalnum() and core[-1].isalnum()):
+        if core and not core.isalpha() and not (core[0].isalnum() and core[-1].isalnum()):
             found.add(self.decode(core))
         return found
 
