@@ -3,6 +3,8 @@
 import base64
 import collections
 import hashlib
+import itertools
+import math
 import re
 import zlib
 
@@ -141,6 +143,20 @@ def test_decontamination_finds_edited_items(spark, odd, empty):
     assert decontaminate.clean(odd, bench).columns == odd.columns
 
 
+def test_blocks_of_items_change_nothing(spark, odd, monkeypatch):
+    bench = [(1, "alpha beta gamma delta epsilon"), (1, "one two three four five six"), (2, "zeta eta theta iota kappa"), (None, "lambda mu nu xi omicron"), (3, "one two three four five sax")]
+    texts = [(7, "x alpha beta gamma delta epsilon y"), (7, "one two three four five six"), (7, "one two three four five six"), (None, "zeta eta theta iota kappa"), (None, "nothing"), (8, "lambda mu nu xi omicron"), (9, None)]
+    want = sorted([(7, 1, "1"), (7, 2, "1,3"), (7, 2, "1,3"), (-1, 1, "2"), (-1, 0, ""), (8, 1, ""), (9, 0, "")])
+    docs = spark.createDataFrame([(*t, "clash", 1) for t in texts], "doc_id long, text string, hits string, own int")
+    items = spark.createDataFrame(bench, "item_id long, text string").coalesce(1)
+    for size in (20_000, 2, 1):
+        monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", size)
+        got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_items, r.item_ids) for r in decontaminate.contaminated(docs, items).collect())
+        assert got == want, size
+        assert sorted((r.doc_id or 0, r.text or "") for r in decontaminate.clean(docs, items).collect()) == [(0, "nothing"), (9, "")]
+        assert decontaminate.contaminated(odd, items).count() == len(ODD) + 2
+
+
 # 3 Jaccard join
 
 
@@ -227,6 +243,13 @@ def test_jaccard_odd_rows(spark, odd, empty):
     assert jaccard.jaccard_classes(empty).count() == 0
 
 
+def test_jaccard_links_by_each_text_of_an_id(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(60))
+    df = spark.createDataFrame([(1, a), (2, a + " x"), (2, b), (3, b), (4, b + " z"), (5, "c"), (None, b)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_shingles or 0, r.component_id or 0) for r in jaccard.jaccard_classes(df, 3, 90).collect())
+    assert got == [(0, 0, 0), (1, 38, 1), (2, 39, 1), (2, 58, 1), (3, 58, 1), (4, 59, 1), (5, 1, 5)]
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 900, (500, 2))] + [(i, i + 1) for i in range(2000, 2300)] + [(5000, 5000 + i) for i in range(300)]
@@ -290,6 +313,42 @@ def test_toxicity_signs_at_ends_and_doubled_letters(spark, docs):
     assert {x: restorer.word(x) for x in words} == words
 
 
+def test_viterbi_finds_the_cheapest_of_all_readings(docs):
+    restorer = toxicity.Restorer(toxicity.language_model(docs))
+
+    def cost(reading):
+        text, total = "".join(x for x, _ in reading), sum(p for _, p in reading)
+        padded = "  " + text + " "
+        return total + sum(restorer.costs[padded[i], padded[i + 1], padded[i + 2]] for i in range(len(text) + 1))
+
+    rng = np.random.default_rng(8)
+    for k in range(120):
+        word = "".join(rng.choice(list("idotsae014$!l-"), int(rng.integers(1, 7))))
+        pause = toxicity.BREAK if k % 3 == 0 else None
+        want = min(map(cost, itertools.product(*restorer.lattice(word, pause))))
+        found = restorer.decode(word, pause)
+        assert min(cost(r) for r in itertools.product(*restorer.lattice(word, pause)) if "".join(x for x, _ in r) == found) == pytest.approx(want, abs=1e-9), word
+
+
+def test_language_model_is_exact(spark):
+    texts = ["The cat, the hat!", "ΩΜΕΓΑ ωμέγα über", None, "", "日本 a1b", "the"]
+    m = toxicity.language_model(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    numbers = toxicity.alphabet()
+    tri, bi = collections.Counter(), collections.Counter()
+    for t in texts:
+        a = [numbers[ord(c)] for c in " " + re.sub(r"[\W\d_]+", " ", (t or "").lower()) + " "]
+        a = [x for i, x in enumerate(a) if i == 0 or x or a[i - 1]]
+        for x, y, z in zip(a, a[1:], a[2:]):
+            tri[int(x << 24 | y << 12 | z)] += 1
+            bi[int(x << 12 | y)] += 1
+    assert dict(zip(m["tri"].tolist(), m["tri_n"].tolist())) == tri and dict(zip(m["bi"].tolist(), m["bi_n"].tolist())) == bi
+
+
+def test_digits_alone_are_read(docs):
+    restorer = toxicity.Restorer(toxicity.language_model(docs))
+    assert all(restorer.word(x).isalpha() for x in ("455", "5417", "$7@")) and restorer.word("...") == ""
+
+
 # 5 line dedup
 
 
@@ -325,9 +384,39 @@ def test_line_dedup_odd(spark, odd, empty):
     assert linededup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_knows_documents_by_id_and_text(spark):
+    rows = [(1, "a\nb\nc\nx"), (2, "a\nb\nc\ny"), (2, "KEEP1\nKEEP2\nKEEP3\nKEEP4"), (2, "KEEP1\nKEEP2\nKEEP3\nKEEP4"), (None, "p\nq\nr"), (None, "p\nq\nr\ns"), (3, "p\nq\nr\nt")]
+    got = sorted((r.doc_id or 0, r.text) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    keep = "KEEP1\nKEEP2\nKEEP3\nKEEP4"
+    assert [x for x in got if x[0]] == [(1, "a\nb\nc\nx"), (2, keep), (2, keep), (2, "y"), (3, "t")]
+    assert [t for i, t in got if not i] in (["p\nq\nr", "s"], ["", "p\nq\nr\ns"])
+
+
 # 6 language
 
 
+def test_out_of_place_distance(spark):
+    """Ranks and distances by plain lists."""
+    texts = {0: "the cat sat on the mat with the hat", 1: "der hund und die katze auf dem dach", 2: "le chat est sur la table avec le chien", 3: "the dog and der hund", 4: "katze hat la mat"}
+    langs = {0: "en", 1: "de", 2: "fr"}
+    df = spark.createDataFrame([(i, t, langs.get(i)) for i, t in texts.items()], "doc_id long, text string, lang string")
+    learned = langid.profiles(df, F.lit(True), size=40)
+
+    def ranks(text):
+        counts = collections.Counter()
+        for w in text.split():
+            w = f"\0{w}\0"
+            counts.update(w[i : i + n] for n in (1, 2, 3) for i in range(len(w) - n + 1) if w[i] != "\0" or n == 3)
+        low = {g: sum((0x1FFFFF if i >= len(g) else ord(g[i])) << (42 - 21 * i) for i in range(3)) for g in counts}
+        return [g for g, _ in sorted(((low[g], n) for g, n in counts.items() if g != "\0"), key=lambda x: (-x[1], x[0]))][:40]
+
+    profiles = {langs[i]: ranks(texts[i]) for i in langs}
+    for r in langid.identify(df, learned, size=40).collect():
+        own = ranks(texts[r.doc_id])
+        far = sorted((sum(abs(p.index(g) - k) if g in p else 40 for k, g in enumerate(own)), lang) for lang, p in profiles.items())
+        assert r.lang_pred == far[0][1] and r.score == pytest.approx(1.0 if far[0][0] == 0 else far[1][0] / (far[0][0] + far[1][0]))
+
+
 def test_language(spark, rows, odd, empty):
     got = {r.doc_id: r for r in queries.op6_language(spark, SF).collect()}
     held = [(rows[i].lang, r.lang_pred) for i, r in got.items() if r.held_out]
@@ -399,6 +488,55 @@ def test_roles_are_a_prior(spark):
     assert extract(spark, few) == ["a", "c", ""]
 
 
+def test_names_of_roles():
+    noise = {"site-footer": 1, "sidebar": 1, "comment-list": 2, "post comments": 2, "ad-hoc": 0, "ad-hoc networks": 0, "social-history": 0, "page has-sidebar": 0, "cookie-notice": 1, "ad_banner": 2, "story": 0}
+    assert {x: html.named(x) for x in noise} == noise
+
+
+def test_what_is_never_content_goes_and_what_is_stays(spark):
+    pages = [(f"http://c.org/{i}", f"<div><p>Story {i}</p><p>where <math><mi>x</mi></math> is {i}</p><xmp><b>{i}</b></xmp></div><ul class=comments><li>I think {i}</li></ul><div class=ad>Buy {i}</div><object>Chart {i}</object>") for i in range(12)]
+    assert extract(spark, pages) == [f"Story {i}\nwhere x is {i}\n<b>{i}</b>\nChart {i}" for i in range(12)]
+    deep = [("http://d.org", "<div>" * 3000 + "deep" + "</div>" * 3000 + "<p>end</p>")]
+    assert extract(spark, deep) == ["deep\nend"]
+    clash = spark.createDataFrame([(None, None, None, "x", 1), (1, None, "<p>a</p>", "y", 2), (1, None, "<p>a</p>", "y", 2)], "page_id long, url string, html string, text string, host int")
+    assert sorted((r.page_id or 0, r.text) for r in html.main_text(clash).collect()) == [(0, ""), (1, "a"), (1, "a")]
+    nothing = spark.createDataFrame([(None, None, None)] * 3, "page_id long, url string, html string")
+    assert [tuple(r) for r in html.main_text(nothing).collect()] == [(None, None, "", 0)] * 3
+    long = "word " * 400_000
+    assert extract(spark, [("x", f"<article><p>{long}</p></article>")]) == [long.strip()]
+
+
+def test_importance_is_composed_over_branches(spark):
+    """Entropies and branches by plain loops over parsed pages."""
+    rng = np.random.default_rng(9)
+    pages = []
+    for i in range(30):
+        item = "".join(f"<li>{rng.choice(['x', 'y', f'z{i}'])}</li>" for _ in range(int(rng.integers(0, 4))))
+        pages.append((i, f"http://h{i % 2}.org", f"<div class=a>{rng.choice(['same', f'own {i}'])}<ul>{item}</ul><p><b>{rng.integers(0, 3)}</b></p></div><section><p>Terms</p><div>{'note' if i % 3 else f'<i>n{i}</i>'}</div></section>"))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    parsed = html.parse(df)
+    distinct = parsed.groupBy("host", "digest").agg(*[F.first(c).alias(c) for c in ("nodes", "whats", "styles", "roles", "sizes", "lower", "upper")])
+    got = {(r.host, r.node): (r.pages, r.importance, r.most) for r in html.importances(html.counts(distinct)).collect()}
+    want = {}
+    for host in ("h0.org", "h1.org"):
+        own = list({tuple((b[0], b[1], b[2]) for b in html.blocks(p)) for _, u, p in pages if u.endswith(host)})
+        paths = {b[0] for p in own for b in p}
+        content, style, chars, n = {}, {}, {}, {}
+        for path in paths:
+            having = [[b for b in p if b[0] == path] for p in own if any(b[0] == path for b in p)]
+            m = n[path] = len(having)
+            texts, styles = (collections.Counter(x for p in having for x in {b[k] for b in p}) for k in (2, 1))
+            content[path] = 1 - sum(c * math.log(c) for c in texts.values()) / sum(texts.values()) / math.log(m) if m > 1 else 1.0
+            total = sum(styles.values())
+            style[path] = min(1.0, -sum(c / total * math.log(c / total) for c in styles.values()) / math.log(m)) if m > 1 else 1.0
+            chars[path] = sum(len(b[2]) for p in having for b in p)
+        inside = {path: [q for q in paths if q[: len(path)] == path] for path in paths}
+        whole = {path: 0.9 * sum(chars[q] * content[q] for q in inside[path]) / sum(chars[q] for q in inside[path]) + 0.1 * style[path] for path in paths}
+        want |= {(host, path[-1]): (n[path], whole[path], max(whole[q] for q in inside[path])) for path in paths}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
 def test_main_text_query(spark):
     got = {r.page_id: r for r in queries.op7_main_text(spark, SF).collect()}
     for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
@@ -422,6 +560,25 @@ def test_exact_dedup(spark, rows, odd, empty):
     assert out.count() == len(ODD) + 2 and trie.exact_groups(empty).count() == 0
 
 
+def test_exact_dedup_keeps_one_of_repeated_rows(spark):
+    rows = [(1, "a", "p"), (1, "a", "q"), (2, "b", "r"), (None, "b", "s"), (None, "c", "t"), (None, "c", "u"), (3, None, "v"), (4, "", "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string").repartition(4)
+    out = trie.exact_groups(df).collect()
+    assert len(out) == 8 and sorted((r.doc_id or 0, r.group_size) for r in out if r.kept) == [(0, 2), (1, 2), (2, 2), (4, 2)]
+    kept = trie.unique(df)
+    assert kept.columns == df.columns and sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "c"), (1, "a"), (2, "b"), (4, "")]
+
+
+def test_trie_holds_to_its_budget():
+    rng = np.random.default_rng(12)
+    keys = [bytes(rng.integers(0, 256, 16, np.uint8)) for _ in range(20_000)] + [b"x" * 30_000 + bytes([i % 250]) for i in range(300)]
+    t = trie.PatriciaTrie(min, 400_000)
+    for i, k in enumerate(keys):
+        t.insert(k, i)
+        assert t.held <= 400_000 + 31_000
+    assert {k for k, _, _ in t.items()} == set(keys)
+
+
 def test_trie_with_spills():
     rng = np.random.default_rng(6)
     keys = [bytes(rng.choice([97, 98, 99], int(rng.integers(0, 40)))) for _ in range(4000)] + [b"p" * 60 + bytes([65 + i % 7]) * (i % 50) for i in range(500)]
@@ -488,9 +645,32 @@ def check_ids(got, order, texts):
 def test_token_ids(spark, rows, odd, empty, monkeypatch):
     check_ids(queries.op10_token_ids(spark, SF).collect(), sorted(rows), {i: r.text for i, r in rows.items()})
     path = public_tokenizers.path("word_bpe_49k.json")
-    got = huffman.read_ids(huffman.write_ids(odd, path, 2)).orderBy("start").collect()
+    got = huffman.read_ids(spark, huffman.write_ids(odd, path, 2)).orderBy("start").collect()
     check_ids(got, [None, 0, 1, 2, 3, 3, *range(4, len(ODD))], dict(enumerate(ODD)) | {None: "no id"})
-    assert huffman.read_ids(huffman.write_ids(empty, path, 2)).count() == 0
+    assert huffman.read_ids(spark, huffman.write_ids(empty, path, 2)).count() == 0
+
+
+def test_ids_of_every_character():
+    """What case folding, composition and word ends could change, against the library."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, tokens = Tokenizer.from_file(path), huffman.Tokens(path)
+    rng = np.random.default_rng(0)
+    alphabet = [*"abzHIJKTW .,'!-\n\t", *map(chr, (0x301, 0x331, 0x307, 0x30C, 0x130, 0x915, 0x93C, 0x958, 0x95C, 0x9DC, 0x1E96, 0xDF, 0xE9, 0x65E5, 0x663, 0x85)), "<|endoftext|>", "<|EndOfText|>", "'s", "'ll"]
+    texts = [form.replace("{}", chr(c)) for c in range(1, 0x11000) if not 0xD800 <= c < 0xE000 for form in ("h{}! H{}?",)]
+    texts += [chr(c) + "." for c in (0x130, *range(0x958, 0x960), 0x9DC)] + ["".join(rng.choice(alphabet, int(rng.integers(1, 14)))) for _ in range(20_000)]
+    for at in range(0, len(texts), 2000):
+        part = texts[at : at + 2000]
+        want = [e.ids for e in library.encode_batch_fast(part, add_special_tokens=False)]
+        assert [np.frombuffer(x, tokens.kind).tolist() for x in tokens.encode(part)] == want
+
+
+def test_shards_are_files(spark, docs):
+    path = huffman.write_ids(docs.limit(50), public_tokenizers.path("word_bpe_49k.json"), 2)
+    found = spark.read.format("binaryFile").load(path).filter("length > 0").collect()
+    assert found and all(bytes(r.content).startswith(b"HTOK") for r in found)
+    assert sum(len(huffman.read_shard(bytes(r.content), {})[1]) for r in found) == 50
 
 
 def test_added_tokens_keep_their_case():
@@ -564,3 +744,32 @@ def test_pipeline(spark, rows):
     for r in final.collect():
         assert r.token_ids == enc.encode_ordinary(rows[r.doc_id].text) and r.decoded_sha256 == sha(rows[r.doc_id].text)
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()} == set(after)
+
+
+def test_pipeline_stages_on_odd_rows(spark, empty, tmp_path):
+    """Null ids, repeated ids and rows, nulls in every column, an empty table, columns that clash."""
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join(words), " ".join(words[:59] + ["x"])
+    rows = [(None, "only here, without an id"), (1, "one"), (1, "one"), (2, "two"), (2, "another text of two"), (None, None), (3, ""), (None, near[0]), (None, near[1]), (None, None), (5, "long " * 50_000), (6, "same"), (7, "same")]
+    df = spark.createDataFrame([(i, t, None, None, None, 0.5, "r", "h") for i, t in rows], SCHEMA)
+    df.repartition(3).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    stages = dict(corpus_pipeline.STAGES)
+    texts = lambda d: sorted((r.doc_id or 0, r.text or "") for r in d.collect())
+    clean = texts(df)
+    assert texts(stages["toxicity"](spark, docs, SF)) == clean
+    unique = stages["exact_dedup"](spark, docs, SF)
+    want = sorted({t or "": i for i, t in sorted(rows, key=lambda r: r[0] or 0)}.items())
+    assert texts(unique) == sorted((i or 0, t) for t, i in want) and unique.columns == docs.columns
+    unique.write.parquet(f"{tmp_path}/unique")
+    unique = spark.read.parquet(f"{tmp_path}/unique")
+    apart = stages["jaccard_join"](spark, unique, SF)
+    left = texts(apart)
+    assert apart.columns == docs.columns and len(left) == len(want) - 1 and sum(t in near for _, t in left) == 1 and {i for i, _ in left} >= {0, 1, 2, 3, 5, 7}
+    assert texts(stages["decontamination"](spark, unique, SF)) == texts(unique)
+    out = stages["bpe"](spark, unique, SF).collect()
+    assert len(out) == len(want) and {r.decoded_sha256 for r in out} == {sha(t) for t, _ in want}
+    for name, stage in stages.items():
+        assert stage(spark, empty, SF).count() == 0, name
