@@ -75,7 +75,8 @@ def numbered(docs: DataFrame) -> DataFrame:
     except AnalysisException:
         return docs.select(F.monotonically_increasing_id().alias("row"), *what)
     paths = sorted(r[0] for r in rows.select("_path").distinct().collect())  # one for each file
-    files = spark.createDataFrame([(path, i << 40) for i, path in enumerate(paths)], "_path string, _base long")
+    # a local relation: Spark knows its size, and broadcasts it below its threshold only
+    files = spark.createDataFrame(pa.table({"_path": pa.array(paths, pa.string()), "_base": pa.array([i << 40 for i in range(len(paths))], pa.int64())}))
     return rows.join(files, "_path").select((F.col("_base") + F.col("_index")).alias("row"), "doc_id", "text", "document")
 
 
