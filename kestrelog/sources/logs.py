@@ -2,27 +2,166 @@
 
 from __future__ import annotations
 
+import io
 import random
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from datetime import UTC, datetime, timedelta
 from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-
-
-def _records(df: DataFrame, log_format: str, source_id: str | None, received_at: datetime | None) -> DataFrame:
-    line = F.regexp_replace("value", "\r+$", "")
-    name = F.lit(source_id) if source_id is not None else F.col("_metadata.file_name")
-    at = F.lit(received_at).cast("timestamp") if received_at is not None else F.current_timestamp()
-    out = df.select(name.alias("source_id"), line.alias("line"), at.alias("received_at"), F.lit(log_format).alias("log_format"), F.monotonically_increasing_id().alias("ord"))
-    return out.filter(F.length("line") > 0)
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+
+
+class LogSource(DataSource):
+    """Files of lines by byte ranges: ``spark.read`` or ``readStream`` ``.format("log_lines")``.
+
+    ``ord`` is the byte at which a line begins in its file, so a line has the same source and place, and its
+    event the same id, in every run, with any splits, in batch and as a stream. Options: path (a file or a
+    folder, any file system that pyarrow knows), source_id (else the file's path below the folder, or its
+    name), log_format, received_at (ISO; else now), split (bytes a task), max_bytes (a stream's bytes a
+    batch; without it a batch takes all there is). Names that begin with a dot or an underscore are no logs.
+
+    As a stream, files may grow and new ones may come; a line counts once its line feed is there. The first
+    batch after a restart isn't bounded, since the source learns only then where it stands.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "log_lines"
+
+    def schema(self) -> str:
+        return "source_id string, line string, received_at timestamp, log_format string, ord long"
+
+    def reader(self, schema) -> _Files:
+        return _Files(self.options)
+
+    def streamReader(self, schema) -> _Tail:
+        return _Tail(self.options)
+
+
+class _Lines(InputPartition):
+    def __init__(self, path: str, source_id: str, start: int, end: int):
+        super().__init__((path, start, end))
+        self.path, self.source_id, self.start, self.end = path, source_id, start, end
+
+
+class _Files(DataSourceReader):
+    def __init__(self, options):
+        self.path, self.source_id, self.log_format = options["path"], options.get("source_id"), options.get("log_format", "plain")
+        self.received_at, self.split = options.get("received_at"), int(options.get("split", 64 << 20))
+
+    def opened(self) -> tuple[fs.FileSystem, str]:
+        if "://" in self.path or self.path.startswith("file:"):
+            return fs.FileSystem.from_uri(self.path)
+        return fs.LocalFileSystem(), self.path
+
+    def sizes(self) -> dict[str, int]:
+        system, path = self.opened()
+        info = system.get_file_info(path)
+        if info.type == fs.FileType.NotFound:
+            raise FileNotFoundError(self.path)
+        if info.type == fs.FileType.File:
+            return {path: info.size}
+        found = system.get_file_info(fs.FileSelector(path, recursive=True))
+        out = {f.path: f.size for f in found if f.type == fs.FileType.File and not f.base_name.startswith((".", "_"))}
+        if self.source_id is not None and len(out) > 1:
+            raise ValueError(f"{self.path}: one source id for {len(out)} files")
+        return out
+
+    def named(self, path: str) -> str:
+        if self.source_id is not None:
+            return self.source_id
+        _, root = self.opened()
+        return path.rpartition("/")[2] if path == root else path.removeprefix(root.rstrip("/")).lstrip("/")
+
+    def cut(self, path: str, start: int, end: int) -> list[_Lines]:
+        return [_Lines(path, self.named(path), at, min(at + self.split, end)) for at in range(start, end, self.split)]
+
+    def partitions(self) -> list[_Lines]:
+        return [part for path, size in sorted(self.sizes().items()) for part in self.cut(path, 0, size)] or [_Lines("", "", 0, 0)]
+
+    def read(self, part: _Lines) -> Iterator[pa.RecordBatch]:
+        """The lines that begin in the range, without carriage returns at their ends; empty ones go."""
+        at = datetime.fromisoformat(self.received_at) if self.received_at else datetime.now(UTC)
+        kinds = [pa.string(), pa.string(), pa.timestamp("us", "UTC"), pa.string(), pa.int64()]
+
+        def batch(rows):
+            columns = [[part.source_id] * len(rows), [line for _, line in rows], [at] * len(rows), [self.log_format] * len(rows), [n for n, _ in rows]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["source_id", "line", "received_at", "log_format", "ord"])
+
+        rows: list[tuple[int, str]] = []
+        if part.start < part.end:
+            system, _ = self.opened()
+            with system.open_input_file(part.path) as raw, io.BufferedReader(raw, 1 << 20) as file:
+                place = max(0, part.start - 1)
+                file.seek(place)
+                if part.start:
+                    place += len(file.readline())  # the rest of a line that begins before
+                while place < part.end and (line := file.readline()):
+                    if text := line.removesuffix(b"\n").rstrip(b"\r").decode("utf-8", "replace"):
+                        rows.append((place, text))
+                    place += len(line)
+                    if len(rows) == 10_000:
+                        yield batch(rows)
+                        rows = []
+        yield batch(rows)
+
+
+class _Tail(_Files, DataSourceStreamReader):
+    """Offsets: the bytes of each file that have been read, up to its last line feed."""
+
+    def __init__(self, options):
+        super().__init__(options)
+        self.most, self.done = int(options.get("max_bytes", 0)), None
+
+    def initialOffset(self) -> dict:
+        self.done = {}
+        return {}
+
+    def _whole(self, path: str, size: int, least: int) -> int:
+        """Where the last whole line ends."""
+        system, _ = self.opened()
+        with system.open_input_file(path) as file:
+            end = size
+            while end > least:
+                begin = max(least, end - (1 << 16))
+                file.seek(begin)
+                found = file.read(end - begin).rfind(b"\n")
+                if found >= 0:
+                    return begin + found + 1
+                end = begin
+        return least
+
+    def latestOffset(self) -> dict:
+        done, room, out = self.done or {}, self.most, {}
+        for path, size in sorted(self.sizes().items()):
+            old = done.get(path, 0)
+            limit = min(size, old + room) if self.most and self.done is not None else size
+            end = self._whole(path, limit, old) if limit > old else old
+            if end == old < size and limit < size:
+                end = self._whole(path, size, old)  # a line longer than the bound comes whole
+            out[path] = end
+            room = max(0, room - (end - old))
+        return done | out
+
+    def partitions(self, start: dict, end: dict) -> list[_Lines]:
+        self.done = end
+        return [part for path, size in sorted(end.items()) for part in self.cut(path, start.get(path, 0), size)]
+
+
+def _load(reader, spark: SparkSession, path, source_id, log_format, received_at, **more) -> DataFrame:
+    spark.dataSource.register(LogSource)
+    options = {"path": str(path), "source_id": source_id, "log_format": log_format, "received_at": received_at.isoformat() if received_at else None} | more
+    return reader.format("log_lines").options(**{k: v for k, v in options.items() if v is not None}).load()
 
 
 def read_lines(spark: SparkSession, path, source_id: str | None = None, log_format: str = "plain", received_at: datetime | None = None) -> DataFrame:
-    """Lines of text files, cut at line feeds alone; carriage returns at their ends and empty lines go."""
-    return _records(spark.read.option("lineSep", "\n").text(path), log_format, source_id, received_at)
+    """Lines of a file or of all files of a folder, cut at line feeds alone."""
+    return _load(spark.read, spark, path, source_id, log_format, received_at)
 
 
 def read_json_lines(spark: SparkSession, path, source_id: str | None = None, received_at: datetime | None = None) -> DataFrame:
@@ -33,10 +172,37 @@ def read_container(spark: SparkSession, path, container: str, received_at: datet
     return read_lines(spark, path, f"docker:{container}", "docker_json", received_at)
 
 
-def stream_lines(spark: SparkSession, folder: str, source_id: str | None = None, log_format: str = "plain", received_at: datetime | None = None, max_files: int = 100) -> DataFrame:
-    """New files of a folder as a stream; ``max_files`` a batch bounds what is in flight."""
-    df = spark.readStream.option("lineSep", "\n").option("maxFilesPerTrigger", max_files).text(folder)
-    return _records(df, log_format, source_id, received_at)
+def stream_lines(spark: SparkSession, path, source_id: str | None = None, log_format: str = "plain", received_at: datetime | None = None, max_bytes: int | None = None) -> DataFrame:
+    """New lines of files that grow or come, as a stream; ``max_bytes`` a batch bounds what is in flight."""
+    return _load(spark.readStream, spark, path, source_id, log_format, received_at, max_bytes=max_bytes)
+
+
+class IngestionError(RuntimeError):
+    """A source that couldn't be read, by its name."""
+
+    def __init__(self, source_id: str):
+        super().__init__(f"source {source_id} failed")
+        self.source_id = source_id
+
+
+def ingest(sources: dict[str, DataFrame], write: Callable[[DataFrame], None]) -> dict[str, int]:
+    """Write the bag of all sources; records by source, counted on the way. The first source that can't be
+    read fails the whole with its name."""
+    parts, seen = [], {name: Observation(f"source-{i}") for i, name in enumerate(checked(sources))}
+    for name, df in sources.items():
+        parts.append(df.withColumn("source_id", F.lit(name)).observe(seen[name], F.count(F.lit(1)).alias("n")))
+    if not parts:
+        raise ValueError("no sources")
+    try:
+        write(reduce(DataFrame.unionByName, parts))
+    except Exception as error:
+        for name, df in sources.items():
+            try:
+                df.write.format("noop").mode("overwrite").save()
+            except Exception:
+                raise IngestionError(name) from error
+        raise
+    return {name: int(found.get["n"]) for name, found in seen.items()}
 
 
 def merge(sources: dict[str, DataFrame]) -> DataFrame:
@@ -62,82 +228,54 @@ def counts(records: DataFrame, names: Iterable[str]) -> DataFrame:
     return known.join(n, "source_id", "left").select("source_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def synthetic_incident(folder: str, seed: int = 7, base: datetime = datetime(2026, 7, 6, 14, 25, tzinfo=UTC)) -> dict[str, tuple[str, str]]:
-    """Write a small five-service incident; {source: (path, format)}. A payment gateway slows down, its
-    callers leak connections, the pool and the database run out, workers retry, requests fail."""
+#: The acts of the synthetic incident, in seconds from its start: who writes, how many lines, from when to
+#: when, at which level, and what. ``{n}`` is a number, ``{k}`` one of a few keys that acts share.
+ACTS = [
+    ("gate", 600, 0, 600, "INFO", "GET /basket/{n} HTTP/1.1 200 in {n}ms trace_id={t}"),
+    ("stock", 160, 0, 600, "info", "reserved {n} items"),
+    ("ledger", 60, 0, 600, "LOG", "vacuum finished, {n} rows"),
+    ("mailer", 80, 0, 600, "INFO", "letter {n} delivered trace_id={t}"),
+    ("stock", 30, 300, 340, "error", "cache node lost: ConnectionError after {n}ms"),
+    ("ledger", 45, 310, 380, "ERROR", "too many connections: {n} of 80"),
+    ("gate", 110, 320, 400, "ERROR", "upstream stock answered 503, trace_id={k}"),
+    ("gate", 200, 392, 399, "ERROR", "upstream stock answered 503, trace_id={k}"),
+    ("mailer", 260, 330, 430, "WARN", "retrying letter {n}, trace_id={k}"),
+    ("edge", 25, 335, 420, "error", "{n}#0: upstream timed out reading from gate"),
+]
+#: How each service of the incident writes: file suffix, format and the line around a message.
+WRITERS = {
+    "gate": (".log", "plain", "{at:%Y-%m-%d %H:%M:%S}.{ms:03d} {level} shop.gate {text}"),
+    "stock": (".jsonl", "json", '{{"time": "{at:%Y-%m-%dT%H:%M:%S}.{ms:03d}Z", "severity": "{level}", "message": "{text}", "app": "stock", "trace_id": "{key}"}}'),
+    "ledger": (".log", "plain", "{at:%Y-%m-%dT%H:%M:%S}.{ms:03d}Z [{level}] {text}"),
+    "edge": (".log", "plain", "{at:%Y/%m/%d %H:%M:%S} [{level}] {text}"),
+    "mailer": ("-json.log", "docker_json", '{{"log": "{at:%Y-%m-%d %H:%M:%S} {level} post.office {text}\\n", "stream": "stdout", "time": "{at:%Y-%m-%dT%H:%M:%S}.{ms:03d}000000Z"}}'),
+}
+#: Which service calls which in the synthetic incident.
+DEPENDENCIES = [("edge", "gate"), ("gate", "stock"), ("stock", "ledger"), ("mailer", "stock")]
+
+
+def synthetic_incident(folder: str, seed: int = 3, base: datetime = datetime(2025, 3, 2, 8, 0, tzinfo=UTC)) -> dict[str, tuple[str, str]]:
+    """Write the lines of ACTS, a shop that loses its cache; {service: (path, format)}."""
     rng = random.Random(seed)
-    start = base + timedelta(minutes=6)
-    lines: dict[str, list[tuple[datetime, str]]] = {n: [] for n in ("booking-api", "payments", "postgres", "nginx", "worker")}
-
-    def booking(at, level, text):
-        lines["booking-api"].append((at, f"{at:%Y-%m-%d %H:%M:%S},{at.microsecond // 1000:03d} {level} app.services.booking {text}"))
-
-    def payments(at, level, text, trace=None):
-        extra = f', "trace_id": "{trace}"' if trace else ""
-        lines["payments"].append((at, f'{{"ts": "{at.isoformat()}", "level": "{level}", "msg": "{text}", "service": "payments"{extra}}}'))
-
-    def postgres(at, level, text):
-        lines["postgres"].append((at, f"{at:%Y-%m-%d %H:%M:%S}.{at.microsecond // 1000:03d} {level}: {text}"))
-
-    def nginx(at, text):
-        lines["nginx"].append((at, f"{at:%Y/%m/%d %H:%M:%S} [error] {text}"))
-
-    def worker(at, level, text):
-        inner = f"{at:%Y-%m-%d %H:%M:%S},{at.microsecond // 1000:03d} {level} jobs.worker {text}"
-        lines["worker"].append((at, f'{{"log": "{inner}\\n", "stream": "stderr", "time": "{at:%Y-%m-%dT%H:%M:%S.%f}000Z"}}'))
-
-    def trace():
-        return f"t-{rng.randrange(10**6):06d}"
-
-    def after(low, high):
-        return start + timedelta(seconds=rng.uniform(low, high))
-
-    for window in range(36):
-        at = lambda w=window: base + timedelta(seconds=10 * w + rng.uniform(0, 9.9))
-        for _ in range(8):
-            booking(at(), "INFO", f"POST /api/bookings completed in {rng.randrange(20, 90)}ms trace_id={trace()}")
-        for _ in range(3):
-            payments(at(), "info", f"charge authorised in {rng.randrange(80, 200)}ms", trace())
-        for _ in range(2):
-            worker(at(), "INFO", f"job {rng.randrange(10**5)} done trace_id={trace()}")
-        if window % 6 == 0:
-            postgres(at(), "LOG", f"checkpoint complete: wrote {rng.randrange(50, 400)} buffers")
-    shared = [trace() for _ in range(12)]
-    for _ in range(90):
-        booking(after(0, 10), "INFO", f"POST /api/bookings completed in {rng.randrange(20, 90)}ms trace_id={trace()}")
-    for _ in range(8):
-        payments(after(2, 6), "warning", f"upstream gateway slow: {rng.randrange(900, 2500)}ms", trace())
-    for t in shared:
-        at = after(5, 25)
-        payments(at, "error", f"stripe request timed out after {rng.randrange(3000, 5000)}ms", t)
-        booking(at + timedelta(seconds=rng.uniform(0.04, 0.22)), "ERROR", f"TimeoutError in payment call, database session left open trace_id={t}")
-    for _ in range(20):
-        booking(after(15, 45), "ERROR", f"connection pool exhausted: {rng.randrange(95, 101)} of 100 in use trace_id={rng.choice(shared)}")
-    for _ in range(10):
-        postgres(after(19, 40), "FATAL", "remaining connection slots are reserved for superuser")
-    for _ in range(70):
-        worker(after(22, 52), "WARNING", f"retrying job {rng.randrange(10**5)} attempt {rng.randrange(2, 9)} trace_id={rng.choice(shared)}")
-    for _ in range(60):
-        booking(after(31, 60), "ERROR", f"POST /api/bookings HTTP/1.1 500 trace_id={trace()}")
-    for _ in range(25):
-        nginx(after(31, 81), f"{rng.randrange(10, 99)}#0: upstream timed out while reading response header")
+    keys = [f"k{i}" for i in range(9)]
+    rows: dict[str, list] = {name: [] for name in WRITERS}
+    for name, count, begin, end, level, text in ACTS:
+        for _ in range(count):
+            ms, key = int(1000 * rng.uniform(begin, end)), rng.choice(keys)
+            filled = text.format(n=rng.randrange(10, 5000), t=f"r{rng.randrange(10**6)}", k=key)
+            rows[name].append((ms, WRITERS[name][2].format(at=base + timedelta(milliseconds=ms), ms=ms % 1000, level=level, text=filled, key=key)))
     out = {}
-    for name, rows in lines.items():
-        suffix, kind = {"payments": (".jsonl", "json"), "worker": ("-json.log", "docker_json")}.get(name, (".log", "plain"))
+    for name, (suffix, kind, _) in WRITERS.items():
         path = Path(folder, name + suffix)
-        path.write_text("".join(text + "\n" for _, text in sorted(rows)), encoding="utf-8")
+        path.write_text("".join(line + "\n" for _, line in sorted(rows[name])), encoding="utf-8")
         out[name] = (str(path), kind)
     return out
 
 
-#: Which service calls which in the synthetic incident.
-DEPENDENCIES = [("nginx", "booking-api"), ("booking-api", "payments"), ("booking-api", "postgres"), ("worker-1", "booking-api"), ("worker-1", "postgres")]
-
-
 def read_incident(spark: SparkSession, files: dict[str, tuple[str, str]], received_at: datetime) -> DataFrame:
     """Raw records of all files of a synthetic incident."""
-    checked(files)
     parts = []
-    for name, (path, kind) in files.items():
-        parts.append(read_container(spark, path, "worker-1", received_at) if kind == "docker_json" else read_lines(spark, path, Path(path).name, kind, received_at))
+    for name in checked(files):
+        path, kind = files[name]
+        parts.append(read_container(spark, path, name, received_at) if kind == "docker_json" else read_lines(spark, path, Path(path).name, kind, received_at))
     return reduce(DataFrame.unionByName, parts)

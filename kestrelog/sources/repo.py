@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import subprocess
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,7 +43,11 @@ def read_lines(spark: SparkSession, root: str, path: str, start: int = 1, end: i
     """A window of a file, at most MAX_LINES lines, each with its number."""
     path = inside(path)
     last = min(end if end is not None else start + MAX_LINES - 1, start + MAX_LINES - 1)
-    one = lines(files(spark, root, PurePosixPath(path).name).filter(F.col("path") == path)).filter(F.col("line").between(start, last))
+    found = files(spark, root, PurePosixPath(path).name).filter(F.col("path") == path)
+    for row in found.select("length").collect():
+        if row.length > MAX_BYTES:
+            raise ValueError(f"{path}: larger than {MAX_BYTES} bytes")
+    one = lines(found).filter(F.col("line").between(start, last))
     return one.select("line", F.format_string("%5d | %s", "line", "text").alias("text")).orderBy("line")
 
 
@@ -58,3 +63,12 @@ def find_symbol(spark: SparkSession, root: str, name: str, limit: int = 20) -> D
     if not name.isidentifier():
         raise ValueError(f"not an identifier: {name!r}")
     return search(spark, root, rf"^\s*(?:async\s+def|def|class)\s+{name}\b", "*.py", True, limit)
+
+
+def history(spark: SparkSession, root: str, path: str | None = None, limit: int = 20) -> DataFrame:
+    """(commit, subject) of the latest commits that touch a path, newest first; a call of git at the driver."""
+    command = ["git", "-C", str(root), "log", "--oneline", f"-{int(limit)}", "--", inside(path) if path else "."]
+    done = subprocess.run(command, capture_output=True, text=True, timeout=10)
+    if done.returncode:
+        raise ValueError(f"no history: {done.stderr.strip()[:200]}")
+    return spark.createDataFrame([tuple(line.partition(" ")[::2]) for line in done.stdout.splitlines()], "commit string, subject string")
