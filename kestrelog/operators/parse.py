@@ -57,41 +57,28 @@ def plain(text: Column, service: Column) -> Column:
     )
 
 
-def is_object(text: Column) -> Column:
-    return text.rlike(r"(?s)^\s*\{.*\}\s*$") & F.try_parse_json(text).isNotNull()
-
-
-def json(text: Column, service: Column) -> Column:
-    """Fields of a JSON object; the text must be one."""
-    text = strip(text)
-    v = F.try_parse_json(text)
-    entries = F.from_json(text, "map<string,string>", {"mode": "PERMISSIVE"})
+def json(fields: Column, raw_ts: Column, text: Column, service: Column) -> Column:
+    """Fields of a JSON object, given as a map of variants; ``raw_ts`` is the value of the first name of a
+    time that isn't null, which decides, readable or not."""
+    as_text = lambda x: F.try_variant_get(x, "$", "string")
 
     def first(names: list[str]) -> Column:
-        return F.coalesce(*[F.try_variant_get(v, f"$['{n}']", "string") for n in names])
-
-    def stamp(name: str) -> Column:
-        raw = F.try_variant_get(v, f"$['{name}']", "variant")
-        kind = F.schema_of_variant(raw)
-        number = kind.rlike("BIGINT|DOUBLE|DECIMAL|FLOAT|INT")
-        return F.when(number, epoch_of(F.try_variant_get(raw, "$", "double"))).when(kind == "STRING", timestamp_of(F.try_variant_get(raw, "$", "string")))
-
-    raw_ts = None  # the first name that isn't null decides, readable or not
-    for name in NAMES["ts"]:
-        there = F.try_variant_get(v, f"$['{name}']", "string").isNotNull()
-        raw_ts = F.when(there, stamp(name)) if raw_ts is None else raw_ts.when(there, stamp(name))
+        return F.coalesce(*[as_text(fields[n]) for n in names])
+
+    number, kind = F.try_variant_get(raw_ts, "$", "double"), F.schema_of_variant(raw_ts)
+    stamp = F.when(kind == "STRING", timestamp_of(as_text(raw_ts))).when(kind.rlike("BIGINT|DOUBLE|DECIMAL|FLOAT|INT"), epoch_of(number))
     message = first(NAMES["message"])
     used = [n for names in NAMES.values() for n in names]
-    scalar = F.map_filter(entries, lambda k, x: ~k.isin(used) & x.isNotNull() & ~F.schema_of_variant(F.try_variant_get(v, "$", "map<string,variant>")[k]).rlike("^(OBJECT|ARRAY|VOID)"))
+    scalar = F.map_filter(fields, lambda k, x: ~k.isin(used) & ~F.schema_of_variant(x).rlike("^(OBJECT|ARRAY|VOID)"))
     return F.struct(
-        raw_ts.alias("ts"),
+        stamp.alias("ts"),
         severity_of(F.coalesce(first(NAMES["level"]), F.lit(""))).alias("severity"),
         F.when(message.isNull() | message.isin("", "0", "false"), text).otherwise(strip(message)).alias("message"),
         F.coalesce(F.nullif(first(NAMES["service"]), F.lit("")), service).alias("service"),
         first(NAMES["trace_id"]).alias("trace_id"),
         first(NAMES["request_id"]).alias("request_id"),
         first(NAMES["host"]).alias("host"),
-        scalar.alias("attributes"),
+        F.transform_values(scalar, lambda k, x: as_text(x)).alias("attributes"),
     )
 
 
@@ -99,37 +86,40 @@ def parse(raw: DataFrame) -> DataFrame:
     """Events of raw records (source_id, line, received_at, log_format plain|json|docker_json, ord).
 
     Event ids come from source and position, so a second run gives the same. Null lines count as
-    empty. A record without a readable time has its time of receipt.
+    empty. A record without a readable time has its time of receipt. Of a key that a JSON object repeats
+    the last value counts (a setting of the session's variants). Each line is parsed once: what several
+    fields need is a column of its own.
     """
+    raw.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     line, source = F.coalesce("line", F.lit("")), F.coalesce("source_id", F.lit(""))
-    container = F.regexp_replace(source, "^docker:", "")
-    docker = F.col("log_format") == "docker_json"
-    raw = raw.withColumn("_service", F.when(docker, container).otherwise(default_service(source)))
-    v = F.try_parse_json(line)
-    envelope = docker & is_object(line) & F.try_variant_get(v, "$.log", "string").isNotNull()
-    raw = raw.withColumn("_envelope", envelope)
-    inner = F.regexp_replace(F.try_variant_get(v, "$.log", "string"), r"\n+$", "")
-    raw = raw.withColumn("_text", F.when(F.col("_envelope"), inner).otherwise(line))
-    text = F.col("_text")
-    as_json = is_object(text) & ((F.col("log_format") == "json") | F.col("_envelope"))
-    raw = raw.withColumn("_json", as_json)
-    raw = raw.withColumn("_f", F.when(F.col("_json"), json(text, F.col("_service"))).otherwise(plain(text, F.col("_service"))))
-    stream = F.nullif(F.try_variant_get(v, "$.stream", "string"), F.lit(""))
-    written = timestamp_of(F.try_variant_get(v, "$.time", "string"))
-    message, kind = F.col("_f.message"), kind_of(F.col("_f.message"))
-    out = raw.select(
+    docker, plain_format = F.col("log_format") == "docker_json", F.col("log_format") == "plain"
+    looks = lambda c: c.rlike(r"(?s)^\s*\{.*\}\s*$")
+    raw = raw.withColumn("_service", F.when(docker, F.regexp_replace(source, "^docker:", "")).otherwise(default_service(source)))
+    raw = raw.withColumn("_v", F.when(docker & looks(line), F.try_parse_json(line)))
+    raw = raw.withColumn("_log", F.try_variant_get("_v", "$.log", "string"))
+    raw = raw.withColumn("_text", F.when(F.col("_log").isNotNull(), F.regexp_replace("_log", r"\n+$", "")).otherwise(line))
+    text, envelope = F.col("_text"), F.col("_log").isNotNull()
+    raw = raw.withColumn("_o", F.when(((F.col("log_format") == "json") | envelope) & ~plain_format & looks(text), F.try_parse_json(strip(text))))
+    raw = raw.withColumn("_m", F.try_variant_get("_o", "$", "map<string,variant>"))
+    stamps = [F.when(F.try_variant_get(F.col("_m")[n], "$", "string").isNotNull(), F.col("_m")[n]) for n in NAMES["ts"]]
+    raw = raw.withColumn("_ts", F.coalesce(*stamps))
+    raw = raw.withColumn("_f", F.when(F.col("_m").isNotNull(), json(F.col("_m"), F.col("_ts"), strip(text), F.col("_service"))).otherwise(plain(text, F.col("_service"))))
+    stream = F.nullif(F.try_variant_get("_v", "$.stream", "string"), F.lit(""))
+    written = timestamp_of(F.try_variant_get("_v", "$.time", "string"))
+    raw = raw.withColumn("_message", F.col("_f.message")).withColumn("_kind", kind_of(F.col("_message"))).withColumn("_template", mask(F.col("_message")))
+    return raw.select(
         F.sha2(F.concat_ws(":", source, F.col("ord").cast("string")), 256).alias("event_id"),
-        F.coalesce("_f.ts", F.when(F.col("_envelope"), written), "received_at").alias("timestamp"),
+        F.coalesce("_f.ts", F.when(envelope, written), "received_at").alias("timestamp"),
         F.col("_f.service").alias("service"),
         source.alias("source_id"),
-        F.when(kind == "exception", F.greatest(F.col("_f.severity"), F.lit(40).cast("short"))).otherwise(F.col("_f.severity")).alias("severity"),
-        kind.alias("kind"),
-        message.alias("message"),
-        mask(message).alias("template"),
+        F.when(F.col("_kind") == "exception", F.greatest(F.col("_f.severity"), F.lit(40).cast("short"))).otherwise(F.col("_f.severity")).alias("severity"),
+        F.col("_kind").alias("kind"),
+        F.col("_message").alias("message"),
+        F.col("_template").alias("template"),
         F.col("_f.trace_id").alias("trace_id"),
         F.col("_f.request_id").alias("request_id"),
         F.col("_f.host").alias("host"),
-        F.when(F.col("_envelope") & stream.isNotNull(), F.map_concat(F.map_filter(F.col("_f.attributes"), lambda k, _: k != "stream"), F.create_map(F.lit("stream"), stream))).otherwise(F.col("_f.attributes")).alias("attributes"),
+        F.when(envelope & stream.isNotNull(), F.map_concat(F.map_filter(F.col("_f.attributes"), lambda k, _: k != "stream"), F.create_map(F.lit("stream"), stream))).otherwise(F.col("_f.attributes")).alias("attributes"),
         F.col("ord").cast("long").alias("ord"),
+        fingerprint(F.col("_template")).alias("fingerprint"),
     )
-    return out.withColumn("fingerprint", fingerprint(F.col("template")))
