@@ -31,10 +31,10 @@ def candidates(events: DataFrame, deps: DataFrame, horizon: int = HORIZON, cap:
     """(src, tgt): for each event its next ``cap`` events within ``horizon`` seconds that share its trace,
     request, fingerprint or service, or come from a related service.
 
-    All rules keep the same order, so the cap applies to each rule first: events of a key and time
-    bucket are numbered, and an event is joined with the numbers that follow its own, and with the
-    first ones of the next bucket. No join compares an event with all others of its key, and a
-    busy key is split by time.
+    All rules keep the same order, so the cap applies to each rule first: events of a key and time bucket
+    are numbered, and an event gathers the next ``cap`` of its own bucket in a window frame, and the first
+    ones of the next bucket, which are gathered once a bucket. Only pairs that stand are ever rows, no event
+    is compared with all others of its key, and a busy key is split by time.
     """
     e = events.select("event_id", "timestamp", "ord", "trace_id", "request_id", "fingerprint", "service", F.floor(F.unix_micros("timestamp") / (horizon * 1_000_000)).alias("bucket"))
     own = F.array(*[F.struct(F.lit(i).alias("rule"), F.col(c).alias("key")) for i, c in enumerate(("trace_id", "request_id", "fingerprint", "service"))])
@@ -43,17 +43,17 @@ def candidates(events: DataFrame, deps: DataFrame, horizon: int = HORIZON, cap:
     services = e.select(*base, F.lit(4).alias("rule"), F.col("service").alias("key"), F.lit(True).alias("target"))
     # a source that looks into a related service's events stands among them, uncounted
     lookers = e.join(related(deps), "service").select(*base, F.lit(4).alias("rule"), F.col("other").alias("key"), F.lit(False).alias("target"))
-    rows = keyed.union(services).union(lookers)
-    line = Window.partitionBy("rule", "key", "bucket").orderBy("timestamp", "ord").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("n", F.sum(F.col("target").cast("long")).over(line))
-    sources = rows.filter("rule < 4 or not target").select("rule", "key", F.col("event_id").alias("src"), F.col("timestamp").alias("src_at"), F.col("ord").alias("src_ord"), "bucket", "n")
-    here = F.transform(F.sequence(F.col("n") + 1, F.col("n") + cap), lambda x: F.struct(F.col("bucket").alias("bucket"), x.alias("n")))
-    there = F.transform(F.sequence(F.lit(1).cast("long"), F.lit(cap).cast("long")), lambda x: F.struct((F.col("bucket") + 1).alias("bucket"), x.alias("n")))
-    wanted = sources.select("rule", "key", "src", "src_at", "src_ord", F.explode(F.concat(here, there)).alias("w")).select("rule", "key", "src", "src_at", "src_ord", "w.bucket", "w.n")
-    targets = rows.filter("target").select("rule", "key", "bucket", "n", F.col("event_id").alias("tgt"), F.col("timestamp").alias("tgt_at"), F.col("ord").alias("tgt_ord"))
-    pairs = wanted.join(targets, ["rule", "key", "bucket", "n"])
-    later = (F.col("tgt_at") > F.col("src_at")) | ((F.col("tgt_at") == F.col("src_at")) & (F.col("tgt_ord") > F.col("src_ord")))
-    pairs = pairs.filter(later & (seconds_between(F.col("tgt_at"), F.col("src_at")) <= horizon))
+    place = Window.partitionBy("rule", "key", "bucket")
+    line = place.orderBy("timestamp", "ord").rowsBetween(Window.unboundedPreceding, 0)
+    rows = keyed.union(services).union(lookers).withColumn("n", F.sum(F.col("target").cast("long")).over(line))
+    event = F.struct(F.col("event_id").alias("tgt"), F.col("timestamp").alias("tgt_at"), F.col("ord").alias("tgt_ord"))
+    rows = rows.withColumn("here", F.collect_list(F.when(F.col("target"), event)).over(place.orderBy("n").rangeBetween(1, cap)))
+    first = rows.filter(F.col("target") & (F.col("n") <= cap)).groupBy("rule", "key", (F.col("bucket") - 1).alias("bucket")).agg(F.collect_list(event).alias("there"))
+    sources = rows.filter("rule < 4 or not target").join(first, ["rule", "key", "bucket"], "left")
+    micros = F.unix_micros("timestamp") + horizon * 1_000_000
+    later = lambda x: (x["tgt_at"] > F.col("timestamp")) | ((x["tgt_at"] == F.col("timestamp")) & (x["tgt_ord"] > F.col("ord")))
+    near = F.filter(F.concat("here", F.coalesce("there", F.array().cast(first.schema["there"].dataType))), lambda x: later(x) & (F.unix_micros(x["tgt_at"]) <= micros))
+    pairs = sources.select(F.col("event_id").alias("src"), F.explode(near).alias("t")).select("src", "t.*")
     pairs = pairs.groupBy("src", "tgt").agg(F.first("tgt_at").alias("tgt_at"), F.first("tgt_ord").alias("tgt_ord"))
     pairs = pairs.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy("tgt_at", "tgt_ord")))
     return pairs.filter(F.col("r") <= cap).select("src", "tgt")

@@ -67,6 +67,7 @@ class Settings:
     factor: float = 3.0
     min_retries: int = 15
     absolute: int = 50
+    idle: int = 8640
 
     def but(self, **changes) -> Settings:
         return replace(self, **changes)

@@ -1,12 +1,15 @@
 """Detectors over streams: the same folds as in batch, with their baselines as keyed state.
 
 A window is judged when the watermark passes its end. Rows that come later than the watermark are
-dropped by Spark (batch keeps them); the delay should be one window at least.
+dropped by Spark (batch keeps them); the delay should be one window at least. A key that is silent for
+``Settings.idle`` windows loses its state, so state doesn't grow with every key ever seen; its baseline
+then begins anew, where batch would go on with the old one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import datetime
 from types import SimpleNamespace
 
 import pandas as pd
@@ -48,9 +51,13 @@ def _stream(events: DataFrame, keys: list[str], fold: Callable, kind: str, detec
                 out.append((kind, key[0], key[-1], start, start + pd.Timedelta(seconds=s.seconds), int(count), float(confidence), list(found), attributes, detector))
             last = i
         rest = sorted(open_windows)
+        if state.hasTimedOut and not rest and not due:  # silent for ``idle`` windows: as if never seen
+            state.remove()
+            yield pd.DataFrame([], columns=CLUSTER_COLUMNS)
+            return
         state.update((base.mean, base.variance, base.samples, last, rest, [open_windows[i][0] for i in rest], [open_windows[i][1] for i in rest], [open_windows[i][2] for i in rest], template))
-        if rest:
-            state.setTimeoutTimestamp(max((rest[0] + 1) * s.seconds * 1000, mark + 1))
+        ends = (rest[0] + 1) if rest else (last if last is not None else 0) + 1 + s.idle
+        state.setTimeoutTimestamp(max(ends * s.seconds * 1000, mark + 1))
         yield pd.DataFrame(out, columns=CLUSTER_COLUMNS)
 
     return rows.groupBy(*keys).applyInPandasWithState(run, CLUSTER, STATE, "append", GroupStateTimeout.EventTimeTimeout)
@@ -68,6 +75,52 @@ def retry_storms(events: DataFrame, s: Settings = Settings(), delay: str = "10 s
     return _stream(events.filter("kind = 'task_retry'"), ["service"], fold_retries, "retry_storm", 3, s, delay, False)
 
 
+def new_signatures(events: DataFrame, learned_until: datetime, s: Settings = Settings(), delay: str = "10 seconds") -> DataFrame:
+    """Templates first seen, at warning or worse, after ``learned_until`` (see :func:`learned_until`): a
+    cluster a template, of what comes within one window of its first event. A template whose first event
+    is early or mild is known and never reported. A template that is silent for ``Settings.idle`` windows is
+    forgotten, and new when it comes again; batch holds a template new until a mild event."""
+    rows = events.withWatermark("timestamp", delay).select("service", "fingerprint", "timestamp", "ord", F.col("event_id").cast("string").alias("event_id"), "severity", "template")
+    cut, span = pd.Timestamp(learned_until).timestamp(), s.seconds
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known, at, times, ids, template = state.get if state.exists else (False, 0.0, [], [], None)
+        if state.hasTimedOut and known:
+            state.remove()
+            yield pd.DataFrame([], columns=CLUSTER_COLUMNS)
+            return
+        latest = at
+        if not state.hasTimedOut:
+            for pdf in frames:
+                for r in pdf.sort_values(["timestamp", "ord"]).itertuples():
+                    now = r.timestamp.timestamp()
+                    latest = max(latest, now)
+                    if known:
+                        continue
+                    if now <= cut or (r.severity < 30 and (not times or now < min(times))):
+                        known, times, ids = True, [], []
+                    elif r.severity >= 30:
+                        times, ids = [*times, now], [*ids, r.event_id][: s.reps]
+                        template = r.template
+        mark, out = state.getCurrentWatermarkMs(), []
+        if not known and times and (min(times) + span) * 1000 <= mark:
+            inside = [t for t in times if t <= min(times) + span]
+            start, end = (pd.Timestamp(t, unit="s", tz="UTC") for t in (min(inside), max(inside)))
+            out.append(("new_signature", key[0], key[1], start, end, len(inside), min(0.9, 0.7 + 0.02 * len(inside)), list(ids), {"template": template}, 1))
+            known, times, ids = True, [], []
+        state.update((known, latest, list(times), list(ids), template))
+        ends = latest + span * s.idle if known or not times else min(times) + span
+        state.setTimeoutTimestamp(max(int(ends * 1000), mark + 1))
+        yield pd.DataFrame(out, columns=CLUSTER_COLUMNS)
+
+    return rows.groupBy("service", "fingerprint").applyInPandasWithState(run, CLUSTER, "known boolean, at double, times array<double>, ids array<string>, template string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def learned_until(events: DataFrame, learning: int = 500) -> datetime | None:
+    """The time of the last of the first ``learning`` events of a batch: what a stream goes on from."""
+    return events.select("timestamp").orderBy("timestamp").limit(learning).agg(F.max("timestamp").alias("t")).first().t
+
+
 def error_rate(events: DataFrame, seconds: int = 10, delay: str = "10 seconds") -> DataFrame:
     """Events and errors by service and window, emitted once the watermark has passed a window."""
     out = events.withWatermark("timestamp", delay).groupBy("service", F.window("timestamp", f"{seconds} seconds").alias("w"))
