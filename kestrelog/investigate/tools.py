@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 
 from kestrelog.functions.text import SEVERITIES
@@ -53,6 +55,8 @@ class Registry:
 
     tools: dict[str, Tool] = field(default_factory=dict)
     audit: list[dict] = field(default_factory=list)
+    seconds: float = 10.0
+    rows: int = 10_000
 
     def add(self, tool: Tool) -> None:
         if tool.name in self.tools:
@@ -60,7 +64,31 @@ class Registry:
         self.tools[tool.name] = tool
 
     def only(self, names: list[str]) -> Registry:
-        return Registry({n: self.tools[n] for n in names}, self.audit)
+        return Registry({n: self.tools[n] for n in names}, self.audit, self.seconds, self.rows)
+
+    def _rows(self, frame: DataFrame) -> list[dict]:
+        """The rows of a frame, within the time and number that a call may take; else its jobs are ended."""
+        context, group = frame.sparkSession.sparkContext, uuid.uuid4().hex
+        out: list = []
+
+        def collect():
+            try:
+                context.setJobGroup(group, "tool", interruptOnCancel=True)
+                out.append(frame.limit(self.rows + 1).collect())
+            except Exception as e:
+                out.append(e)
+
+        thread = InheritableThread(target=collect, daemon=True)
+        thread.start()
+        thread.join(self.seconds)
+        if not out:
+            context.cancelJobGroup(group)
+            raise TimeoutError(f"no answer within {self.seconds:g} s")
+        if isinstance(out[0], Exception):
+            raise out[0]
+        if len(out[0]) > self.rows:
+            raise ValueError(f"more than {self.rows} rows")
+        return [r.asDict(recursive=True) for r in out[0]]
 
     def call(self, name: str, arguments: dict, agent: str = "user") -> list[dict]:
         began, outcome, detail, rows = time.time(), "ok", "", []
@@ -73,11 +101,11 @@ class Registry:
                 if key not in arguments and arg.default is REQUIRED:
                     raise ValueError(f"{key}: missing")
                 values[key] = arg.check(key, arguments.get(key, arg.default))
-            rows = [r.asDict(recursive=True) for r in tool.run(**values).collect()]
+            rows = self._rows(tool.run(**values))
             detail = json.dumps(rows, default=str)[:2000]
             return rows
         except Exception as e:
-            outcome, detail = "error", str(e)[:2000]
+            outcome, detail = "timeout" if isinstance(e, TimeoutError) else "error", str(e)[:2000]
             raise
         finally:
             self.audit.append({"agent": agent, "tool": name, "arguments": json.dumps(arguments, default=str), "outcome": outcome, "detail": detail, "duration_ms": 1000 * (time.time() - began)})
@@ -106,6 +134,7 @@ def registry(spark: SparkSession, events: DataFrame, clusters: DataFrame, deps:
         r.add(Tool("list_repo_files", {"pattern": Arg(str, "*"), "limit": limit(100, 500)}, lambda pattern, limit: repo.list_files(spark, root, pattern, limit)))
         r.add(Tool("read_source", {"path": Arg(str), "start": Arg(int, 1, 1, 10**9), "end": Arg(int, None, 1, 10**9)}, lambda path, start, end: repo.read_lines(spark, root, path, start, end)))
         r.add(Tool("search_source", {"query": Arg(str, least=2), "glob": Arg(str, "*"), "regex": Arg(bool, False)} | many, lambda query, glob, regex, limit: repo.search(spark, root, query, glob, regex, limit)))
+        r.add(Tool("git_history", {"path": Arg(str, None), "limit": limit(20, 50)}, lambda path, limit: repo.history(spark, root, path, limit)))
         r.add(Tool("find_symbol", {"name": Arg(str, least=1)}, lambda name: repo.find_symbol(spark, root, name)))
     return r
 
@@ -147,11 +176,28 @@ def first_object(text: str) -> dict | None:
     return found if isinstance(found, dict) else None
 
 
+def touched(diff: str) -> set[str]:
+    """Every path that a diff names in its headers, whatever its prefix; not /dev/null."""
+    out = set()
+    for line in diff.splitlines():
+        head, _, rest = line.partition(" ")
+        if line.startswith("diff --git "):
+            names = line[11:].split(" ")
+        elif head in ("---", "+++") or line.startswith(("---\t", "+++\t")):
+            names = [(rest or line[4:]).lstrip().split("\t")[0].split(" ")[0]]
+        elif head in ("rename", "copy") and rest.startswith(("from ", "to ")):
+            names = [rest.partition(" ")[2]]
+        else:
+            continue
+        out |= {n[2:] if n[:2] in ("a/", "b/") and head not in ("rename", "copy") else n for n in names if n}
+    return out - {"/dev/null"}
+
+
 def patch_problems(diff: str, declared: set[str]) -> list[str]:
-    """What speaks against a patch: no files, files not declared, paths outside."""
-    touched = {line[6:].split("\t")[0].strip() for line in diff.splitlines() if line.startswith(("--- a/", "+++ b/"))}
-    out = ["no files"] if not touched else [f"not declared: {p}" for p in sorted(touched - declared)]
-    for p in sorted(touched):
+    """What speaks against a patch: no files, files not declared, paths outside, declared ones too."""
+    paths = touched(diff)
+    out = ["no files"] if not paths else [f"not declared: {p}" for p in sorted(paths - declared)]
+    for p in sorted(paths | declared):
         try:
             repo.inside(p)
         except ValueError:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import zlib
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,15 +29,27 @@ def append_missing(new: DataFrame, path: str, keys: list[str]) -> None:
     missing(new, new.sparkSession, path, keys).write.mode("append").parquet(path)
 
 
+def _write(events: DataFrame, root: str, batch: str, mode: str) -> None:
+    rows = events.drop("template").withColumn("event_date", F.to_date("timestamp")).withColumn("batch", F.lit(batch))
+    out = rows.sortWithinPartitions("service", "timestamp").write.mode(mode).option("partitionOverwriteMode", "dynamic")
+    out.partitionBy("event_date", "batch").parquet(f"{root}/log_events")
+
+
 def write_events(events: DataFrame, root: str) -> None:
-    """Events by date, and their templates where they are new."""
+    """Events by date, and their templates where they are new. Events that the table has are left out: a
+    second run with the same rows adds nothing. Only the dates at hand are read again."""
+    spark, path = events.sparkSession, f"{root}/log_events"
     append_missing(signatures(events).select("fingerprint", "template", "first_seen"), f"{root}/event_signatures", ["fingerprint"])
-    rows = events.drop("template").withColumn("event_date", F.to_date("timestamp"))
-    rows.sortWithinPartitions("service", "timestamp").write.mode("append").partitionBy("event_date").parquet(f"{root}/log_events")
+    rows = events.dropDuplicates(["event_id"])
+    if exists(spark, path):
+        old = spark.read.parquet(path).select("event_date", "event_id")
+        rows = rows.withColumn("event_date", F.to_date("timestamp")).join(old, ["event_date", "event_id"], "left_anti").select(*events.columns)
+    _write(rows, root, "batch", "append")
 
 
 def read_events(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/log_events").join(spark.read.parquet(f"{root}/event_signatures").select("fingerprint", "template"), "fingerprint")
+    rows = spark.read.option("basePath", f"{root}/log_events").parquet(f"{root}/log_events").drop("batch")
+    return rows.join(spark.read.parquet(f"{root}/event_signatures").select("fingerprint", "template"), "fingerprint")
 
 
 def register_sources(sources: DataFrame, root: str) -> None:
@@ -44,26 +60,95 @@ def append(df: DataFrame, root: str, table: str) -> None:
     df.write.mode("append").parquet(f"{root}/{table}")
 
 
-def set_status(spark: SparkSession, root: str, incident_id: str, status: str, seq: int, summary: str | None = None) -> None:
-    """A new state of an incident; ``seq`` orders states."""
-    if status not in STATUSES:
-        raise ValueError(status)
-    append(spark.createDataFrame([(incident_id, status, seq, summary)], "incident_id string, status string, seq long, summary string"), root, "incidents")
+INCIDENT = "incident_id string, status string, seq long, window_start timestamp, window_end timestamp, summary string, created_at timestamp"
+
+
+def sources(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.parquet(f"{root}/log_sources").orderBy("created_at", "source_id")
+
+
+def create_incident(spark: SparkSession, root: str, incident_id: str, start: datetime, end: datetime, summary: str | None = None, status: str = "detected") -> None:
+    _state(spark, root, (incident_id, status, 0, start, end, summary, datetime.now(UTC)))
+
+
+def _state(spark: SparkSession, root: str, row: tuple) -> None:
+    if row[1] not in STATUSES:
+        raise ValueError(row[1])
+    append(spark.createDataFrame([row], INCIDENT), root, "incidents")
+
+
+def incident(spark: SparkSession, root: str, incident_id: str):
+    """The newest state of an incident; a KeyError if there is none."""
+    found = incidents(spark, root).filter(F.col("incident_id") == incident_id).collect() if exists(spark, f"{root}/incidents") else []
+    if not found:
+        raise KeyError(incident_id)
+    return found[0]
+
+
+def set_status(spark: SparkSession, root: str, incident_id: str, status: str, summary: str | None = None) -> None:
+    """A new state of a known incident; one writer an incident."""
+    old = incident(spark, root, incident_id)
+    _state(spark, root, (incident_id, status, old.seq + 1, old.window_start, old.window_end, summary if summary is not None else old.summary, old.created_at))
+
+
+def attach_analysis(root: str, incident_id: str, clusters: DataFrame, edges: DataFrame, start: datetime, end: datetime, summary: str | None = None) -> None:
+    """An analysis of a known incident: its clusters and edges, then the incident's window and summary."""
+    spark = clusters.sparkSession
+    old = incident(spark, root, incident_id)
+    seq = old.seq + 1
+    for name, rows in (("anomaly_clusters", clusters), ("causal_edges", edges)):
+        append(rows.drop("incident_id").withColumn("incident_id", F.lit(incident_id)).withColumn("seq", F.lit(seq).cast("long")), root, name)
+    _state(spark, root, (incident_id, old.status, seq, start, end, summary if summary is not None else old.summary, old.created_at))
+
+
+def edges_of(spark: SparkSession, root: str, incident_id: str) -> DataFrame:
+    return spark.read.parquet(f"{root}/causal_edges").filter(F.col("incident_id") == incident_id)
 
 
 def incidents(spark: SparkSession, root: str) -> DataFrame:
     return latest(spark.read.parquet(f"{root}/incidents"), ["incident_id"], F.desc("seq"))
 
 
-def remember_once(memory: DataFrame, root: str) -> None:
-    append_missing(memory, f"{root}/incident_memory", ["incident_id"])
+def recent_incidents(spark: SparkSession, root: str, limit: int = 50) -> DataFrame:
+    """The newest incidents, the latest first: a top-k report."""
+    return incidents(spark, root).orderBy(F.desc("created_at"), "incident_id").limit(limit)
+
+
+def persist_investigation(spark: SparkSession, root: str, investigation_id: str, incident_id: str, result: dict, audit: DataFrame) -> None:
+    """An investigation's findings, tool calls and patch, and last the investigation itself: a reader that
+    starts from it never sees one without its parts."""
+    incident(spark, root, incident_id)
+    findings = [(investigation_id, i, x["agent"], json.dumps(x["finding"])) for i, x in enumerate(result["findings"])]
+    append(spark.createDataFrame(findings, "investigation_id string, position int, agent string, finding string"), root, "agent_findings")
+    append(audit.withColumn("investigation_id", F.lit(investigation_id)), root, "tool_executions")
+    if result.get("patch") is not None:
+        append(spark.createDataFrame([(investigation_id, json.dumps(result["patch"]))], "investigation_id string, patch string"), root, "patch_proposals")
+    row = (investigation_id, incident_id, result["status"], json.dumps(result["verdict"]), datetime.now(UTC))
+    append(spark.createDataFrame([row], "investigation_id string, incident_id string, status string, verdict string, created_at timestamp"), root, "investigations")
+
+
+def latest_investigation(spark: SparkSession, root: str, incident_id: str) -> DataFrame:
+    found = spark.read.parquet(f"{root}/investigations").filter(F.col("incident_id") == incident_id)
+    return latest(found, ["incident_id"], F.desc("created_at"), F.desc("investigation_id"))
+
+
+def remember_once(memory: DataFrame, root: str) -> DataFrame:
+    """(incident_id, outcome) of rows stored, or duplicate and left as they are."""
+    path = f"{root}/incident_memory"
+    new = missing(memory, memory.sparkSession, path, ["incident_id"])
+    ids = [r.incident_id for r in new.select("incident_id").collect()]  # incidents that end in one run: few
+    out = memory.select("incident_id", F.when(F.col("incident_id").isin(ids), "stored").otherwise("duplicate").alias("outcome")).distinct()
+    new.write.mode("append").parquet(path)
+    return out
 
 
 def stream_events(parsed: DataFrame, root: str, checkpoint: str, **trigger):
-    """Write a stream of events. A batch that runs again overwrites what it wrote the first time."""
+    """Write a stream of events into the table that :func:`write_events` writes. A batch that runs again
+    overwrites what it wrote the first time; streams are told apart by their checkpoints."""
+    own = f"{zlib.crc32(checkpoint.encode()):08x}"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         append_missing(signatures(batch).select("fingerprint", "template", "first_seen"), f"{root}/event_signatures", ["fingerprint"])
-        batch.drop("template").write.mode("overwrite").parquet(f"{root}/log_events/batch={batch_id}")
+        _write(batch, root, f"{own}-{batch_id}", "overwrite")
 
     return parsed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
