@@ -119,9 +119,34 @@ def parse_plain_events(spark, sf_dir):
     return parse.parse(raw).select("ord", us(), "service", F.col("severity").cast("int").alias("severity"), "message", "trace_id", F.col("attributes")["logger"].alias("logger"))
 
 
+@register(f"WITH {EV} SELECT event_id AS ord, us // 1000 * 1000 AS us, 'api-1' AS service, severity, message, 'app.core' AS logger, CASE WHEN event_id % 2 = 0 THEN 'stderr' ELSE 'stdout' END AS stream FROM ev")
+def parse_docker_events(spark, sf_dir):
+    """Plain lines in container envelopes."""
+    level = F.when(F.col("severity") == 40, "ERROR").when(F.col("severity") == 30, "WARN").when(F.col("severity") == 10, "DEBUG").otherwise("INFO")
+    inner = F.concat(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"), F.lit(" "), level, F.lit(" app.core "), F.col("message"), F.lit("\n"))
+    line = F.to_json(F.struct(inner.alias("log"), F.when(F.col("ord") % 2 == 0, "stderr").otherwise("stdout").alias("stream"), F.lit("2024-01-01T00:00:00Z").alias("time")))
+    raw = events(spark, sf_dir).select(F.lit("docker:api-1").alias("source_id"), line.alias("line"), F.current_timestamp().alias("received_at"), F.lit("docker_json").alias("log_format"), "ord")
+    return parse.parse(raw).select("ord", us(), "service", F.col("severity").cast("int").alias("severity"), "message", F.col("attributes")["logger"].alias("logger"), F.col("attributes")["stream"].alias("stream"))
+
+
+@register(f"WITH {EV} SELECT event_id AS ord, us // 1000000 * 1000000 AS us, message, kind_of AS kind FROM (SELECT *, 'generic' AS kind_of FROM ev) q")
+def parse_epoch_events(spark, sf_dir):
+    """Times as epoch seconds, and a key that stands twice: its last value counts."""
+    line = F.concat(F.lit('{"msg": "no", "ts": '), F.floor(F.unix_micros("timestamp") / 1_000_000).cast("string"), F.lit(', "msg": "'), F.col("message"), F.lit('"}'))
+    raw = events(spark, sf_dir).select(F.lit("x.jsonl").alias("source_id"), line.alias("line"), F.current_timestamp().alias("received_at"), F.lit("json").alias("log_format"), "ord")
+    return parse.parse(raw).select("ord", us(), "message", "kind")
+
+
 # filters and reads
 
 
+@register(f"WITH {EV}, s AS (SELECT fingerprint AS f, template AS t, min(us) AS first_us, count(*) AS n FROM ev GROUP BY 1, 2) SELECT event_id, template, first_us, n FROM ev JOIN s ON f = fingerprint")
+def events_with_signatures(spark, sf_dir):
+    e = events(spark, sf_dir)
+    return query.with_signatures(e.drop("template"), query.signatures(e)).select("event_id", "template", F.unix_micros("first_seen").alias("first_us"), "n")
+
+
+
 @register(f"WITH {EV} SELECT event_id, us, service, severity FROM ev WHERE us BETWEEN epoch_us(TIMESTAMP '2024-01-10') AND epoch_us(TIMESTAMP '2024-01-12') AND severity >= 30 AND service = 'svc-1'")
 def window_filter(spark, sf_dir):
     return query.window(events(spark, sf_dir), START, END, "svc-1", 30).select("event_id", us(), "service", F.col("severity").cast("int").alias("severity"))
@@ -228,9 +253,8 @@ def _detector_sql(key: str, where: str, gaps: str, v: str, w: str, out: str) ->
     return f"WITH RECURSIVE {EV}, {_SERIES.format(key=key, where=where, gaps=gaps)}, {fold} {out}"
 
 
-
-def _clusters(df: DataFrame) -> DataFrame:
-    return df.select("service", "key", F.floor(F.unix_micros("window_start") / 86_400_000_000).alias("day"), "event_count", F.round("confidence", 6).alias("confidence"))
+def _clusters(df: DataFrame, *more: str) -> DataFrame:
+    return df.select(*more, "service", "key", F.floor(F.unix_micros("window_start") / 86_400_000_000).alias("day"), "event_count", F.round("confidence", 6).alias("confidence"))
 
 
 _Z = "(n - mean) / greatest(sqrt(var), sqrt(greatest(mean, 1e-9)), 1e-9)"
@@ -270,12 +294,42 @@ def new_signatures(spark, sf_dir):
     return _clusters(detect.new_signatures(e, DAY.but(learning=200)))
 
 
-@register(" UNION ALL ".join(f"SELECT '{kind}' AS kind, count(*) AS n, CAST(coalesce(sum(event_count), 0) AS BIGINT) AS events FROM ({SQL[name]}) q HAVING count(*) > 0" for kind, name in (("frequency_spike", "frequency_spikes"), ("error_ratio", "error_ratios"), ("retry_storm", "retry_storms"))))
+@register(" UNION ALL ".join(f"SELECT '{kind}' AS kind, service, key, day, event_count, confidence FROM ({SQL[name]}) q" for kind, name in (("frequency_spike", "frequency_spikes"), ("new_signature", "new_signatures"), ("error_ratio", "error_ratios"), ("retry_storm", "retry_storms"))))
 def detect_all(spark, sf_dir):
-    """All windowed detectors, each with its own settings, in one table."""
+    """All four detectors, each with its own settings, in one table."""
+    e = events(spark, sf_dir)
+    by_k = e.withColumn("fingerprint", F.concat(F.lit("x"), F.col("k").cast("string")))
+    found = detect.frequency_spikes(e, FREQUENCY).unionByName(detect.new_signatures(by_k, DAY.but(learning=200))).unionByName(detect.error_ratios(e, ERRORS)).unionByName(detect.retry_storms(e, RETRIES))
+    return _clusters(found, "kind")
+
+
+_REPS = f"""SELECT q.day, q.service, e.event_id, e.r, q.confidence FROM ({SQL["retry_storms"]}) q
+JOIN (SELECT *, us // 86400000000 AS day, row_number() OVER (PARTITION BY service, us // 86400000000 ORDER BY us, event_id) AS r FROM ev WHERE kind = 'task_retry') e
+ON e.service = q.service AND e.day = q.day AND e.r <= 10"""
+
+
+@register(f"WITH {EV} SELECT service, day, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY r) AS reps FROM ({_REPS}) x GROUP BY 1, 2")
+def representatives(spark, sf_dir):
+    """The events that stand for each retry storm, in order."""
+    found = detect.retry_storms(events(spark, sf_dir), RETRIES)
+    return found.select("service", F.floor(F.unix_micros("window_start") / 86_400_000_000).alias("day"), F.array_join("representative_events", ",").alias("reps"))
+
+
+@register(f"WITH {EV} SELECT CAST(event_id AS VARCHAR) AS event_id, confidence AS boost FROM ({_REPS}) x")
+def boosts(spark, sf_dir):
+    return detect.boosts(detect.retry_storms(events(spark, sf_dir), RETRIES)).select("event_id", F.round("boost", 6).alias("boost"))
+
+
+@register(f"WITH {EV}, reps AS ({_REPS}) SELECT event_id FROM ev WHERE severity >= 30 OR event_id IN (SELECT event_id FROM reps)")
+def interesting_events(spark, sf_dir):
     e = events(spark, sf_dir)
-    found = detect.frequency_spikes(e, FREQUENCY).unionByName(detect.error_ratios(e, ERRORS)).unionByName(detect.retry_storms(e, RETRIES))
-    return found.groupBy("kind").agg(F.count("*").alias("n"), F.sum("event_count").alias("events"))
+    return query.interesting(e.withColumn("event_id", F.col("event_id").cast("string")), detect.retry_storms(e, RETRIES)).select(F.col("event_id").cast("long").alias("event_id"))
+
+
+@register(f"WITH {EV}, reps AS ({_REPS}) SELECT service, day, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY r) AS reps FROM reps WHERE r <= 5 GROUP BY 1, 2")
+def anomaly_details(spark, sf_dir):
+    found = query.anomalies(detect.detect(events(spark, sf_dir), RETRIES, (detect.retry_storms, detect.error_ratios)), "retry_storm")
+    return found.select("service", F.floor(F.unix_micros("window_start") / 86_400_000_000).alias("day"), F.array_join("representative_events", ",").alias("reps"))
 
 
 # correlation
@@ -345,14 +399,29 @@ def reach(spark, sf_dir):
 
 
 @register(f"""WITH RECURSIVE {_GRAPH},
-c AS (SELECT user_id, reach + 1 AS reached FROM n WHERE event_id NOT IN (SELECT b FROM ed))
-SELECT CAST(user_id AS VARCHAR) AS incident_id, count(*) AS n, CAST(sum(reached) AS BIGINT) AS reached FROM c GROUP BY 1""")
+z AS (SELECT user_id, count(*) AS size, min(us) AS low, greatest((max(us) - min(us)) / 1000000.0, 1e-9) AS span FROM v GROUP BY 1),
+c AS (SELECT n.user_id, event_id, pos, CAST(reach + 1 AS DOUBLE) / size AS part, 1 - (us - low) / 1000000.0 / span AS early, CASE WHEN severity >= 40 THEN 0.9 ELSE 0.6 END AS impact
+  FROM n JOIN z ON z.user_id = n.user_id WHERE event_id NOT IN (SELECT b FROM ed)),
+o AS (SELECT *, round(0.45 * part + 0.30 * early + 0.25 * impact, 4) AS score FROM c),
+k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, pos) AS rank FROM o)
+SELECT CAST(user_id AS VARCHAR) AS incident_id, CAST(rank AS INTEGER) AS rank, CAST(event_id AS VARCHAR) AS event_id, round(score, 3) AS score, round(round(part, 4), 3) AS reach, round(round(early, 4), 3) AS earliness, CAST(impact AS DOUBLE) AS impact FROM k WHERE rank <= 5""")
 def root_candidates(spark, sf_dir):
-    """Per incident: how many roots, and how many events they reach in sum."""
+    """The five likeliest roots of each incident: a top-k report."""
+    found = graph.root_candidates(*_graph(spark, sf_dir))
+    return found.select("incident_id", "rank", "event_id", F.round("score", 3).alias("score"), F.round("reach", 3).alias("reach"), F.round("earliness", 3).alias("earliness"), "impact")
+
+
+@register(f"""WITH {EV}, v AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS pos FROM ev WHERE severity >= 30),
+ed AS (SELECT s.user_id, s.event_id AS a, t.event_id AS b FROM v s JOIN v t ON s.user_id = t.user_id AND (t.pos = s.pos + 1 AND s.k % 3 <> 0 OR t.pos = s.pos + 2 AND s.k % 2 = 0) WHERE 0.5 + (s.k % 50) / 100.0 >= 0.8)
+SELECT DISTINCT CAST(user_id AS VARCHAR) AS incident_id, CAST(unnest([a, b]) AS VARCHAR) AS event_id FROM ed""")
+def pruned_vertices(spark, sf_dir):
     v, e = _graph(spark, sf_dir)
-    size = v.groupBy(F.col("incident_id").alias("i")).agg(F.count("*").alias("size"))
-    found = graph.root_candidates(v, e, top=1_000_000).join(size, F.col("incident_id") == F.col("i"))
-    return found.groupBy("incident_id").agg(F.count("*").alias("n"), F.sum(F.round(F.col("reach") * F.col("size")).cast("long")).alias("reached"))
+    return graph.prune(v, e, 0.8)[0].select("incident_id", "event_id")
+
+
+@register(f"WITH {EV} SELECT CAST(user_id AS VARCHAR) AS incident_id, CAST(arg_max(event_id, (us, event_id)) AS VARCHAR) AS sink FROM ev WHERE severity >= 40 GROUP BY user_id")
+def sink_events(spark, sf_dir):
+    return graph.sinks(_graph(spark, sf_dir)[0])
 
 
 @register(f"WITH {EV} SELECT CAST(user_id AS VARCHAR) AS incident_id, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) - 1 AS position, CAST(event_id AS VARCHAR) AS event_id FROM ev WHERE severity >= 30")
