@@ -404,7 +404,7 @@ c AS (SELECT n.user_id, event_id, pos, CAST(reach + 1 AS DOUBLE) / size AS part,
   FROM n JOIN z ON z.user_id = n.user_id WHERE event_id NOT IN (SELECT b FROM ed)),
 o AS (SELECT *, round(0.45 * part + 0.30 * early + 0.25 * impact, 4) AS score FROM c),
 k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, pos) AS rank FROM o)
-SELECT CAST(user_id AS VARCHAR) AS incident_id, CAST(rank AS INTEGER) AS rank, CAST(event_id AS VARCHAR) AS event_id, round(score, 3) AS score, round(round(part, 4), 3) AS reach, round(round(early, 4), 3) AS earliness, CAST(impact AS DOUBLE) AS impact FROM k WHERE rank <= 5""")
+SELECT CAST(user_id AS VARCHAR) AS incident_id, CAST(rank AS INTEGER) AS rank, CAST(event_id AS VARCHAR) AS event_id, CAST(round(CAST(score AS DECIMAL(9, 4)), 3) AS DOUBLE) AS score, CAST(round(CAST(part AS DECIMAL(9, 4)), 3) AS DOUBLE) AS reach, CAST(round(CAST(early AS DECIMAL(9, 4)), 3) AS DOUBLE) AS earliness, CAST(impact AS DOUBLE) AS impact FROM k WHERE rank <= 5""")
 def root_candidates(spark, sf_dir):
     """The five likeliest roots of each incident: a top-k report."""
     found = graph.root_candidates(*_graph(spark, sf_dir))
