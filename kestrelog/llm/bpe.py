@@ -169,14 +169,15 @@ class BytePairCodec:
         return b"".join(map(self.vocabulary.__getitem__, ids))
 
 
-def bpe_round_trip(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
+def bpe_round_trip(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False, cache: int = CACHE) -> DataFrame:
     """Encode every text and decode the ids again: doc_id, n_tokens, ids_sha256, decoded_sha256, and
-    token_ids array<int> if ``keep_ids``. A narrow map: no shuffle, a batch of rows at a time."""
+    token_ids array<int> if ``keep_ids``. A narrow map: no shuffle, a batch of rows at a time. ``cache``
+    bounds what a worker keeps at hand, which costs memory or time, and never changes a result."""
     ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * keep_ids
     schema = arrow_type(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = kept("bpe", path, lambda: BytePairCodec(path, pattern))
+        codec = kept("bpe", (path, pattern, cache), lambda: BytePairCodec(path, pattern, cache))
         names = {i: str(i) for i in codec.vocabulary}
         for batch in batches:
             counts, sums, backs, lists = [], [], [], []
