@@ -1,7 +1,7 @@
 """Operator 1: byte-level BPE encoding and decoding.
 
 Each match of the pre-token pattern is merged on its own. Merges wait in a rank queue: one bucket of
-linked-list positions per merge rank, and a hierarchy of 64-bit words over the ranks in which
+linked-list positions per merge rank, and a hierarchy of 256-bit words over the ranks in which
 find-first-set gives the lowest rank that has entries. An entry whose pair has changed since is stale
 and is skipped. Every merge costs a logarithmic number of steps, so very long pre-tokens are no worse
 per byte than short ones.
@@ -30,43 +30,38 @@ CACHE = 700_000
 
 
 class RankQueue:
-    """Priority queue over ranks 0..size-1; within a rank the smallest position comes first.
+    """Priority queue over ranks 0..size-1; within a rank the smallest position comes first. A bit of
+    ``top`` is a word of ``low``, a bit of such a word of 256 a rank that has a bucket.
 
     :meth:`BytePairCodec.merge` works on the fields itself, in the same steps.
     """
 
     def __init__(self, size: int):
         self.buckets: dict[int, list[int]] = {}
-        self.low = [0] * ((size >> 6) + 1)
-        self.mid = [0] * ((size >> 12) + 1)
-        self.top = 0  # one bit per word of mid; an int of any width
+        self.low = [0] * ((size >> 8) + 1)
+        self.top = 0  # an int of any width
 
     def push(self, rank: int, position: int) -> None:
         bucket = self.buckets.get(rank)
         if bucket is None:
             self.buckets[rank] = [position]
-            self.low[rank >> 6] |= 1 << (rank & 63)
-            self.mid[rank >> 12] |= 1 << ((rank >> 6) & 63)
-            self.top |= 1 << (rank >> 12)
+            self.low[rank >> 8] |= 1 << (rank & 255)
+            self.top |= 1 << (rank >> 8)
         else:
             heapq.heappush(bucket, position)
 
     def pop(self) -> tuple[int, int]:
         """Lowest rank and its smallest position; the queue must not be empty."""
         a = (self.top & -self.top).bit_length() - 1
-        word = self.mid[a]
-        b = (a << 6) + (word & -word).bit_length() - 1
-        word = self.low[b]
-        rank = (b << 6) + (word & -word).bit_length() - 1
+        word = self.low[a]
+        rank = (a << 8) + (word & -word).bit_length() - 1
         bucket = self.buckets[rank]
         position = heapq.heappop(bucket)
         if not bucket:
             del self.buckets[rank]
-            self.low[b] &= self.low[b] - 1
-            if not self.low[b]:
-                self.mid[a] &= self.mid[a] - 1
-                if not self.mid[a]:
-                    self.top &= self.top - 1
+            self.low[a] &= self.low[a] - 1
+            if not self.low[a]:
+                self.top &= self.top - 1
         return rank, position
 
 
@@ -78,6 +73,8 @@ class BytePairCodec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.vocabulary = {rank: token for token, rank in self.ranks.items()}
         self.queue = RankQueue(max(self.ranks.values(), default=0) + 1)
+        self.bits = [1 << i for i in range(max(256, len(self.queue.low)))]
+        self.two = [[self.ranks.get(bytes((a, b)), -1) for b in range(256)] for a in range(256)]
         white = f"[{WHITE_SPACE}]"
         # the pattern's own white space class is the Unicode property, whatever a library takes \s for
         own = pattern.replace(r"[^\s", f"[^{WHITE_SPACE}").replace(r"\S", f"[^{WHITE_SPACE}]").replace(r"\s", white)
@@ -97,41 +94,32 @@ class BytePairCodec:
         ranks = self.ranks
         if (whole := ranks.get(piece)) is not None:
             return (whole,)
-        get, queue, n = ranks.get, self.queue, len(piece)
-        buckets, low, mid, top, heappush, heappop = queue.buckets, queue.low, queue.mid, 0, heapq.heappush, heapq.heappop
+        get, n, two, bits = ranks.get, len(piece), self.two, self.bits
+        buckets, low, top, heappush, heappop = self.queue.buckets, self.queue.low, 0, heapq.heappush, heapq.heappop
+        drop = buckets.pop
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = [get(piece[i : i + 2], -1) for i in range(n)]  # rank of the pair that begins here
-        pair[-1] = -1
-        fresh = [(rank, i) for i, rank in enumerate(pair) if rank >= 0]
-        while True:
-            for rank, i in fresh:
-                if rank in buckets:
-                    heappush(buckets[rank], i)
-                else:
-                    buckets[rank] = [i]
-                    word = rank >> 6
-                    low[word] |= 1 << (rank & 63)
-                    mid[word >> 6] |= 1 << (word & 63)
-                    top |= 1 << (word >> 6)
-            if not top:
-                break
+        pair = [two[a][b] for a, b in zip(piece, piece[1:])]  # rank of the pair that begins here
+        pair.append(-1)
+        for i, rank in enumerate(pair):
+            if rank in buckets:
+                heappush(buckets[rank], i)
+            elif rank >= 0:
+                buckets[rank] = [i]
+                low[word := rank >> 8] |= bits[rank & 255]
+                top |= bits[word]
+        while top:
             a = (top & -top).bit_length() - 1
-            word = mid[a]
-            b = (a << 6) + (word & -word).bit_length() - 1
-            word = low[b]
-            rank = (b << 6) + (word & -word).bit_length() - 1
-            bucket = buckets[rank]
+            word = low[a]
+            rank = (a << 8) + (word & -word).bit_length() - 1
+            bucket = drop(rank)
             if len(bucket) > 1:
                 i = heappop(bucket)
+                buckets[rank] = bucket
             else:
                 i = bucket[0]
-                del buckets[rank]
-                low[b] = word = word & (word - 1)
+                low[a] = word = word & (word - 1)
                 if not word:
-                    mid[a] = word = mid[a] & (mid[a] - 1)
-                    if not word:
-                        top &= top - 1
-            fresh = ()
+                    top &= top - 1
             if pair[i] != rank:
                 continue  # stale: a neighbour has been merged meanwhile
             j = after[i]
@@ -141,11 +129,20 @@ class BytePairCodec:
                 before[k] = i
                 if (rank := get(piece[i : after[k]])) is not None:
                     pair[i] = rank
-                    fresh = ((rank, i),)
+                    if rank in buckets:
+                        heappush(buckets[rank], i)
+                    else:
+                        buckets[rank] = [i]
+                        low[word := rank >> 8] |= bits[rank & 255]
+                        top |= bits[word]
             if (h := before[i]) >= 0:
                 pair[h] = rank = get(piece[h:k], -1)
-                if rank >= 0:
-                    fresh = (*fresh, (rank, h))
+                if rank in buckets:
+                    heappush(buckets[rank], h)
+                elif rank >= 0:
+                    buckets[rank] = [h]
+                    low[word := rank >> 8] |= bits[rank & 255]
+                    top |= bits[word]
         ids, i = [], 0
         while i < n:
             k = after[i]
