@@ -205,10 +205,17 @@ def test_lines_and_places_do_not_depend_on_splits(spark, tmp_path):
             want.append((at, text))
         at += len(line) + 1
     spark.dataSource.register(logs.LogSource)
-    for split in (7, 100, 1 << 20):
-        got = spark.read.format("log_lines").option("split", split).load(str(tmp_path / "in")).collect() if split == 100 else spark.read.format("log_lines").options(path=str(tmp_path / "in"), split=split).load().collect()
-        assert sorted((r.ord, r.line) for r in got if r.source_id == "sub/b.log") == want
-        assert sorted((r.ord, r.line) for r in got if r.source_id == "a.log") == want[:-1] and {r.source_id for r in got} == {"a.log", "sub/b.log"}
+    whole = str(tmp_path / "in")
+
+    def check(got):
+        assert sorted((n, line) for source, n, line in got if source == "sub/b.log") == want
+        assert sorted((n, line) for source, n, line in got if source == "a.log") == want[:-1] and {source for source, _, _ in got} == {"a.log", "sub/b.log"}
+
+    for split in (1, 7):  # thousands of ranges: read here, since each would be a task of its own
+        files = logs.LogSource({"path": whole, "split": str(split)}).reader(None)
+        check([(r["source_id"], r["ord"], r["line"]) for part in files.partitions() for b in files.read(part) for r in b.to_pylist()])
+    check([(r.source_id, r.ord, r.line) for r in spark.read.format("log_lines").option("split", 100).load(whole).collect()])
+    check([(r.source_id, r.ord, r.line) for r in spark.read.format("log_lines").options(path=whole, split=1 << 20).load().collect()])
 
 
 def test_stream_of_growing_files_gives_the_batch_events(spark, tmp_path):
