@@ -96,7 +96,7 @@ class _Files(DataSourceReader):
         rows: list[tuple[int, str]] = []
         if part.start < part.end:
             system, _ = self.opened()
-            with system.open_input_file(part.path) as raw, io.BufferedReader(raw, 1 << 20) as file:
+            with system.open_input_file(part.path) as raw, io.BufferedReader(raw, min(1 << 20, max(1 << 12, part.end - part.start))) as file:
                 place = max(0, part.start - 1)
                 file.seek(place)
                 if part.start:
