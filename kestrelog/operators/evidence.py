@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from kestrelog.operators import correlate, detect, graph
 from kestrelog.operators.query import dependencies, interesting
+from kestrelog.session import settled
 
 
 @dataclass
 class Analysis:
-    """DataFrames of one run; nothing is computed before it is asked for."""
+    """DataFrames of one run. Clusters, vertices and edges are read from tables."""
 
     events: DataFrame
     clusters: DataFrame
@@ -24,9 +25,11 @@ class Analysis:
 
 
 def analyse(events: DataFrame, deps: DataFrame, s: detect.Settings = detect.Settings(), incident_id: str = "incident") -> Analysis:
-    clusters = detect.detect(events, s)
-    kept = interesting(events, clusters)
-    edges = correlate.correlate(kept, deps).withColumn("incident_id", F.lit(incident_id))
+    """The chain up to the pruned graph. Each step reads the table of the one before: a single plan would hold
+    that of ``events`` some forty times, and Spark would take minutes to analyse it."""
+    clusters = settled(detect.detect(events, s), "clusters")
+    kept = settled(interesting(events, clusters), "kept")
+    edges = settled(correlate.correlate(kept, deps).withColumn("incident_id", F.lit(incident_id)), "edges")
     vertices = kept.withColumn("incident_id", F.lit(incident_id))
     vertices, edges = graph.prune(vertices, edges, correlate.LEAST)
     return Analysis(events, clusters, vertices, edges, deps, detect.boosts(clusters))

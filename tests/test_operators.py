@@ -13,6 +13,7 @@ from kestrelog.investigate import agents, tools
 from kestrelog.operators import correlate, detect, evidence, graph, memory, query
 from kestrelog.operators.parse import parse
 from kestrelog.schema import EVENT
+from kestrelog.session import settled
 from kestrelog.sinks import tables
 from kestrelog.sources import logs, repo
 from kestrelog.streaming import detect as streaming
@@ -385,7 +386,7 @@ def test_new_signatures_of_a_stream(spark, tmp_path):
 @pytest.fixture(scope="module")
 def incident(spark, tmp_path_factory):
     files = logs.synthetic_incident(str(tmp_path_factory.mktemp("incident")))
-    e = parse(logs.read_incident(spark, files, BASE)).cache()
+    e = settled(parse(logs.read_incident(spark, files, BASE)), "events")
     deps = spark.createDataFrame(logs.DEPENDENCIES, "service string, dependency string")
     return e, deps, evidence.analyse(e, deps, detect.Settings(learning=400))
 
