@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrelog.llm import bpe, decontaminate, html, huffman, jaccard, langid, licenses, linededup, spelling, toxicity, trie
+from kestrelog.llm import bpe, collocations, decontaminate, html, huffman, jaccard, langid, licenses, linededup, spelling, toxicity, trie
 from kestrelog.llm.common import table
 
 
@@ -65,6 +65,10 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,13 +76,14 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_bpe, op2_decontaminate, op3_jaccard, op4_toxicity, op5_line_dedup, op6_language, op7_main_text, op8_exact_dedup, op9_licenses, op10_token_ids, op11_spelling, pipeline]
+    found = [op1_bpe, op2_decontaminate, op3_jaccard, op4_toxicity, op5_line_dedup, op6_language, op7_main_text, op8_exact_dedup, op9_licenses, op10_token_ids, op11_spelling, op13_collocations, pipeline]
     return {f.__name__: f for f in found}
 
 
 SQL = {
     "op5_line_dedup": linededup.SQL,
     "op11_spelling": spelling.SQL,
+    "op13_collocations": collocations.SQL,
     "op8_exact_dedup": """
         WITH g AS (SELECT coalesce(text, '') AS t, max(doc_id) AS keep_id, count(*) AS group_size FROM documents GROUP BY 1)
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(g.t) AS text_sha256
