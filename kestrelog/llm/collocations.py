@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,7 +93,7 @@ def _chunks(found: DataFrame, size: int) -> DataFrame:
         # partition and ordinal: one task's chunks are written once, with the table
         base, n, held, chars = (TaskContext.get().partitionId() << 32), 0, [], 0
         for batch in batches:
-            sizes = np.cumsum(pa.compute.utf8_length(batch.column(1)).to_numpy())
+            sizes = np.cumsum(pc.utf8_length(batch.column(1)).to_numpy())
             begin = 0
             while begin < batch.num_rows:
                 before = sizes[begin - 1] if begin else 0

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrelog.llm import bpe, collocations, decontaminate, html, huffman, jaccard, langid, licenses, linededup, spelling, toxicity, trie
+from kestrelog.llm import bpe, collocations, decontaminate, html, huffman, jaccard, langid, licenses, linededup, pitmanyor, spelling, toxicity, trie
 from kestrelog.llm.common import table
 
 
@@ -65,6 +65,11 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op12_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pitmanyor.score(table(spark, sf_dir, "documents"), remainder(5) != 1)
+    return out.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -76,7 +81,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_bpe, op2_decontaminate, op3_jaccard, op4_toxicity, op5_line_dedup, op6_language, op7_main_text, op8_exact_dedup, op9_licenses, op10_token_ids, op11_spelling, op13_collocations, pipeline]
+    found = [op1_bpe, op2_decontaminate, op3_jaccard, op4_toxicity, op5_line_dedup, op6_language, op7_main_text, op8_exact_dedup, op9_licenses, op10_token_ids, op11_spelling, op12_pitman_yor, op13_collocations, pipeline]
     return {f.__name__: f for f in found}
 
 
