@@ -183,7 +183,7 @@ def _pair_counts(chunks: DataFrame, numbers: DataFrame, buckets: int) -> DataFra
             for chunk, data, answers in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 held = _unpack(data)
                 number = np.zeros(len(held["words"]), np.int64)
-                for a in map(_unpack, answers or ()):
+                for a in map(_unpack, answers if answers.is_valid else ()):
                     number[a["at"]] = a["number"]
                 context, dish, text = _pairs(held, number)
                 known = (context > 0) & (dish > 0)
