@@ -27,11 +27,11 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,19 +46,38 @@ EXACT = 64
 
 
 def _pack(**arrays) -> bytes:
-    held = {name: a if isinstance(a, pa.Array) else pa.array(a) for name, a in arrays.items()}
-    lists = [pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a) for a in held.values()]
-    batch = pa.RecordBatch.from_arrays(lists, names=list(held))
-    out = pa.BufferOutputStream()
+    """Arrays of whole numbers and binaries as one compressed block; numbers by byte planes, which pack better."""
+    names, lists = [], []
+    for name, a in arrays.items():
+        if not isinstance(a, pa.Array):
+            small = len(a) == 0 or (a.min() >= -(1 << 31) and a.max() < 1 << 31)
+            a = np.ascontiguousarray(a, np.int32 if small else np.int64)
+            name, a = f"{name} {a.dtype.str}", pa.array(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).ravel())
+        names.append(name)
+        lists.append(pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a))
+    batch, out = pa.RecordBatch.from_arrays(lists, names=names), pa.BufferOutputStream()
     with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
         writer.write_batch(batch)
     return out.getvalue().to_pybytes()
 
 
 def _unpack(data: pa.Scalar) -> dict:
-    batch = pa.ipc.open_stream(pa.py_buffer(data.as_buffer())).read_next_batch()
-    values = {name: batch.column(name).values for name in batch.schema.names}
-    return {name: v if pa.types.is_binary(v.type) else v.to_numpy(zero_copy_only=False) for name, v in values.items()}
+    batch, found = pa.ipc.open_stream(pa.py_buffer(data.as_buffer())).read_next_batch(), {}
+    for name in batch.schema.names:
+        values, (name, *kind) = batch.column(name).values, name.split(" ")
+        if kind:
+            kind = np.dtype(kind[0])
+            values = np.ascontiguousarray(values.to_numpy().reshape(kind.itemsize, -1).T).view(kind).ravel()
+        found[name] = values
+    return found
+
+
+def _split(place: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The indices of each value of ``place``, rising."""
+    order = np.argsort(place.astype(np.uint16) if len(place) and place.max() < 1 << 16 else place, kind="stable")
+    values, first = np.unique(place[order], return_index=True)
+    for value, a, b in zip(values.tolist(), first, [*first[1:], len(place)]):
+        yield value, order[a:b]
 
 
 def _rows(rows: list[tuple], ddl: str) -> pa.RecordBatch:
@@ -81,9 +100,13 @@ def _chunks(docs: DataFrame, learn: Column, size: int) -> DataFrame:
         lengths = np.array([len(t) for t in texts], np.int64)
         tokens = np.concatenate(texts) if texts else np.empty(0, np.int32)
         training = np.array(learned, bool)
-        counts = np.bincount(tokens[np.repeat(training, lengths)], minlength=len(words))
+        names, often = list(words), np.argsort(-np.bincount(tokens, minlength=len(words)), kind="stable")
+        place = np.empty(len(often), np.int32)
+        place[often] = np.arange(len(often))  # frequent words get small numbers, which pack well
+        tokens, names = place[tokens], [names[i] for i in often]
+        counts = np.bincount(tokens[np.repeat(training, lengths)], minlength=len(names))
         nameless = np.array([i is None for i in ids], np.int8)
-        data = _pack(doc_id=np.array([i or 0 for i in ids], np.int64), nameless=nameless, training=training.astype(np.int8), lengths=lengths, tokens=tokens.astype(np.int32), words=pa.array(list(words), pa.binary()), counts=counts)
+        data = _pack(doc_id=np.array([i or 0 for i in ids], np.int64), nameless=nameless, training=training.astype(np.int8), lengths=lengths, tokens=tokens, words=pa.array(names, pa.binary()), counts=counts)
         here = int((lengths[training] + 1).sum())
         return _rows([(number, int(lengths.sum()) + len(texts), here, int(training.sum()), data)], ddl)
 
@@ -112,7 +135,7 @@ def _chunks(docs: DataFrame, learn: Column, size: int) -> DataFrame:
 
 def _word_numbers(chunks: DataFrame, buckets: int) -> DataFrame:
     """(bucket, chunk, distinct, data): for each chunk the numbers and training counts of its words in a
-    bucket; distinct is the bucket's number of training words, in a row of its own without a chunk.
+    bucket. A row of its own, without a chunk, has the bucket's training words and how many they are.
 
     Numbers rise as counts fall, so they pack well: number = rank in the bucket * buckets + bucket + 2.
     """
@@ -122,25 +145,24 @@ def _word_numbers(chunks: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for number, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 held = _unpack(data)
-                place = np.fromiter((xxhash.xxh64_intdigest(w.as_py()) % buckets for w in held["words"]), np.int64, len(held["words"]))
-                for bucket in np.unique(place):
-                    at = np.flatnonzero(place == bucket)
-                    yield _rows([(int(bucket), number, _pack(at=at.astype(np.int32), words=held["words"].take(pa.array(at)), counts=held["counts"][at]))], asked)
+                place = np.fromiter(map(crc32, held["words"].to_pylist()), np.int64, len(held["words"])) % buckets
+                for bucket, at in _split(place):
+                    yield _rows([(bucket, number, _pack(at=at, words=held["words"].take(pa.array(at)), counts=held["counts"][at]))], asked)
 
     def answer(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
         held = [_unpack(data) for data in table.column("data")]
         words = pa.chunked_array([h["words"] for h in held]).combine_chunks().dictionary_encode()
         index, counts = words.indices.to_numpy(), np.concatenate([h["counts"] for h in held])
-        total = np.zeros(len(words.dictionary), np.int64)
-        np.add.at(total, index, counts)
+        total = np.bincount(index, weights=counts, minlength=len(words.dictionary)).astype(np.int64)
         rank = np.empty(len(total), np.int64)
         # equal counts in order of the word: the same numbers however the blocks arrive
         rank[np.lexsort((pc.rank(words.dictionary, sort_keys="ascending").to_numpy(), -total))] = np.arange(len(total))
         number = np.where(total > 0, rank * buckets + bucket + 2, 0)
         if len(number) and number.max() >= 1 << 31:
             raise ValueError("more than 2^31 distinct words")
-        rows, begin = [(bucket, None, int((total > 0).sum()), None)], 0
+        learned, begin = total > 0, 0
+        rows = [(bucket, None, int(learned.sum()), _pack(number=number[learned], count=total[learned]))]
         for chunk, h in zip(table.column("chunk").to_pylist(), held):
             own = index[begin : begin + len(h["at"])]
             begin += len(h["at"])
@@ -173,9 +195,9 @@ def _pairs(held: dict, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _pair_counts(chunks: DataFrame, numbers: DataFrame, buckets: int) -> DataFrame:
-    """Rows of four kinds: pairs (u, w, n) that stand twice or more in training rows; contexts u and dishes
-    w with the number n of their pairs that stand once; and for each chunk (chunk, bucket, data) the counts
-    of its pairs in the order of the pairs."""
+    """Rows of four kinds: pairs (u, w, n) that stand twice or more in training rows; packed contexts and
+    dishes with the number of their pairs that stand once, by bucket of their number; and for each chunk
+    (chunk, bucket, data) the counts of its pairs in the order of the pairs."""
     asked, answered = "bucket int, chunk long, data binary", "kind string, u long, w long, n long, bucket int, chunk long, data binary"
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,33 +209,32 @@ def _pair_counts(chunks: DataFrame, numbers: DataFrame, buckets: int) -> DataFra
                     number[a["at"]] = a["number"]
                 context, dish, text = _pairs(held, number)
                 known = (context > 0) & (dish > 0)
-                pair, index = np.unique(context[known] << 32 | dish[known], return_inverse=True)
-                n = np.bincount(index[held["training"][text[known]] > 0], minlength=len(pair))
-                place = (_mix(pair) % np.uint64(buckets)).astype(np.int64)
-                for bucket in np.unique(place):
-                    own = place == bucket
-                    yield _rows([(int(bucket), chunk, _pack(pair=pair[own], n=n[own]))], asked)
+                key = ((context[known] << 32 | dish[known]).astype(np.uint64) << np.uint64(1)) | held["training"][text[known]].astype(np.uint64)
+                key.sort()
+                pair = (key >> np.uint64(1)).astype(np.int64)
+                first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else np.empty(0, np.int64)
+                n = np.add.reduceat((key & np.uint64(1)).astype(np.int64), first) if len(pair) else first
+                pair = pair[first]
+                for bucket, at in _split((_mix(pair) % np.uint64(buckets)).astype(np.int64)):
+                    own = pair[at]
+                    yield _rows([(bucket, chunk, _pack(u=np.diff(own >> 32, prepend=0), w=own & 0xFFFFFFFF, n=n[at]))], asked)
 
     def answer(table: pa.Table) -> pa.Table:
         held = [_unpack(data) for data in table.column("data")]
-        pair, index = np.unique(np.concatenate([h["pair"] for h in held]), return_inverse=True)
+        pair, index = np.unique(np.concatenate([np.cumsum(h["u"], dtype=np.int64) << 32 | h["w"] for h in held]), return_inverse=True)
         n = np.bincount(index, weights=np.concatenate([h["n"] for h in held])).astype(np.int64)
-        parts, begin = [], 0
+        parts, rows, begin = [], [], 0
         for chunk, bucket, h in zip(table.column("chunk").to_pylist(), table.column("bucket").to_pylist(), held):
-            own = n[index[begin : begin + len(h["pair"])]]
-            begin += len(h["pair"])
-            parts.append(_rows([("answer", None, None, None, bucket, chunk, _pack(n=own))], answered))
+            rows.append(("answer", None, None, None, bucket, chunk, _pack(n=n[index[begin : begin + len(h["n"])]])))
+            begin += len(h["n"])
         twice, once = n > 1, n == 1
-
-        def rows(kind: str, u, w, n) -> pa.RecordBatch:
-            none, size = (lambda t: pa.nulls(size, t)), len(n)
-            columns = [pa.array([kind] * size, pa.string()), none(pa.int64()) if u is None else pa.array(u), none(pa.int64()) if w is None else pa.array(w), pa.array(n.astype(np.int64)), none(pa.int32()), none(pa.int64()), none(pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, schema=arrow_type(answered))
-
-        parts.append(rows("pair", pair[twice] >> 32, pair[twice] & 0xFFFFFFFF, n[twice]))
         for kind, side in (("context", pair[once] >> 32), ("dish", pair[once] & 0xFFFFFFFF)):
-            values, count = np.unique(side, return_counts=True)
-            parts.append(rows(kind, values if kind == "context" else None, values if kind == "dish" else None, count))
+            ids, count = np.unique(side, return_counts=True)
+            rows += [(kind, None, None, None, bucket, None, _pack(id=ids[at], n=count[at])) for bucket, at in _split(ids % buckets)]
+        parts.append(_rows(rows, answered))
+        size, none = int(twice.sum()), lambda t: pa.nulls(int(twice.sum()), t)
+        columns = [pa.array(["pair"] * size, pa.string()), pa.array(pair[twice] >> 32), pa.array(pair[twice] & 0xFFFFFFFF), pa.array(n[twice]), none(pa.int32()), none(pa.int64()), none(pa.binary())]
+        parts.append(pa.RecordBatch.from_arrays(columns, schema=arrow_type(answered)))
         return pa.Table.from_batches(parts)
 
     answers = numbers.filter("chunk is not null").groupBy("chunk").agg(F.collect_list("data").alias("answers"))
@@ -221,6 +242,19 @@ def _pair_counts(chunks: DataFrame, numbers: DataFrame, buckets: int) -> DataFra
     return materialize(requests.groupBy("bucket").applyInArrow(answer, answered), "pitman-yor-pairs")
 
 
+def _single(pairs: DataFrame, kind: str) -> DataFrame:
+    """(id, once): how many pairs that stand once a context or dish has."""
+
+    def add(table: pa.Table) -> pa.Table:
+        held = [_unpack(data) for data in table.column("data")]
+        ids, index = np.unique(np.concatenate([h["id"] for h in held]), return_inverse=True)
+        n = np.bincount(index, weights=np.concatenate([h["n"] for h in held]))
+        return pa.table({"id": pa.array(ids.astype(np.int64)), "once": pa.array(n.astype(np.int64))})
+
+    packed = pairs.filter(F.col("kind") == kind).select("bucket", "data")
+    return materialize(packed.groupBy("bucket").applyInArrow(add, "id long, once long"), f"pitman-yor-once-{kind}")
+
+
 @lru_cache(8)
 def _stirling(discount: float) -> np.ndarray:
     """Logarithms of the generalised Stirling numbers: [c, t] ways of seating c customers at t tables."""
@@ -305,90 +339,107 @@ def _discount(once: int, twice: int) -> float:
     return min(max(once / (once + 2 * twice), 0.05), 0.95) if once else 0.5
 
 
+def _parent(n, t, state: dict):
+    """The parent's probability of dishes with ``n`` customers at ``t`` tables there; 0 and 0: an unknown word."""
+    return (n - state["base_discount"] * t + state["base"]) / (state["base_strength"] + state["customers"])
+
+
+def _together(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator[list[np.ndarray]]:
+    """Columns of several batches at once: a draw costs as much for few rows as for many."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield [c.to_numpy() for c in pa.Table.from_batches(held).columns]
+            held, n = [], 0
+    if n:
+        yield [c.to_numpy() for c in pa.Table.from_batches(held).columns]
+
+
 class Sampler:
-    """Sweeps over the pairs. ``kept`` has the states after the sweeps from ``burn_in`` on, as tables of id and
-    tables t<i> or probability p<i>; ``mass`` their strength, discount and unknown word's probability."""
+    """Sweeps over the pairs. ``contexts`` has a row a restaurant (id, n customers, t<i> tables after sweep
+    i), ``dishes`` one a dish of their parent (id, n<i> customers, s<i> tables there); ``states`` has each
+    sweep's strengths and discounts. Sweep 0 is the start, with one table a dish."""
 
-    def __init__(self, pairs: DataFrame, contexts: DataFrame, distinct: int, burn_in: int):
+    def __init__(self, pairs: DataFrame, words: DataFrame, distinct: int):
         self.twice = pairs.filter("kind = 'pair'").select("u", "w", "n")
-        self.once_u = pairs.filter("kind = 'context'").select("u", F.col("n").alias("t"))
-        self.once_w = pairs.filter("kind = 'dish'").select("w", F.col("n").alias("t"))
-        self.contexts = contexts  # (u, n): customers of every restaurant
+        self.once = {kind: _single(pairs, kind) for kind in ("context", "dish")}
+        self.contexts, self.dishes, self.states = words, None, []
         self.types = distinct + 1  # and the unknown word
-        self.discount = _discount(self.once_u.agg(F.sum("t")).first()[0], self.twice.agg(F.count_if(F.col("n") == 2)).first()[0])
-        self.strength, self.base_strength, self.base_discount = 1.0, 1.0, None
-        self.burn_in, self.kept, self.mass = burn_in, [], []
-        self._state(self.twice.select("u", "w", F.lit(1).cast("long").alias("t")), 0)
-
-    def _state(self, seats: DataFrame, sweep: int) -> None:
-        """Tables of the restaurants and probabilities of the parent after a sweep."""
-        opened = self.once_u.union(seats.select("u", "t")).groupBy("u").agg(F.sum("t").alias("tables"))
-        self.open = materialize(self.contexts.join(opened, "u"), "pitman-yor-contexts")
-        if sweep:
-            self.strength = _strength(self.open, self.strength, self.discount)
-        parent = materialize(self.once_w.union(seats.select("w", "t")).groupBy("w").agg(F.sum("t").alias("n")), "pitman-yor-parent")
-        customers, words, once, twice = parent.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
-        if self.base_discount is None:
-            self.base_discount, self.base_tables = _discount(once, twice), words
-        discount, strength = self.base_discount, self.base_strength
-        weight = (strength + discount * self.base_tables) / self.types
+        self.discount = _discount(self.once["context"].agg(F.sum("once")).first()[0], self.twice.agg(F.count_if(F.col("n") == 2)).first()[0])
+        self.strength, self.base_strength, self.base_discount, self.base_tables = 1.0, 1.0, None, 0
+        self._state(self.twice.select("u", "w", F.lit(1).cast("long").alias("t")))
+
+    def _opened(self, seats: DataFrame, side: str, kind: str, name: str) -> DataFrame:
+        """(id, ``name``): tables by context or by dish."""
+        both = self.once[kind].select("id", F.col("once").alias("t")).union(seats.select(F.col(side).alias("id"), "t"))
+        return both.groupBy("id").agg(F.sum("t").alias(name))
+
+    def _state(self, seats: DataFrame) -> None:
+        """Tables of the restaurants, and the parent's own seating, after a sweep."""
+        i, old = len(self.states), [self.contexts, self.dishes]
+        self.contexts = materialize(self.contexts.join(self._opened(seats, "u", "context", f"t{i}"), "id"), "pitman-yor-contexts")
+        if i:
+            self.strength = _strength(self.contexts.select("n", F.col(f"t{i}").alias("tables")), self.strength, self.discount)
+        parent = self._opened(seats, "w", "dish", f"n{i}")
+        if self.dishes is None:
+            parent = materialize(parent, "pitman-yor-parent")
+            once, twice, self.base_tables = parent.agg(F.count_if(F.col("n0") == 1), F.count_if(F.col("n0") == 2), F.count("*")).first()
+            self.base_discount = _discount(once, twice)
+        else:
+            parent = self.dishes.join(parent, "id")
+        discount, names = self.base_discount, [f"{kind}{k}" for k in range(i + 1) for kind in "ns"]
+        weight = (self.base_strength + discount * self.base_tables) / self.types
+        ddl = "id long, " + ", ".join(f"{name} long" for name in names)
 
         def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                w, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                t = tables(n, np.full(len(n), weight), discount, _mix(w) + np.uint64(sweep))
-                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(n), pa.array(t.astype(np.int64))], schema=arrow_type("w long, n long, t long"))
-
-        seated = materialize(parent.mapInArrow(seat, "w long, n long, t long"), "pitman-yor-dishes")
-        remove(seated.sparkSession, parent)
-        self.base_tables = seated.agg(F.coalesce(F.sum("t"), F.lit(0))).first()[0]
-        base = (strength + discount * self.base_tables) / self.types
-        self.unknown = base / (strength + customers)
-        self.dishes = seated.select("w", ((F.col("n") - discount * F.col("t") + base) / (strength + customers)).alias("p"))
-        if sweep >= self.burn_in:
-            self.kept.append(self.open.select(F.col("u").alias("id"), F.col("tables").cast("double").alias(f"t{len(self.mass)}")))
-            self.kept.append(self.dishes.select(F.col("w").alias("id"), F.col("p").alias(f"p{len(self.mass)}")))
-            self.mass.append((self.strength, self.discount, self.unknown))
-
-    def sweep(self, number: int) -> None:
-        strength, discount = self.strength, self.discount
+            for ids, *held in _together(batches):
+                t = tables(held[-1], np.full(len(ids), weight), discount, _mix(ids) + np.uint64(i))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ids, *held, t.astype(np.int64))], schema=arrow_type(ddl))
+
+        self.dishes = materialize(parent.select("id", *names[:-1]).mapInArrow(seat, ddl), "pitman-yor-dishes")
+        customers, self.base_tables = self.dishes.agg(F.coalesce(F.sum(f"n{i}"), F.lit(0)), F.coalesce(F.sum(f"s{i}"), F.lit(0))).first()
+        base = (self.base_strength + discount * self.base_tables) / self.types
+        self.states.append({"strength": self.strength, "discount": self.discount, "base_strength": self.base_strength, "base_discount": discount, "base": base, "customers": customers})
+        for table in old if i else [parent]:
+            remove(table.sparkSession, table)
+
+    def sweep(self) -> None:
+        i, state = len(self.states), self.states[-1]
+        strength, discount = state["strength"], state["discount"]
 
         def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                u, w, n, open_, p = (c.to_numpy() for c in batch.columns)
-                t = tables(n, (strength + discount * open_) * p, discount, _mix(u << 32 | w) + np.uint64(number))
+            for u, w, n, opened, customers, seated in _together(batches):
+                t = tables(n, (strength + discount * opened) * _parent(customers, seated, state), discount, _mix(u << 32 | w) + np.uint64(i))
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(w), pa.array(t.astype(np.int64))], schema=arrow_type("u long, w long, t long"))
 
-        rows = self.twice.join(self.open.select("u", "tables"), "u").join(self.dishes, "w").select("u", "w", "n", "tables", "p")
+        contexts = self.contexts.select(F.col("id").alias("u"), F.col(f"t{i - 1}").alias("opened"))
+        dishes = self.dishes.select(F.col("id").alias("w"), F.col(f"n{i - 1}").alias("customers"), F.col(f"s{i - 1}").alias("seated"))
+        rows = self.twice.join(contexts, "u").join(dishes, "w").select("u", "w", "n", "opened", "customers", "seated")
         seats = materialize(rows.mapInArrow(seat, "u long, w long, t long"), "pitman-yor-seats")
-        self._state(seats, number)
+        self._state(seats)
         remove(seats.sparkSession, seats)
         release(seats.sparkSession)
 
 
-def _states(numbers: DataFrame, sampler: Sampler, buckets: int) -> DataFrame:
-    """(chunk, data): numbers, counts and the kept states of the chunk's words."""
-    names = [f"{kind}{i}" for i in range(len(sampler.mass)) for kind in "tp"]
-    padded = [k.select("id", *(F.col(n) if n in k.columns else F.lit(None).cast("double").alias(n) for n in names)) for k in sampler.kept]
-    state = padded[0]
-    for more in padded[1:]:
-        state = state.union(more)
-    state = state.groupBy("id").agg(*(F.max(n).alias(n) for n in names)).withColumn("bucket", ((F.col("id") - 2) % buckets).cast("int"))
+def _states(numbers: DataFrame, state: DataFrame, names: list[str], buckets: int) -> DataFrame:
+    """(chunk, data): numbers, counts and sampled states of the chunk's words."""
 
     def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
         order = np.argsort(held.column("id").to_numpy())
-        ids, values = held.column("id").to_numpy()[order], {n: held.column(n).to_numpy()[order] for n in names}
-        rows = []
+        ids = np.r_[held.column("id").to_numpy()[order], np.int64(1 << 62)]
+        values, rows = {n: np.r_[held.column(n).to_numpy()[order], np.int64(0)] for n in names}, []
         for chunk, data in zip(asked.column("chunk").to_pylist(), asked.column("data")):
             own = _unpack(data)
-            at = np.minimum(np.searchsorted(ids, own["number"]), max(len(ids) - 1, 0))
-            found = ids[at] == own["number"] if len(ids) else np.zeros(len(own["number"]), bool)
-            got = {n: np.where(found, v[at], np.nan) if len(ids) else np.full(len(found), np.nan) for n, v in values.items()}
-            rows.append((chunk, _pack(at=own["at"], number=own["number"], count=own["count"], **got)))
+            at = np.searchsorted(ids, own["number"])
+            at[ids[at] != own["number"]] = len(ids) - 1
+            rows.append((chunk, _pack(at=own["at"], number=own["number"], count=own["count"], **{n: v[at] for n, v in values.items()})))
         return pa.Table.from_batches([_rows(rows, "chunk long, data binary")])
 
     asked = numbers.filter("chunk is not null").select("bucket", "chunk", "data")
-    return asked.groupBy("bucket").cogroup(state.filter(F.col("id") > EDGE).groupBy("bucket")).applyInArrow(answer, "chunk long, data binary")
+    state = state.filter(F.col("id") > EDGE).withColumn("bucket", ((F.col("id") - 2) % buckets).cast("int"))
+    return asked.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInArrow(answer, "chunk long, data binary")
 
 
 def score(docs: DataFrame, learn: Column, burn_in: int = 1, samples: int = 2, chunk: int = CHUNK) -> DataFrame:
@@ -401,15 +452,22 @@ def score(docs: DataFrame, learn: Column, burn_in: int = 1, samples: int = 2, ch
     distinct = int(numbers.agg(F.sum("distinct")).first()[0] or 0) + (train_docs > 0)
     pairs = _pair_counts(chunks, numbers, buckets)
 
-    # customers of a context: its pairs, each as often as it stands
-    once = pairs.filter("kind = 'context'").select("u", "n").union(pairs.filter("kind = 'pair'").select("u", "n"))
-    contexts = materialize(once.groupBy("u").agg(F.sum("n").alias("n")), "pitman-yor-restaurants")
-    sampler = Sampler(pairs, contexts, distinct, burn_in)
-    for number in range(1, burn_in + samples + 1):
-        sampler.sweep(number)
-    edge = [k.filter(F.col("id") == EDGE).first() for k in sampler.kept]  # one row each
-    edge = {name: value for row in edge if row for name, value in row.asDict().items()}
-    mass, states = sampler.mass, _states(numbers, sampler, buckets)
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own in map(_unpack, batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(own["number"].astype(np.int64)), pa.array(own["count"].astype(np.int64))], schema=arrow_type("id long, n long"))
+
+    # a word's restaurant has as many customers as the word has places in training rows
+    words = numbers.filter("chunk is null").select("data").mapInArrow(listed, "id long, n long")
+    edges = docs.sparkSession.createDataFrame(pa.table({"id": pa.array([EDGE], pa.int64()), "n": pa.array([train_docs], pa.int64())}))
+    sampler = Sampler(pairs, words.union(edges), distinct)
+    for _ in range(burn_in + samples):
+        sampler.sweep()
+    history = sampler.states[burn_in:]
+    names = [f"{kind}{i}" for i in range(burn_in, burn_in + samples + 1) for kind in "tns"]
+    state = sampler.contexts.join(sampler.dishes, "id", "full").select("id", *(F.coalesce(n, F.lit(0)).alias(n) for n in names))
+    edge = state.filter(F.col("id") == EDGE).first()
+    edge, states = edge.asDict() if edge else {}, _states(numbers, state, names, buckets)
 
     asked = states.select("chunk", F.lit("state").alias("kind"), F.lit(None).cast("int").alias("bucket"), "data")
     asked = asked.union(pairs.filter("kind = 'answer'").select("chunk", "kind", "bucket", "data"))
@@ -422,7 +480,7 @@ def score(docs: DataFrame, learn: Column, burn_in: int = 1, samples: int = 2, ch
                 held = _unpack(data)
                 size = len(held["words"]) + 1  # the last place is the edge's
                 number, count = np.zeros(size, np.int64), np.zeros(size, np.int64)
-                state = {f"{kind}{i}": np.full(size, np.nan) for i in range(len(mass)) for kind in "tp"}
+                state = {name: np.zeros(size, np.int64) for name in names}
                 counted = {}
                 for a in got if got.is_valid else ():
                     own = _unpack(a["data"])
@@ -434,7 +492,7 @@ def score(docs: DataFrame, learn: Column, burn_in: int = 1, samples: int = 2, ch
                         values[own["at"]] = own[name]
                 number[-1], count[-1] = EDGE, train_docs
                 for name, values in state.items():
-                    values[-1] = edge.get(name, np.nan)
+                    values[-1] = edge.get(name, 0)
 
                 # places of the chunk's words stand for them; the edge has the last place
                 context, dish, text = _pairs(held, np.arange(size - 1))
@@ -444,25 +502,24 @@ def score(docs: DataFrame, learn: Column, burn_in: int = 1, samples: int = 2, ch
                 known = (number[context] > 0) & (number[dish] > 0)
                 pair = number[context] << 32 | number[dish]
                 unique, first, index = np.unique(np.where(known, pair, 0), return_index=True, return_inverse=True)
-                n = np.zeros(len(unique), np.int64)
-                bucket = (_mix(unique) % np.uint64(buckets)).astype(np.int64)
-                for b, values in counted.items():
-                    n[(bucket == b) & (unique > 0)] = values
+                n, real = np.zeros(len(unique), np.int64), np.flatnonzero(unique > 0)
+                for bucket, at in _split((_mix(unique[real]) % np.uint64(buckets)).astype(np.int64)):
+                    n[real[at]] = counted[bucket]
                 n_pair = np.where(known, n[index], 0)
 
                 probability, many = np.zeros(len(dish)), n > 0
                 u, w, customers = context[first[many]], dish[first[many]], np.where(number[context] > 0, count[context], 0)
-                opened = [np.nan_to_num(state[f"t{i}"], nan=0.0) for i in range(len(mass))]
-                parent = [np.nan_to_num(state[f"p{i}"], nan=mass[i][2]) for i in range(len(mass))]
+                opened = [state[f"t{burn_in + i}"] for i in range(samples + 1)]
+                parent = [_parent(state[f"n{burn_in + i}"], state[f"s{burn_in + i}"], history[i]) for i in range(samples + 1)]
                 for i in range(samples):
                     # the sweep's own draw again, from the state before it, so that all dishes' tables sum to the context's
-                    strength, discount, _ = mass[i]
+                    strength, discount = history[i]["strength"], history[i]["discount"]
                     seated = np.zeros(len(unique))
                     seated[many] = tables(n[many], (strength + discount * opened[i][u]) * parent[i][w], discount, _mix(unique[many]) + np.uint64(burn_in + i + 1))
-                    strength, discount, _ = mass[i + 1]
+                    strength, discount = history[i + 1]["strength"], history[i + 1]["discount"]
                     new = opened[i + 1][context]
                     backed = np.where(new > 0, (strength + discount * new) / (strength + customers), 1.0)
-                    own = np.where(n_pair > 0, (n_pair - discount * np.where(n_pair > 0, seated[index], 0)) / (strength + customers), 0.0)
+                    own = np.where(n_pair > 0, (n_pair - discount * seated[index]) / (strength + customers), 0.0)
                     probability += (own + backed * parent[i + 1][dish]) / samples
                 rows = len(held["lengths"])
                 base = np.log10((count[dish] + 0.5) / (train_tokens + 0.5 * (distinct + 1)))
@@ -470,7 +527,7 @@ def score(docs: DataFrame, learn: Column, burn_in: int = 1, samples: int = 2, ch
                 columns = [
                     pa.array(held["doc_id"], pa.int64(), mask=held["nameless"] > 0),
                     pa.array(held["training"] > 0),
-                    pa.array(held["lengths"] + 1),
+                    pa.array(held["lengths"] + 1, pa.int64()),
                     pa.array(np.bincount(text, weights=count[dish] > 0, minlength=rows).astype(np.int64)),
                     pa.array(np.full(rows, train_tokens, np.int64)),
                     pa.array(np.bincount(text, weights=base, minlength=rows)),
