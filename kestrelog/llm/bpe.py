@@ -25,8 +25,25 @@ from pyspark.sql import DataFrame
 
 from kestrelog.llm.common import WHITE_SPACE, Memo, arrow_type, kept
 
-#: Chunks, and pre-tokens, whose ids a worker keeps at hand (about 150 MB each).
+#: Chunks, and pre-tokens, whose ids a worker keeps at hand (about 150 MB each): none of over 64 characters.
 CACHE = 700_000
+#: Letters and numbers of Unicode versions after 16, as hexadecimal ranges (fixed values): the encoding's library
+#: has version 16, the pattern library a later one.
+LATER = """
+    558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB
+    11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191
+    191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4
+    1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F
+"""
+
+
+def _classes(pattern: str) -> str:
+    """``pattern`` with white space, letters and numbers as sets of their own, in the pattern library's V1 syntax."""
+    later = "".join("-".join(f"\\U{int(end, 16):08X}" for end in part.split("-")) for part in LATER.split())
+    letter, number = rf"[[A-Za-z][\p{{L}}--[{later}]]]", rf"[[0-9][\p{{N}}--[{later}]]]"
+    # the pattern's own white space class is the Unicode property, whatever a library takes \s for
+    own = pattern.replace(r"[^\s", f"[^{WHITE_SPACE}").replace(r"\S", f"[^{WHITE_SPACE}]").replace(r"\s", f"[{WHITE_SPACE}]")
+    return own.replace(r"\p{L}", letter).replace(r"\p{N}", number)
 
 
 class RankQueue:
@@ -76,9 +93,7 @@ class BytePairCodec:
         self.bits = [1 << i for i in range(max(256, len(self.queue.low)))]
         self.two = [[self.ranks.get(bytes((a, b)), -1) for b in range(256)] for a in range(256)]
         white = f"[{WHITE_SPACE}]"
-        # the pattern's own white space class is the Unicode property, whatever a library takes \s for
-        own = pattern.replace(r"[^\s", f"[^{WHITE_SPACE}").replace(r"\S", f"[^{WHITE_SPACE}]").replace(r"\s", white)
-        self.split = regex.compile(own).findall
+        self.split = regex.compile(_classes(pattern), regex.V1).findall
         self.uneven = re.compile(f" (?:{white}|\\Z)").search
         self.cut = re.compile(f" (?=[^{WHITE_SPACE}])").split
         self.tokens = Memo(lambda token: self.merge(token.encode()), cache)

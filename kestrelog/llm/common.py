@@ -81,17 +81,22 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 class Memo(dict):
-    """Computed values by key; emptied when it holds ``limit`` keys, so memory stays bounded."""
+    """Computed values by key, at most ``limit`` of them and none for keys longer than ``longest``, so bytes
+    are bounded as well. A full half becomes the old one, whose values come back when they are asked for."""
 
-    def __init__(self, compute, limit: int):
+    def __init__(self, compute, limit: int, longest: int = 64):
         super().__init__()
-        self._compute, self._limit = compute, limit
+        self._compute, self._half, self._longest, self._old = compute, max(limit // 2, 1), longest, {}
 
     def __missing__(self, key):
-        value = self._compute(key)
-        if len(self) >= self._limit:
-            self.clear()
-        self[key] = value
+        value = self._old.get(key)
+        if value is None:
+            value = self._compute(key)
+        if len(key) <= self._longest:
+            if len(self) >= self._half:
+                self._old = dict(self)
+                self.clear()
+            self[key] = value
         return value
 
 

@@ -57,6 +57,25 @@ def tiktoken_encoding():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def test_bpe_takes_every_character_as_tiktoken_does():
+    """Every code point before, after and between letters, digits, signs and a suffix."""
+    library, codec = tiktoken_encoding(), bpe.BytePairCodec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 512):
+        text = "\n".join(f"{c}'s{c} a{c}1{c}!{c} {c}" for c in points[at : at + 512])
+        assert codec.encode(text) == library.encode_ordinary(text), hex(ord(points[at]))
+
+
+def test_memo_is_bounded_and_keeps_what_is_asked_for():
+    from kestrelog.llm.common import Memo
+
+    made = []
+    memo = Memo(lambda k: made.append(k) or len(k), 4, longest=3)
+    for key in ["a", "b", "a", "cc", "a", "dd", "a", "ee", "a", "long one", "long one"]:
+        assert memo[key] == len(key) and len(memo) + len(memo._old) <= 4
+    assert made.count("a") == 1 and made.count("long one") == 2 and "long one" not in memo
+
+
 def test_bpe_equals_tiktoken(spark, rows, odd):
     enc = tiktoken_encoding()
     for got in [queries.op1_bpe(spark, SF).collect(), bpe.bpe_round_trip(odd, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).collect()]:
@@ -625,6 +644,41 @@ def test_licenses(spark, rows, odd, empty):
     assert licenses.scan(odd).count() == len(ODD) + 2 and licenses.scan(empty).count() == 0
 
 
+def chain(words, phrase):
+    """Longest chain of hits by brute force: positions rise, the diagonal moves by two words at most."""
+    pairs = list(zip(phrase, phrase[1:]))
+    hits = [(p, a) for p in range(len(words) - 1) for a, pair in enumerate(pairs) if (words[p], words[p + 1]) == pair]
+    best = {}
+    for p, a in hits:
+        best[p, a] = 1 + max((n for (q, b), n in best.items() if q < p and b < a and abs(p - a - q + b) <= licenses.SLACK), default=0)
+    return max(best.values(), default=0) / len(pairs)
+
+
+def test_license_spans_equal_brute_force(spark):
+    """Texts of the phrases' own words: repeats, swaps, words put in and left out."""
+    import random
+
+    r, near = random.Random(9), [(label, phrase.split()) for label, phrase, base in licenses.PHRASES if not base]
+    texts = ["under the under the under the under the", "the mit the mit the mit the mit", "apache license " * 7, "released under the license mit the under released"]
+    for _ in range(150):
+        _, phrase = r.choice(near)
+        words = list(phrase)
+        for _ in range(r.randrange(4)):
+            k = r.randrange(len(words))
+            words[k : k + r.randrange(3)] = r.choice([[], ["very"], [r.choice(phrase)] * r.randrange(1, 4), words[k : k + 2] * 2])
+        texts.append(" ".join(r.choices(phrase, k=r.randrange(20)) + words + r.choices(phrase, k=r.randrange(20))))
+    got = {x.doc_id: x for x in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = 0
+    for i, text in enumerate(texts):
+        shares = [(label, chain(text.split(), phrase)) for label, phrase in near]
+        labels = {label for label, share in shares if share >= licenses.SHARE}
+        assert labels == set(filter(None, got[i].labels.split(","))) - set(got[i].base_labels.split(",")), text
+        if not got[i].n_base:
+            assert got[i].score == round(max([share for _, share in shares if share >= licenses.SHARE], default=0.0), 6)
+        found += bool(labels)
+    assert not any(got[i].labels for i in range(4)) and 30 < found < 150
+
+
 # 10 token ids
 
 
