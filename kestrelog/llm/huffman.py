@@ -22,6 +22,7 @@ written as often as they stand; a null doc_id comes first. Extra columns are ign
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import string
@@ -165,6 +166,10 @@ def _composed(text: str) -> bool:
     return text.isascii() or unicodedata.is_normalized("NFC", text)
 
 
+#: Bytes of a run up to which its ids are kept at hand.
+LONGEST = 64
+
+
 class Tokens:
     """Ids of whole texts by the tokenizers library, as little-endian bytes of ``kind``. The tokenizer
     drops white space and never looks across it, so runs without ASCII white space are encoded once and
@@ -242,6 +247,8 @@ class Tokens:
             for part, ids, at in zip(runs, found, gaps):
                 for i in at:
                     ids[i] = known[part[i]]
+            for run in [run for run in itertools.chain(missing, *cut.values()) if len(run) > LONGEST]:
+                known.pop(run, None)  # bytes are bounded as well as entries
         return [whole[i] if i in whole else b"".join(ids) for i, ids in enumerate(found)]
 
 

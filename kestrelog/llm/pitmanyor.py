@@ -32,13 +32,14 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kestrelog.llm.common import arrow_type, materialize, release, remove
 
 #: Tokens of a chunk, and tokens of the table to a bucket.
-CHUNK, BUCKET = 1_000_000, 2_000_000
+CHUNK, BUCKET = 500_000, 2_000_000
 #: Number of what stands before and after a text; unknown words have number 0.
 EDGE = 1
 #: Customers of one dish up to which the number of tables is drawn exactly.
@@ -46,29 +47,39 @@ EXACT = 64
 
 
 def _pack(**arrays) -> bytes:
-    """Arrays of whole numbers and binaries as one compressed block; numbers by byte planes, which pack better."""
-    names, lists = [], []
+    """Arrays of whole numbers and of binaries as one compressed block, after a line that says what it holds.
+    Numbers are kept by byte planes, which pack better."""
+    head, body = [], []
     for name, a in arrays.items():
-        if not isinstance(a, pa.Array):
-            small = len(a) == 0 or (a.min() >= -(1 << 31) and a.max() < 1 << 31)
-            a = np.ascontiguousarray(a, np.int32 if small else np.int64)
-            name, a = f"{name} {a.dtype.str}", pa.array(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).ravel())
-        names.append(name)
-        lists.append(pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a))
-    batch, out = pa.RecordBatch.from_arrays(lists, names=names), pa.BufferOutputStream()
-    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-        writer.write_batch(batch)
-    return out.getvalue().to_pybytes()
+        if isinstance(a, pa.Array):
+            head.append(f"{name} bytes {len(a)}")
+            sizes = pc.binary_length(a).to_numpy(zero_copy_only=False).astype(np.int32)
+            body += [sizes.tobytes(), b"".join(a.to_pylist())]
+            continue
+        small = len(a) == 0 or (a.min() >= -(1 << 31) and a.max() < 1 << 31)
+        a = np.ascontiguousarray(a, np.int32 if small else np.int64)
+        head.append(f"{name} {a.dtype.str} {len(a)}")
+        body.append(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes())
+    return zstandard.compress(";".join(head).encode() + b"\n" + b"".join(body), 1)
 
 
 def _unpack(data: pa.Scalar) -> dict:
-    batch, found = pa.ipc.open_stream(pa.py_buffer(data.as_buffer())).read_next_batch(), {}
-    for name in batch.schema.names:
-        values, (name, *kind) = batch.column(name).values, name.split(" ")
-        if kind:
-            kind = np.dtype(kind[0])
-            values = np.ascontiguousarray(values.to_numpy().reshape(kind.itemsize, -1).T).view(kind).ravel()
-        found[name] = values
+    block, found = zstandard.decompress(data.as_buffer()), {}
+    at = block.index(b"\n") + 1
+    for part in block[: at - 1].decode().split(";"):
+        name, kind, size = part.split(" ")
+        size = int(size)
+        if kind == "bytes":
+            offsets = np.r_[np.int32(0), np.cumsum(np.frombuffer(block, np.int32, size, at), dtype=np.int32)]
+            at += 4 * size
+            end = at + int(offsets[-1])
+            found[name] = pa.Array.from_buffers(pa.binary(), size, [None, pa.py_buffer(offsets), pa.py_buffer(block[at:end])])
+        else:
+            kind = np.dtype(kind)
+            end = at + size * kind.itemsize
+            planes = np.frombuffer(block, np.uint8, end - at, at).reshape(kind.itemsize, size)
+            found[name] = np.ascontiguousarray(planes.T).view(kind).ravel()
+        at = end
     return found
 
 
