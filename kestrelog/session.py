@@ -36,3 +36,11 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     path = f"{base.rstrip('/')}/kestrelog/{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files behind a table made by :func:`settled` that nothing reads any more."""
+    spark = df.sparkSession
+    conf, path = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
+        path(folder).getFileSystem(conf).delete(path(folder), True)
