@@ -429,9 +429,34 @@ def timeline(spark, sf_dir):
     return graph.timelines(*_graph(spark, sf_dir))
 
 
-@register()
+_CYCLIC = _GRAPH.replace("t.pos = s.pos + 2 AND s.k % 2 = 0", "t.pos = s.pos + 2 AND s.k % 2 = 0 OR t.pos = s.pos - 2 AND s.k % 5 = 0")
+
+
+@register(f"""WITH RECURSIVE {_CYCLIC}, m AS (SELECT DISTINCT a.user_id, a.a, a.b FROM r a JOIN r b ON a.user_id = b.user_id AND a.a = b.b AND a.b = b.a UNION SELECT user_id, event_id, event_id FROM v),
+c AS (SELECT m.user_id, m.a, min_by(m.b, v.pos) AS component FROM m JOIN v ON v.user_id = m.user_id AND v.event_id = m.b GROUP BY ALL),
+o AS (SELECT r.user_id, r.a, count(*) AS reach FROM r ANTI JOIN m ON m.user_id = r.user_id AND m.a = r.a AND m.b = r.b GROUP BY ALL)
+SELECT CAST(c.user_id AS VARCHAR) AS incident_id, CAST(c.a AS VARCHAR) AS event_id, CAST(component AS VARCHAR) AS component, coalesce(reach, 0) AS reach FROM c LEFT JOIN o USING (user_id, a)""")
+def cyclic_components(spark, sf_dir):
+    """Strongly connected components, and what they lead to, with edges back in time."""
+    v, e = _graph(spark, sf_dir)
+    line = Window.partitionBy("incident_id").orderBy("timestamp", "ord")
+    back = v.select("incident_id", F.col("event_id").alias("source_event"), F.lag("event_id", 2).over(line).alias("target_event"), F.lit(0.5).alias("composite_score"), "k").filter("k % 5 = 0").drop("k")
+    return graph.reach(v, e.union(back.filter("target_event is not null")))
+
+
+_CHAIN = f"""{EV}, v AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS pos, 0.5::DOUBLE + (k % 50) / 100.0::DOUBLE AS score FROM ev WHERE severity >= 30),
+d AS (SELECT user_id, pos, 0.0::DOUBLE AS c0, 0 AS h0, [CAST(event_id AS VARCHAR)] AS p0, 'Infinity'::DOUBLE AS c1, 0 AS h1, []::VARCHAR[] AS p1 FROM v WHERE pos = 1
+      UNION ALL SELECT user_id, pos, CASE WHEN far THEN c1 ELSE near END, CASE WHEN far THEN h1 ELSE h0 + 1 END, list_append(CASE WHEN far THEN p1 ELSE p0 END, name), leap, h0 + 1, p0 FROM (
+        SELECT *, c1 < near OR c1 = near AND h1 <= h0 + 1 AS far FROM (
+          SELECT d.user_id, b.pos, d.c0, d.h0, d.p0, d.c1, d.h1, d.p1, CAST(b.event_id AS VARCHAR) AS name,
+                 CASE WHEN a.k % 3 <> 0 THEN d.c0 - ln(a.score) ELSE 'Infinity'::DOUBLE END AS near, CASE WHEN a.k % 2 = 0 THEN d.c0 - ln(a.score) ELSE 'Infinity'::DOUBLE END AS leap
+          FROM d JOIN v a ON a.user_id = d.user_id AND a.pos = d.pos JOIN v b ON b.user_id = d.user_id AND b.pos = d.pos + 1))),
+n AS (SELECT user_id, max(pos) AS pos, CAST(min_by(event_id, pos) AS VARCHAR) AS source, CAST(max_by(event_id, pos) AS VARCHAR) AS sink FROM v GROUP BY user_id)"""
+
+
+@register(f"WITH RECURSIVE {_CHAIN} SELECT CAST(user_id AS VARCHAR) AS incident_id, source, sink, CASE WHEN isinf(c0) THEN '' ELSE array_to_string(p0, ',') END AS path, CASE WHEN isinf(c0) THEN 0 ELSE round(exp(-c0), 9) END AS strength FROM d JOIN n USING (user_id, pos)")
 def strongest_chain(spark, sf_dir):
-    """From the first to the last event of each incident; tested by brute force."""
+    """From the first to the last event of each incident."""
     v, e = _graph(spark, sf_dir)
     ends = v.groupBy("incident_id").agg(F.min_by("event_id", F.struct("timestamp", "ord")).alias("source"), F.max_by("event_id", F.struct("timestamp", "ord")).alias("sink"))
     out = graph.strongest_chains(v, e, ends)
