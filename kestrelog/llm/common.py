@@ -109,13 +109,19 @@ def kept(kind: str, key, make):
     if (kind, key) not in _kept:
         if _kept:
             _kept.clear()
-            gc.collect()
-            with contextlib.suppress(OSError, AttributeError):  # give the memory back, where the C library can
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
         _kept[kind, key] = make()
     return _kept[kind, key]
 
 
+def give_back() -> None:
+    """Return a worker process's free memory to the system: it stays alive for later tasks of other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that have run: they go when their plan is collected."""
     gc.collect()

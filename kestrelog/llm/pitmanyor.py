@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kestrelog.llm.common import arrow_type, materialize, release, remove
+from kestrelog.llm.common import arrow_type, give_back, materialize, release, remove
 
 #: Tokens of a chunk, and tokens of the table to a bucket.
 CHUNK, BUCKET = 500_000, 2_000_000
@@ -139,6 +139,8 @@ def _chunks(docs: DataFrame, learn: Column, size: int) -> DataFrame:
                     number, ids, learned, texts, words, held = number + 1, [], [], [], _Numbers(), 0
         if ids:
             yield chunk(number, ids, learned, texts, words)
+        ids = texts = words = None
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(learn, F.lit(True)).alias("training"), "text")
     return materialize(rows.mapInArrow(run, ddl), "pitman-yor-chunks")
@@ -159,6 +161,7 @@ def _word_numbers(chunks: DataFrame, buckets: int) -> DataFrame:
                 place = np.fromiter(map(crc32, held["words"].to_pylist()), np.int64, len(held["words"])) % buckets
                 for bucket, at in _split(place):
                     yield _rows([(bucket, number, _pack(at=at, words=held["words"].take(pa.array(at)), counts=held["counts"][at]))], asked)
+        give_back()
 
     def answer(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
@@ -178,6 +181,8 @@ def _word_numbers(chunks: DataFrame, buckets: int) -> DataFrame:
             own = index[begin : begin + len(h["at"])]
             begin += len(h["at"])
             rows.append((bucket, chunk, None, _pack(at=h["at"], number=number[own], count=total[own])))
+        held = words = index = counts = None
+        give_back()
         return pa.Table.from_batches([_rows(rows, answered)])
 
     requests = chunks.select("chunk", "data").mapInArrow(ask, asked)
@@ -229,6 +234,7 @@ def _pair_counts(chunks: DataFrame, numbers: DataFrame, buckets: int) -> DataFra
                 for bucket, at in _split((_mix(pair) % np.uint64(buckets)).astype(np.int64)):
                     own = pair[at]
                     yield _rows([(bucket, chunk, _pack(u=np.diff(own >> 32, prepend=0), w=own & 0xFFFFFFFF, n=n[at]))], asked)
+        give_back()
 
     def answer(table: pa.Table) -> pa.Table:
         held = [_unpack(data) for data in table.column("data")]
@@ -246,6 +252,8 @@ def _pair_counts(chunks: DataFrame, numbers: DataFrame, buckets: int) -> DataFra
         size, none = int(twice.sum()), lambda t: pa.nulls(int(twice.sum()), t)
         columns = [pa.array(["pair"] * size, pa.string()), pa.array(pair[twice] >> 32), pa.array(pair[twice] & 0xFFFFFFFF), pa.array(n[twice]), none(pa.int32()), none(pa.int64()), none(pa.binary())]
         parts.append(pa.RecordBatch.from_arrays(columns, schema=arrow_type(answered)))
+        held = pair = index = n = None
+        give_back()
         return pa.Table.from_batches(parts)
 
     answers = numbers.filter("chunk is not null").groupBy("chunk").agg(F.collect_list("data").alias("answers"))
@@ -545,5 +553,6 @@ def score(docs: DataFrame, learn: Column, burn_in: int = 1, samples: int = 2, ch
                     pa.array(np.bincount(text, weights=model, minlength=rows)),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow_type(ddl))
+        give_back()
 
     return chunks.select("chunk", "data").join(answers, "chunk", "left").select("data", "answers").mapInArrow(finish, ddl)
