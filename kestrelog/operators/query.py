@@ -22,7 +22,10 @@ def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) ->
 
 
 def window(events: DataFrame, start: datetime, end: datetime, service: str | None = None, min_severity: int = 10, limit: int | None = None) -> DataFrame:
-    """Events of a closed time range in time order; filters reach the scan."""
+    """Events of a closed time range in time order; filters reach the scan, and where the events have a date the
+    range's dates choose the partitions that are read."""
+    if "event_date" in events.columns:
+        events = events.filter(F.col("event_date").between(*(F.to_date(F.lit(t).cast("timestamp")) for t in (start, end))))
     out = events.filter(F.col("timestamp").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")) & (F.col("severity") >= min_severity))
     if service is not None:
         out = out.filter(F.col("service") == service)

@@ -1,8 +1,14 @@
-"""Appending parquet tables. Updates are rows too: the newest row of a key is its state."""
+"""Appending parquet tables. Updates are rows too: the newest row of a key is its state.
+
+What belongs together in several tables carries the name of one commit, and the row that makes it valid is
+written last. Readers take rows of commits that have that row: what a writer left behind when it died is never
+seen, and its second run begins a commit of its own.
+"""
 
 from __future__ import annotations
 
 import json
+import uuid
 import zlib
 from datetime import UTC, datetime
 
@@ -35,21 +41,33 @@ def _write(events: DataFrame, root: str, batch: str, mode: str) -> None:
     out.partitionBy("event_date", "batch").parquet(f"{root}/log_events")
 
 
+def _unwritten(events: DataFrame, root: str, batch: str) -> DataFrame:
+    """Events, one an id, that no other batch of the table has. Only the dates at hand are read again."""
+    spark, path, rows = events.sparkSession, f"{root}/log_events", events.dropDuplicates(["event_id"])
+    if not exists(spark, path):
+        return rows
+    old = spark.read.parquet(path).filter(F.col("batch") != batch).select("event_date", "event_id")
+    return rows.withColumn("event_date", F.to_date("timestamp")).join(old, ["event_date", "event_id"], "left_anti").select(*events.columns)
+
+
 def write_events(events: DataFrame, root: str) -> None:
-    """Events by date, and their templates where they are new. Events that the table has are left out: a
-    second run with the same rows adds nothing. Only the dates at hand are read again."""
-    spark, path = events.sparkSession, f"{root}/log_events"
+    """Events by date, and their templates where they are new. Events that the table has, whoever wrote them,
+    are left out: a second run with the same rows adds nothing."""
     append_missing(signatures(events).select("fingerprint", "template", "first_seen"), f"{root}/event_signatures", ["fingerprint"])
-    rows = events.dropDuplicates(["event_id"])
-    if exists(spark, path):
-        old = spark.read.parquet(path).select("event_date", "event_id")
-        rows = rows.withColumn("event_date", F.to_date("timestamp")).join(old, ["event_date", "event_id"], "left_anti").select(*events.columns)
-    _write(rows, root, "batch", "append")
+    _write(_unwritten(events, root, ""), root, "batch", "append")
 
 
-def read_events(spark: SparkSession, root: str) -> DataFrame:
+def read_events(spark: SparkSession, root: str, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
+    """Events with their templates and their date; with ``start`` and ``end`` those of a closed range, of whose
+    dates alone files are read."""
     rows = spark.read.option("basePath", f"{root}/log_events").parquet(f"{root}/log_events").drop("batch")
-    return rows.join(spark.read.parquet(f"{root}/event_signatures").select("fingerprint", "template"), "fingerprint")
+    for at, after in ((start, True), (end, False)):
+        if at is not None:
+            at = F.lit(at).cast("timestamp")
+            rows = rows.filter((F.col("event_date") >= F.to_date(at)) & (F.col("timestamp") >= at) if after else (F.col("event_date") <= F.to_date(at)) & (F.col("timestamp") <= at))
+    # two writers may have added one template at a time
+    known = spark.read.parquet(f"{root}/event_signatures").groupBy("fingerprint").agg(F.min_by("template", F.struct("first_seen", "template")).alias("template"))
+    return rows.join(known, "fingerprint")
 
 
 def register_sources(sources: DataFrame, root: str) -> None:
@@ -60,7 +78,7 @@ def append(df: DataFrame, root: str, table: str) -> None:
     df.write.mode("append").parquet(f"{root}/{table}")
 
 
-INCIDENT = "incident_id string, status string, seq long, window_start timestamp, window_end timestamp, summary string, created_at timestamp"
+INCIDENT = "incident_id string, status string, seq long, window_start timestamp, window_end timestamp, summary string, created_at timestamp, commit string"
 
 
 def sources(spark: SparkSession, root: str) -> DataFrame:
@@ -68,7 +86,7 @@ def sources(spark: SparkSession, root: str) -> DataFrame:
 
 
 def create_incident(spark: SparkSession, root: str, incident_id: str, start: datetime, end: datetime, summary: str | None = None, status: str = "detected") -> None:
-    _state(spark, root, (incident_id, status, 0, start, end, summary, datetime.now(UTC)))
+    _state(spark, root, (incident_id, status, 0, start, end, summary, datetime.now(UTC), None))
 
 
 def _state(spark: SparkSession, root: str, row: tuple) -> None:
@@ -88,21 +106,32 @@ def incident(spark: SparkSession, root: str, incident_id: str):
 def set_status(spark: SparkSession, root: str, incident_id: str, status: str, summary: str | None = None) -> None:
     """A new state of a known incident; one writer an incident."""
     old = incident(spark, root, incident_id)
-    _state(spark, root, (incident_id, status, old.seq + 1, old.window_start, old.window_end, summary if summary is not None else old.summary, old.created_at))
+    _state(spark, root, (incident_id, status, old.seq + 1, old.window_start, old.window_end, summary if summary is not None else old.summary, old.created_at, old.commit))
 
 
 def attach_analysis(root: str, incident_id: str, clusters: DataFrame, edges: DataFrame, start: datetime, end: datetime, summary: str | None = None) -> None:
-    """An analysis of a known incident: its clusters and edges, then the incident's window and summary."""
+    """An analysis of a known incident: its clusters and edges, then, as their commit, the incident's window and
+    summary."""
     spark = clusters.sparkSession
-    old = incident(spark, root, incident_id)
-    seq = old.seq + 1
+    old, commit = incident(spark, root, incident_id), uuid.uuid4().hex
     for name, rows in (("anomaly_clusters", clusters), ("causal_edges", edges)):
-        append(rows.drop("incident_id").withColumn("incident_id", F.lit(incident_id)).withColumn("seq", F.lit(seq).cast("long")), root, name)
-    _state(spark, root, (incident_id, old.status, seq, start, end, summary if summary is not None else old.summary, old.created_at))
+        append(rows.drop("incident_id").withColumn("incident_id", F.lit(incident_id)).withColumn("commit", F.lit(commit)), root, name)
+    _state(spark, root, (incident_id, old.status, old.seq + 1, start, end, summary if summary is not None else old.summary, old.created_at, commit))
+
+
+def _of_incident(spark: SparkSession, root: str, name: str, incident_id: str) -> DataFrame:
+    rows = spark.read.parquet(f"{root}/{name}")
+    return rows.filter((F.col("incident_id") == incident_id) & (F.col("commit") == F.lit(incident(spark, root, incident_id).commit))).drop("commit")
 
 
 def edges_of(spark: SparkSession, root: str, incident_id: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/causal_edges").filter(F.col("incident_id") == incident_id)
+    """The edges of an incident's newest analysis."""
+    return _of_incident(spark, root, "causal_edges", incident_id)
+
+
+def clusters_of(spark: SparkSession, root: str, incident_id: str) -> DataFrame:
+    """The clusters of an incident's newest analysis."""
+    return _of_incident(spark, root, "anomaly_clusters", incident_id)
 
 
 def incidents(spark: SparkSession, root: str) -> DataFrame:
@@ -115,16 +144,24 @@ def recent_incidents(spark: SparkSession, root: str, limit: int = 50) -> DataFra
 
 
 def persist_investigation(spark: SparkSession, root: str, investigation_id: str, incident_id: str, result: dict, audit: DataFrame) -> None:
-    """An investigation's findings, tool calls and patch, and last the investigation itself: a reader that
-    starts from it never sees one without its parts."""
+    """An investigation's findings, tool calls and patch, and last, as their commit, the investigation itself."""
     incident(spark, root, incident_id)
-    findings = [(investigation_id, i, x["agent"], json.dumps(x["finding"])) for i, x in enumerate(result["findings"])]
-    append(spark.createDataFrame(findings, "investigation_id string, position int, agent string, finding string"), root, "agent_findings")
-    append(audit.withColumn("investigation_id", F.lit(investigation_id)), root, "tool_executions")
+    commit = uuid.uuid4().hex
+    findings = [(investigation_id, i, x["agent"], json.dumps(x["finding"]), commit) for i, x in enumerate(result["findings"])]
+    append(spark.createDataFrame(findings, "investigation_id string, position int, agent string, finding string, commit string"), root, "agent_findings")
+    append(audit.withColumn("investigation_id", F.lit(investigation_id)).withColumn("commit", F.lit(commit)), root, "tool_executions")
     if result.get("patch") is not None:
-        append(spark.createDataFrame([(investigation_id, json.dumps(result["patch"]))], "investigation_id string, patch string"), root, "patch_proposals")
-    row = (investigation_id, incident_id, result["status"], json.dumps(result["verdict"]), datetime.now(UTC))
-    append(spark.createDataFrame([row], "investigation_id string, incident_id string, status string, verdict string, created_at timestamp"), root, "investigations")
+        append(spark.createDataFrame([(investigation_id, json.dumps(result["patch"]), commit)], "investigation_id string, patch string, commit string"), root, "patch_proposals")
+    row = (investigation_id, incident_id, result["status"], json.dumps(result["verdict"]), datetime.now(UTC), commit)
+    append(spark.createDataFrame([row], "investigation_id string, incident_id string, status string, verdict string, created_at timestamp, commit string"), root, "investigations")
+
+
+def parts_of(spark: SparkSession, root: str, investigation_id: str, name: str = "agent_findings") -> DataFrame:
+    """What a committed investigation has in ``agent_findings``, ``tool_executions`` or ``patch_proposals``; the
+    newest commit's, if it was stored twice."""
+    rows = spark.read.parquet(f"{root}/{name}").filter(F.col("investigation_id") == investigation_id)
+    done = latest(spark.read.parquet(f"{root}/investigations").filter(F.col("investigation_id") == investigation_id), ["investigation_id"], F.desc("created_at"), F.desc("commit"))
+    return rows.join(done.select("commit"), "commit", "left_semi").drop("commit")
 
 
 def latest_investigation(spark: SparkSession, root: str, incident_id: str) -> DataFrame:
@@ -143,12 +180,14 @@ def remember_once(memory: DataFrame, root: str) -> DataFrame:
 
 
 def stream_events(parsed: DataFrame, root: str, checkpoint: str, **trigger):
-    """Write a stream of events into the table that :func:`write_events` writes. A batch that runs again
-    overwrites what it wrote the first time; streams are told apart by their checkpoints."""
+    """Write a stream of events into the table that :func:`write_events` writes, each once, whoever has written
+    it. A batch that runs again overwrites what it wrote the first time; streams are told apart by their
+    checkpoints."""
     own = f"{zlib.crc32(checkpoint.encode()):08x}"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         append_missing(signatures(batch).select("fingerprint", "template", "first_seen"), f"{root}/event_signatures", ["fingerprint"])
-        _write(batch, root, f"{own}-{batch_id}", "overwrite")
+        name = f"{own}-{batch_id}"
+        _write(_unwritten(batch, root, name), root, name, "overwrite")
 
     return parsed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

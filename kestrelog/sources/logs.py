@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
+import json
+import os
 import random
 from collections.abc import Callable, Iterable, Iterator
 from datetime import UTC, datetime, timedelta
@@ -25,8 +28,13 @@ class LogSource(DataSource):
     name), log_format, received_at (ISO; else now), split (bytes a task), max_bytes (a stream's bytes a
     batch; without it a batch takes all there is). Names that begin with a dot or an underscore are no logs.
 
-    As a stream, files may grow and new ones may come; a line counts once its line feed is there. The first
-    batch after a restart isn't bounded, since the source learns only then where it stands.
+    As a stream, files may grow, be renamed, be copied and cut, and new ones may come; a line counts once its
+    line feed is there. A file is known by its inode, where the file system has one, and by a hash of its first
+    bytes. A renamed one goes on under its first name; one that shrinks or begins otherwise is a new generation of
+    its name, with places from ``generation << 44`` on, and what was left of the old one is read where it is now.
+    Lines that are gone before they were read are an error. ``progress`` names a folder in which the source keeps
+    where it stands, so that the first batch after a restart is bounded, too, and knows all files again; without
+    it a file that was rotated while the stream was down is an error.
     """
 
     @classmethod
@@ -44,9 +52,9 @@ class LogSource(DataSource):
 
 
 class _Lines(InputPartition):
-    def __init__(self, path: str, source_id: str, start: int, end: int):
+    def __init__(self, path: str, source_id: str, start: int, end: int, base: int = 0):
         super().__init__((path, start, end))
-        self.path, self.source_id, self.start, self.end = path, source_id, start, end
+        self.path, self.source_id, self.start, self.end, self.base = path, source_id, start, end, base
 
 
 class _Files(DataSourceReader):
@@ -78,8 +86,9 @@ class _Files(DataSourceReader):
         _, root = self.opened()
         return path.rpartition("/")[2] if path == root else path.removeprefix(root.rstrip("/")).lstrip("/")
 
-    def cut(self, path: str, start: int, end: int) -> list[_Lines]:
-        return [_Lines(path, self.named(path), at, min(at + self.split, end)) for at in range(start, end, self.split)]
+    def cut(self, path: str, start: int, end: int, name: str | None = None, base: int = 0) -> list[_Lines]:
+        name = self.named(path) if name is None else name
+        return [_Lines(path, name, at, min(at + self.split, end), base) for at in range(start, end, self.split)]
 
     def partitions(self) -> list[_Lines]:
         return [part for path, size in sorted(self.sizes().items()) for part in self.cut(path, 0, size)] or [_Lines("", "", 0, 0)]
@@ -90,7 +99,7 @@ class _Files(DataSourceReader):
         kinds = [pa.string(), pa.string(), pa.timestamp("us", "UTC"), pa.string(), pa.int64()]
 
         def batch(rows):
-            columns = [[part.source_id] * len(rows), [line for _, line in rows], [at] * len(rows), [self.log_format] * len(rows), [n for n, _ in rows]]
+            columns = [[part.source_id] * len(rows), [line for _, line in rows], [at] * len(rows), [self.log_format] * len(rows), [part.base + n for n, _ in rows]]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["source_id", "line", "received_at", "log_format", "ord"])
 
         rows: list[tuple[int, str]] = []
@@ -111,16 +120,53 @@ class _Files(DataSourceReader):
         yield batch(rows)
 
 
+#: First bytes of a file by whose hash it is known, and bits of a place below the generation.
+HEAD, PLACES = 1024, 44
+
+
 class _Tail(_Files, DataSourceStreamReader):
-    """Offsets: the bytes of each file that have been read, up to its last line feed."""
+    """Offsets: for each file at hand its name, generation, the bytes read up to a line feed, inode, and the
+    hash of its first bytes; and the last generation of each name."""
 
     def __init__(self, options):
         super().__init__(options)
-        self.most, self.done = int(options.get("max_bytes", 0)), None
+        self.most, self.progress, self.done = int(options.get("max_bytes", 0)), options.get("progress"), None
 
     def initialOffset(self) -> dict:
-        self.done = {}
-        return {}
+        self.done = {"files": {}, "names": {}}
+        return self.done
+
+    def _stored(self) -> tuple[fs.FileSystem, str]:
+        system, folder = fs.FileSystem.from_uri(self.progress) if "://" in self.progress or self.progress.startswith("file:") else (fs.LocalFileSystem(), self.progress)
+        return system, f"{folder.rstrip('/')}/offset.json"
+
+    def commit(self, end: dict) -> None:
+        if self.progress:
+            system, name = self._stored()
+            system.create_dir(name.rpartition("/")[0], recursive=True)
+            with system.open_output_stream(name + ".new") as out:
+                out.write(json.dumps(end).encode())
+            system.move(name + ".new", name)
+
+    def _restored(self) -> dict | None:
+        if not self.progress:
+            return None
+        system, name = self._stored()
+        if system.get_file_info(name).type != fs.FileType.File:
+            return None
+        with system.open_input_stream(name) as file:
+            return json.loads(file.read())
+
+    def _head(self, path: str, n: int) -> str:
+        system, _ = self.opened()
+        with system.open_input_file(path) as file:
+            return hashlib.sha256(file.read(n)).hexdigest()[:32] if n else ""
+
+    def _inode(self, path: str) -> int:
+        return os.stat(path).st_ino if isinstance(self.opened()[0], fs.LocalFileSystem) else 0
+
+    def _begins(self, path: str, size: int, e: dict) -> bool:
+        return size >= e["end"] and self._head(path, e["n"]) == e["head"]
 
     def _whole(self, path: str, size: int, least: int) -> int:
         """Where the last whole line ends."""
@@ -136,21 +182,56 @@ class _Tail(_Files, DataSourceStreamReader):
                 end = begin
         return least
 
+    def _found(self, sizes: dict[str, int], known: dict, names: dict) -> dict:
+        """The entry of each file at hand; those that have moved keep theirs, new ones start at 0."""
+        inodes = {path: self._inode(path) for path in sizes}
+        out = {p: e for p, e in known.items() if p in sizes and e["ino"] == inodes[p] and self._begins(p, sizes[p], e)}
+        for p, e in known.items():
+            if p in out:
+                continue
+            free = [q for q in sizes if q not in out and q != p and self._begins(q, sizes[q], e)]
+            same = [q for q in free if e["ino"] and inodes[q] == e["ino"]]
+            # a copy is known by its first bytes, if the file itself was cut; without inodes there is nothing else
+            copied = free if e["n"] and (not e["ino"] or inodes.get(p) == e["ino"]) else []
+            if same or copied:
+                out[(same or copied)[0]] = e
+            elif p not in sizes and e["end"] < e["size"]:
+                raise ValueError(f"{e['name']}: gone with {e['size'] - e['end']} bytes unread")
+        for p in sorted(sizes.keys() - out.keys()):
+            name = self.named(p)
+            names[name] = names.get(name, -1) + 1
+            out[p] = {"name": name, "gen": names[name], "end": 0, "n": 0, "head": ""}
+        return {p: e | {"ino": inodes[p], "size": sizes[p]} for p, e in out.items()}
+
     def latestOffset(self) -> dict:
-        done, room, out = self.done or {}, self.most, {}
-        for path, size in sorted(self.sizes().items()):
-            old = done.get(path, 0)
-            limit = min(size, old + room) if self.most and self.done is not None else size
+        done = self.done if self.done is not None else self._restored()
+        sizes, names = self.sizes(), dict((done or {}).get("names", {}))
+        found, room = self._found(sizes, (done or {}).get("files", {}), names), self.most
+        for path, e in sorted(found.items()):
+            size, old = sizes[path], e["end"]
+            limit = min(size, old + room) if self.most and done is not None else size
             end = self._whole(path, limit, old) if limit > old else old
-            if end == old < size and limit < size:
+            if end == old < size and limit < size and room == self.most:
                 end = self._whole(path, size, old)  # a line longer than the bound comes whole
-            out[path] = end
+            e["end"], e["n"] = end, min(end, HEAD)
+            e["head"] = self._head(path, e["n"])
             room = max(0, room - (end - old))
-        return done | out
+        return {"files": found, "names": names}
 
     def partitions(self, start: dict, end: dict) -> list[_Lines]:
         self.done = end
-        return [part for path, size in sorted(end.items()) for part in self.cut(path, start.get(path, 0), size)]
+        begun = {(e["name"], e["gen"]): e for e in start.get("files", {}).values()}
+        sizes, parts = None, []
+        for path, e in sorted(end["files"].items()):
+            old = begun.get((e["name"], e["gen"]), {"end": 0, "n": 0, "head": ""})
+            if old["end"] == e["end"] and old["head"] == e["head"]:
+                continue
+            sizes = self.sizes() if sizes is None else sizes
+            where = next((q for q in [path, *sizes] if q in sizes and self._begins(q, sizes[q], e)), None)
+            if where is None or self._head(where, old["n"]) != old["head"]:
+                raise ValueError(f"{e['name']}: bytes {old['end']} to {e['end']} are gone" if where is None else f"{e['name']}: another file than before the stream stopped; name a progress folder")
+            parts += self.cut(where, old["end"], e["end"], e["name"], e["gen"] << PLACES)
+        return parts
 
 
 def _load(reader, spark: SparkSession, path, source_id, log_format, received_at, **more) -> DataFrame:
@@ -172,9 +253,10 @@ def read_container(spark: SparkSession, path, container: str, received_at: datet
     return read_lines(spark, path, f"docker:{container}", "docker_json", received_at)
 
 
-def stream_lines(spark: SparkSession, path, source_id: str | None = None, log_format: str = "plain", received_at: datetime | None = None, max_bytes: int | None = None) -> DataFrame:
-    """New lines of files that grow or come, as a stream; ``max_bytes`` a batch bounds what is in flight."""
-    return _load(spark.readStream, spark, path, source_id, log_format, received_at, max_bytes=max_bytes)
+def stream_lines(spark: SparkSession, path, source_id: str | None = None, log_format: str = "plain", received_at: datetime | None = None, max_bytes: int | None = None, progress: str | None = None) -> DataFrame:
+    """New lines of files that grow, rotate or come, as a stream; ``max_bytes`` a batch bounds what is in flight,
+    after a restart too if the source may keep where it stands in the folder ``progress``."""
+    return _load(spark.readStream, spark, path, source_id, log_format, received_at, max_bytes=max_bytes, progress=progress)
 
 
 class IngestionError(RuntimeError):

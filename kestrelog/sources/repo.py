@@ -22,11 +22,38 @@ def inside(path: str) -> str:
     return str(p)
 
 
+def glob_pattern(glob: str) -> str:
+    """A pattern for relative paths: ``*`` and ``?`` stay in a folder, ``**`` is any number of folders, ``[...]`` a
+    set of characters. A glob without a slash is for names in any folder."""
+    parts, out = glob.replace("\\", "/").split("/"), []
+    if len(parts) == 1 and glob != "**":
+        parts = ["**", *parts]
+    for i, part in enumerate(parts):
+        if part == "**":
+            out.append("(?:[^/]+/)*" if i < len(parts) - 1 else ".*")
+            continue
+        at, text = 0, ""
+        while at < len(part):
+            close = part.find("]", at + 2)
+            if part[at] == "[" and close > 0:
+                inner = part[at + 1 : close]
+                text += "[" + ("^" if inner[0] == "!" else "") + re.sub(r"([\\\[&^])", r"\\\1", inner[inner[0] == "!" :]) + "]"
+                at = close
+            else:
+                text += {"*": "[^/]*", "?": "[^/]"}.get(part[at], re.escape(part[at]))
+            at += 1
+        out.append(text + ("/" if i < len(parts) - 1 else ""))
+    return "^" + "".join(out) + "$"
+
+
 def files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """(path, length, content) of the files whose names match, paths relative to ``root``."""
-    df = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(root)
+    """(path, length, content) of the files whose relative paths match, paths relative to ``root``. The last part
+    of the glob already keeps Spark from opening other files."""
+    name = glob.replace("\\", "/").rpartition("/")[2]
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    df = (reader.option("pathGlobFilter", name) if re.fullmatch(r"[\w.*?-]+", name) and name != "**" else reader).load(root)
     relative = F.regexp_replace("path", "^(file:)?/*" + re.escape(str(root).replace("file:", "").strip("/")) + "/", "")
-    return df.select(relative.alias("path"), "length", "content").filter(~F.col("path").rlike("(^|/)(" + "|".join(map(re.escape, SKIPPED)) + ")/"))
+    return df.select(relative.alias("path"), "length", "content").filter(F.col("path").rlike(glob_pattern(glob))).filter(~F.col("path").rlike("(^|/)(" + "|".join(map(re.escape, SKIPPED)) + ")/"))
 
 
 def list_files(spark: SparkSession, root: str, glob: str = "*", limit: int = 200) -> DataFrame:
@@ -53,6 +80,11 @@ def read_lines(spark: SparkSession, root: str, path: str, start: int = 1, end: i
 
 def search(spark: SparkSession, root: str, query: str, glob: str = "*", regex: bool = False, limit: int = 50) -> DataFrame:
     """Lines that hold a literal or a pattern, in any case, by path and line."""
+    if regex:
+        try:
+            spark._jvm.java.util.regex.Pattern.compile(query)
+        except Exception as error:
+            raise ValueError(f"not a pattern: {query!r}") from error
     pattern = "(?iu)" + (query if regex else r"\Q" + query.replace(r"\E", r"\E\\E\Q") + r"\E")
     found = lines(files(spark, root, glob)).filter(F.col("text").rlike(pattern))
     return found.select("path", "line", F.substring(F.trim("text"), 1, 200).alias("text")).orderBy("path", "line").limit(limit)

@@ -8,6 +8,7 @@ then begins anew, where batch would go on with the old one.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from datetime import datetime
 from types import SimpleNamespace
@@ -84,7 +85,9 @@ def new_signatures(events: DataFrame, learned_until: datetime, s: Settings = Set
     cut, span = pd.Timestamp(learned_until).timestamp(), s.seconds
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known, at, times, ids, template = state.get if state.exists else (False, 0.0, [], [], None)
+        known, at, times, counts, rep_times, rep_ords, ids, template = state.get if state.exists else (False, 0.0, [], [], [], [], [], None)
+        seen, reps = Counter(dict(zip(times, counts))), list(zip(rep_times, rep_ords, ids))
+        first = min(seen, default=None)
         if state.hasTimedOut and known:
             state.remove()
             yield pd.DataFrame([], columns=CLUSTER_COLUMNS)
@@ -97,23 +100,31 @@ def new_signatures(events: DataFrame, learned_until: datetime, s: Settings = Set
                     latest = max(latest, now)
                     if known:
                         continue
-                    if now <= cut or (r.severity < 30 and (not times or now < min(times))):
-                        known, times, ids = True, [], []
+                    if now <= cut or (r.severity < 30 and (first is None or now < first)):
+                        known, first, reps = True, None, []
+                        seen.clear()
                     elif r.severity >= 30:
-                        times, ids = [*times, now], [*ids, r.event_id][: s.reps]
+                        first = now if first is None else min(first, now)
+                        if now <= first + span:  # the window can only begin earlier: what is beyond it stays so
+                            seen[now] += 1
+                            reps.append((now, r.ord, r.event_id))
                         template = r.template
+            if first is not None:
+                seen = Counter({t: n for t, n in seen.items() if t <= first + span})
+                reps = sorted(x for x in reps if x[0] <= first + span)[: s.reps]
         mark, out = state.getCurrentWatermarkMs(), []
-        if not known and times and (min(times) + span) * 1000 <= mark:
-            inside = [t for t in times if t <= min(times) + span]
-            start, end = (pd.Timestamp(t, unit="s", tz="UTC") for t in (min(inside), max(inside)))
-            out.append(("new_signature", key[0], key[1], start, end, len(inside), min(0.9, 0.7 + 0.02 * len(inside)), list(ids), {"template": template}, 1))
-            known, times, ids = True, [], []
-        state.update((known, latest, list(times), list(ids), template))
-        ends = latest + span * s.idle if known or not times else min(times) + span
+        if not known and first is not None and (first + span) * 1000 <= mark:
+            start, end = (pd.Timestamp(t, unit="s", tz="UTC") for t in (first, max(seen)))
+            n = sum(seen.values())
+            out.append(("new_signature", key[0], key[1], start, end, n, min(0.9, 0.7 + 0.02 * n), [x[2] for x in reps], {"template": template}, 1))
+            known, first, reps = True, None, []
+            seen.clear()
+        state.update((known, latest, list(seen), list(seen.values()), [x[0] for x in reps], [x[1] for x in reps], [x[2] for x in reps], template))
+        ends = latest + span * s.idle if known or first is None else first + span
         state.setTimeoutTimestamp(max(int(ends * 1000), mark + 1))
         yield pd.DataFrame(out, columns=CLUSTER_COLUMNS)
 
-    return rows.groupBy("service", "fingerprint").applyInPandasWithState(run, CLUSTER, "known boolean, at double, times array<double>, ids array<string>, template string", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("service", "fingerprint").applyInPandasWithState(run, CLUSTER, "known boolean, at double, times array<double>, counts array<long>, rep_times array<double>, rep_ords array<long>, ids array<string>, template string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def learned_until(events: DataFrame, learning: int = 500) -> datetime | None:
