@@ -5,27 +5,32 @@ names and classes. The content of a node is worth 1 minus the entropy of what st
 host's pages: what most pages share (menus, notices, footers) tells nothing about a page, what differs
 from page to page is content. The importance of a node is composed over its branch: the mean of the
 contents of all nodes in it, weighted by their characters, and, with the small weight 1 - DECAY, the
-entropy of the node's own inner markup. A branch is low if its node and all nodes below it have an
-importance below LEAST on two pages or more; low branches are what is removed, so a text goes with its
-node if that is the top of a low branch or lies in one. A text at a node has an importance of its own,
+entropy of the node's own inner markup. A branch is as important as its most important node, so a
+text goes with its node if that is the top of an unimportant branch or lies in one. A text at a node has an importance of its own,
 1 - log n / log m if n of the m pages with the node hold it. A page counts for the nodes it has, whatever
 else its host holds, and pages with equal blocks count once.
 
-The role that the markup states is a prior that importance has to overcome:
+The role that the markup states is a prior, worth WORTH pages, of the importance of what stands there:
 
-- a block without a role goes if its branch is low, or its text below LEAST at a node of PAGES pages or
-  more;
-- inside article or main a block goes only if its text is below ARTICLE at a node of PAGES pages or more;
-- menus, headers, footers, sidebars, forms and notices (by element or by a name in class, id or role)
-  go, unless their node has PAGES pages or more and an importance of HIGH or more and the text is not
-  below LEAST. This holds inside an article and on pages without one: where a page marks its article,
-  what lies outside in such elements goes. An article or main inside such an element is the page's
-  article if there is no other;
-- reader comments and adverts differ from page to page by nature: they go whatever their importance, and
-  so does what is hidden.
+    posterior = (WORTH * prior + (pages - 1) * importance) / (WORTH + pages - 1)
+
+with the pages that have the node and the importance measured on them. A block goes if its posterior is below
+LEAST. There is no number of pages from which on another rule holds: few pages leave the prior, many override it.
+
+- PRIOR of a block without a role is in the middle: it goes with a low branch, or if its text is shared;
+- inside article or main it is high, and only the text's own importance counts;
+- in menus, headers, footers, sidebars, forms and notices (by element or by a name in class, id or role), in an
+  article or on pages without one, it is 0: such blocks stay where their branch differs from page to page;
+- on pages that mark an article, what lies outside it goes: menus of links differ from page to page as articles do;
+- reader comments and adverts, too, differ from page to page by nature: they go whatever their importance, and so
+  does what is hidden.
+
+An article or main inside a noise element is the page's article if there is no other. A page of which nothing would
+stay keeps its blocks without a noise role.
 
 A name in class, id or role counts if it is one of NOISE_WORDS or HARD_WORDS, or joins some of them with
-none but PARTS ("site-footer", "comment-list", but not "ad-hoc" or "has-sidebar").
+none but PARTS ("site-footer", "comment-list", but not "ad-hoc" or "has-sidebar"), and not at headings. Attributes
+are parsed; a value never counts as another attribute.
 
 Character references are decoded, white space in a block becomes one space, blocks are trimmed and
 joined by line feeds in page order. Null html is empty. A null or odd url is its own host. Pages
@@ -40,19 +45,19 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kestrelog.llm.common import arrow_type, materialize
 
-#: Pages with a node for its entropy to outweigh a role; weight of the content.
-PAGES, DECAY = 8, 0.9
+#: Weight of the content, pages that a prior is worth, and the posterior importance of what stays.
+DECAY, WORTH, LEAST = 0.9, 4, 0.3
 #: Elements nested deeper stand beside each other in the tree, as in browsers.
 DEPTH = 512
-#: Least importance of what stays: without a role, of a text in an article, of a node with a noise role.
-LEAST, ARTICLE, HIGH = 0.3, 0.1, 0.4
-#: Roles of blocks, and verdicts on nodes and texts.
+#: Roles of blocks, and the priors of those that importance judges.
 PLAIN, GONE, INSIDE, NOISY = range(4)
+PRIOR = {PLAIN: 0.5, INSIDE: 0.9, NOISY: 0.0}
+#: Verdicts: what a node or a text does to blocks of a role.
 DROP_PLAIN, DROP_INSIDE, KEEP_NOISY = 1, 2, 4
 
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
@@ -63,9 +68,10 @@ NOISE = set("aside button dialog footer form header menu nav search select".spli
 MAIN = set("article main".split())
 #: Names in class, id and role of what importance may override, of what it may not, and what they are
 #: joined with (fixed values).
-NOISE_WORDS = set("banner nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar aside widget footer header masthead cookie cookies consent gdpr notice notices alert popup modal overlay share sharing social related recommended subscribe subscription newsletter signup login search form pagination pager toolbar skip contentinfo complementary".split())
-HARD_WORDS = set("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion comment comments disqus reply replies respond".split())
+NOISE_WORDS = set("banner nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar aside widget footer header masthead cookie cookies consent gdpr notice notices alert popup modal overlay share sharing social related recommended subscribe subscription newsletter signup login search form pagination pager toolbar skip contentinfo complementary promo promotion reply".split())
+HARD_WORDS = set("ad ads adv advert adverts advertisement advertising sponsor sponsored comment comments disqus replies respond".split())
 PARTS = set("site page main post article blog global primary secondary top bottom left right inner outer area section wrapper wrap container box block list item items link links bar row col column group panel text results thread".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 #: Tags that a start tag of the same group closes.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Elements that bound such closing.
@@ -73,8 +79,8 @@ SCOPE = {"ul", "ol", "dl", "table", "select", "menu", "body", "html", "article",
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
-_ROLE = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_UNSHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 _NAME = re.compile(r"[^\W_]+")
 _HOST = re.compile(r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", re.I)
 _SPACE = re.compile(r"\s+")
@@ -91,6 +97,18 @@ def named(role: str) -> int:
     return found
 
 
+def attributes(rest: str) -> tuple[str, bool]:
+    """The lower-cased class, id and role of a tag, and whether it is hidden."""
+    role, hidden = [], False
+    for name, *values in _ATTRIBUTE.findall(rest):
+        name, value = name.lower(), "".join(values)
+        if name in ("class", "id", "role"):
+            role.append(value.lower())
+        elif name == "hidden" and value.lower() != "until-found" or name == "style" and _UNSHOWN.search(value):
+            hidden = True
+    return " ".join(filter(None, role)), hidden
+
+
 def blocks(page: str) -> list[tuple[tuple[int, ...], str, str, int, int]]:
     """(nodes, style, text, noise, article) of each text block in page order. nodes: keys of the elements
     that hold it, its own last; noise: 1 in a noise element, 2 in one that always goes; article: 1 in
@@ -174,8 +192,8 @@ def blocks(page: str) -> list[tuple[tuple[int, ...], str, str, int, int]]:
         if name == "br":
             text.append(" ")
             continue
-        role = " ".join(x for m in _ROLE.findall(rest) for x in m if x).lower() if "=" in rest else ""
-        noise = 2 if ("hid" in rest or "none" in rest) and _HIDDEN.search(rest) else max(int(name in NOISE), named(role) if role else 0)
+        role, unshown = attributes(rest) if rest and not rest.isspace() else ("", False)
+        noise = 2 if unshown else max(int(name in NOISE), named(role) if role and name not in HEADINGS else 0)
         if name in BLOCK:
             flush()
             inline.clear()
@@ -198,9 +216,9 @@ def blocks(page: str) -> list[tuple[tuple[int, ...], str, str, int, int]]:
             if name in VOID or rest.endswith("/"):
                 continue
             _, nodes, was, article = stack[-1]
-            if name in ("header", "form") and article and name == "header" and not role:
-                noise = 0  # an article's own header holds its title
-            if name in ("html", "body", "main") and not (noise == 2 and _HIDDEN.search(rest)):
+            if name == "header" and article and not unshown:  # an article's own header holds its title
+                noise = named(" ".join(x for x in role.split() if "header" not in x))
+            if name in ("html", "body", "main") and not unshown:
                 noise = 0
             noise = max(was, noise)
             if name in MAIN and noise < 2:
@@ -321,16 +339,21 @@ def importances(seen: DataFrame) -> DataFrame:
     return tree.join(most, ["host", "node"])
 
 
+def posterior(role: int, importance: Column) -> Column:
+    more = F.col("pages") - 1
+    return (WORTH * PRIOR[role] + more * importance) / (WORTH + more)
+
+
 def verdicts(seen: DataFrame) -> DataFrame:
     """(host, node, what, verdict) of nodes (what is 0) and texts that change what their role would do."""
     tree = importances(seen)
-    enough = F.col("pages") >= PAGES
-    of_node = F.when((F.col("pages") > 1) & (F.col("most") < LEAST), DROP_PLAIN).when(enough & (F.col("importance") >= HIGH), KEEP_NOISY)
-    nodes = tree.select("host", "node", F.lit(0).cast("long").alias("what"), of_node.alias("verdict")).filter("verdict is not null")
-    # a text under the threshold is on two pages or more
+    of_node = F.when(posterior(PLAIN, F.col("most")) < LEAST, DROP_PLAIN).otherwise(0) + F.when(posterior(NOISY, F.col("importance")) >= LEAST, KEEP_NOISY).otherwise(0)
+    nodes = tree.select("host", "node", F.lit(0).cast("long").alias("what"), of_node.alias("verdict"))
+    # a text of one page has the importance 1
     own = 1 - F.log(F.col("n").cast("double")) / F.log(F.col("pages").cast("double"))
-    texts = seen.filter("kind = 1 and n > 1").join(tree.filter(enough), ["host", "node"]).filter(own < LEAST)
-    return nodes.union(texts.select("host", "node", "what", F.when(own < ARTICLE, DROP_PLAIN | DROP_INSIDE).otherwise(DROP_PLAIN)))
+    texts = seen.filter("kind = 1 and n > 1").join(tree, ["host", "node"])
+    of_text = F.when(posterior(PLAIN, own) < LEAST, DROP_PLAIN).otherwise(0) + F.when(posterior(INSIDE, own) < LEAST, DROP_INSIDE).otherwise(0)
+    return nodes.union(texts.select("host", "node", "what", of_text.alias("verdict"))).filter("verdict <> 0")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -360,7 +383,10 @@ def main_text(pages: DataFrame) -> DataFrame:
             out = []
             for nodes, whats, kinds, texts, given in zip(*(c.to_pylist() for c in batch.columns[2:])):
                 verdict = {(x["node"], x["what"]): x["verdict"] for x in given or ()}
-                out.append("\n".join(text for node, what, role, text in zip(nodes, whats, kinds, texts) if role != GONE and _stays(role, verdict.get((node, 0), 0), verdict.get((node, what), 0))))
+                stays = [role != GONE and _stays(role, verdict.get((node, 0), 0), verdict.get((node, what), 0)) for node, what, role in zip(nodes, whats, kinds)]
+                if not any(stays):
+                    stays = [role in (PLAIN, INSIDE) for role in kinds]
+                out.append("\n".join(text for text, stay in zip(texts, stays) if stay))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], schema=arrow_type(ddl))
 
     return parsed.join(told, ["host", "digest"], "left").select("page_id", "url", "nodes", "whats", "roles", "texts", "told").mapInArrow(run, ddl)

@@ -490,11 +490,57 @@ def test_unrelated_pages_of_a_host_change_nothing(spark):
     others = [(f"https://h.com/o/{i}", f"<div class=o{i}><p>Other {i}</p></div>") for i in range(500)]
     alone = extract(spark, section)
     assert alone == [f"Story {i}" for i in range(12)] and extract(spark, section + others) == alone + [f"Other {i}" for i in range(500)]
-    # small hosts are judged by the entropy too; equal pages are one page
-    assert extract(spark, section[:2]) == ["Story 0", "Story 1"]
+    # small hosts are judged by the entropy too, two pages not yet; equal pages are one page
+    assert extract(spark, section[:5]) == [f"Story {i}" for i in range(5)]
+    assert extract(spark, section[:2]) == ["Story 0\nSection notice", "Story 1\nSection notice"]
     assert extract(spark, [section[0]] * 9) == ["Story 0\nSection notice"] * 9
 
 
+def test_attributes_and_names_that_hide_nothing(spark):
+    """Values aren't attributes, headings have no role, an article's header holds its title."""
+    kept = ['<p title="a hidden gem here">x</p>', '<div style="overflow: hidden ; x:y">x</div>', '<h2 id="search">x</h2>', '<h2 id="promotion">x</h2>', '<header class="entry-header"><h1>x</h1></header>', "<p data-x='display:none'>x</p>"]
+    gone = ["<p hidden>x</p>", '<p class=a hidden="">x</p>', '<p style="color:red; display : none">x</p>', '<div class="comments">x</div>', '<header class="site-nav">x</header>']
+    got = extract(spark, [(f"http://h{i}.org/", f"<article><p>text</p>{x}</article>") for i, x in enumerate(kept + gone)])
+    assert got == ["text\nx"] * len(kept) + ["text"] * len(gone)
+    assert extract(spark, [("http://p.org/", '<article class="post reply"><p>text</p></article>')]) == ["text"]
+
+
+def test_no_number_of_pages_turns_the_rule(spark):
+    """Copies of an article never erase each other; what differs stays, with seven pages as with eight."""
+    same = "<div class=m>Menu {i}</div><div><p>One article</p><p>of two blocks</p></div>"
+    assert extract(spark, [(f"http://c.org/{i}", same.format(i=i)) for i in range(2)]) == [f"Menu {i}\nOne article\nof two blocks" for i in range(2)]
+    for n in (4, 7, 8):
+        assert extract(spark, [(f"http://f.org/{i}", f"<form><div><p>Story {i}</p></div></form>") for i in range(n)]) == [f"Story {i}" for i in range(n)]
+        assert extract(spark, [(f"http://w.org/{i}", f'<article><p>Story {i}</p><div class="widget container">Box {i}</div><section id=promotion>Part {i}</section></article>') for i in range(n)]) == [f"Story {i}\nBox {i}\nPart {i}" for i in range(n)]
+
+
+def test_verdicts_equal_brute_force(spark):
+    """Posteriors of nodes and texts of a small host, by the definition."""
+    import random
+
+    r = random.Random(8)
+    pages = [f"<div class=a><p>{r.choice('xyz')}</p></div><div class=b><p>{i if r.random() < 0.5 else 'same'}</p></div><div class=c><p>fixed</p></div>" for i in range(11)]
+    parsed = html.parse(spark.createDataFrame([(i, "http://h.org/", p) for i, p in enumerate(pages)], "page_id long, url string, html string"))
+    distinct = parsed.groupBy("host", "digest").agg(*[F.first(c).alias(c) for c in ("nodes", "whats", "styles", "roles", "sizes", "lower", "upper")])
+    got = {(x.node, x.what): x.verdict for x in html.verdicts(html.counts(distinct)).collect()}
+    rows = {x.digest: x for x in distinct.collect()}.values()
+    texts = collections.defaultdict(collections.Counter)
+    for x in rows:
+        for node, what in {(n, w) for n, w in zip(x.nodes, x.whats)}:
+            texts[node][what] += 1
+    post = lambda prior, m, x: (html.WORTH * prior + (m - 1) * x) / (html.WORTH + m - 1)
+    for node, counts in texts.items():
+        m = len(rows)
+        entropy = sum(n * math.log(n) for n in counts.values()) / sum(counts.values()) / math.log(m)
+        importance = html.DECAY * (1 - entropy)  # one style on all pages has no entropy
+        want = (html.DROP_PLAIN if post(0.5, m, importance) < html.LEAST else 0) + (html.KEEP_NOISY if post(0, m, importance) >= html.LEAST else 0)
+        assert got.get((node, 0), 0) == want
+        for what, n in counts.items():
+            own = 1 - math.log(n) / math.log(m)
+            want = 0 if n == 1 else (html.DROP_PLAIN if post(0.5, m, own) < html.LEAST else 0) + (html.DROP_INSIDE if post(0.9, m, own) < html.LEAST else 0)
+            assert got.get((node, what), 0) == want
+
+
 def test_roles_are_a_prior(spark):
     notice = [(f"http://n.org/{i}", f"<article><p>Story {i}</p><p>We use cookies</p><div>Buy now</div></article>") for i in range(12)]
     assert extract(spark, notice) == [f"Story {i}" for i in range(12)]
