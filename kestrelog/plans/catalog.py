@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kestrelog.functions import text
-from kestrelog.operators import correlate, detect, graph, memory, parse, query
+from kestrelog.operators import correlate, detect, graph, memory, parse, query, vectorindex
+from kestrelog.session import scratch
 from kestrelog.streaming import detect as streaming
 
 FLAGSHIP = "error_rate"
@@ -485,6 +486,18 @@ def cosine_topk(spark, sf_dir):
     return memory.nearest(vectors, list(one), "vec_id", "embedding", 10, F.col("vec_id") == 0).select("vec_id", F.round("distance", 5).alias("distance"))
 
 
+@register("""WITH q AS (SELECT vec_id AS question, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 50 = 0),
+d AS (SELECT question, vec_id AS key, round(1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), q), 12) AS distance FROM embeddings, q WHERE vec_id <> question),
+r AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY distance, key) AS rank FROM d)
+SELECT question, rank, key, round(distance, 5) AS distance FROM r WHERE rank <= 10""")
+def indexed_neighbours(spark, sf_dir):
+    """For every fiftieth vector its ten nearest of all, exactly, through an inverted-file index of all vectors."""
+    vectors = table(spark, sf_dir, "embeddings")
+    index = vectorindex.build(vectors, "vec_id", "embedding", scratch(spark, "index"))
+    questions = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("question"), F.col("embedding").alias("vector"), F.col("vec_id").alias("exclude"))
+    return vectorindex.search(index, questions, 10, exact=True).select("question", F.col("rank").cast("long").alias("rank"), "key", F.round("distance", 5).alias("distance"))
+
+
 @register("WITH " + _EMBED.format(p="m", key="doc_id", table="documents") + ", " + _EMBED.format(p="q", key="item_id", table="benchmark") + """,
 d AS (SELECT qe.id AS question, me.id AS doc_id, sum(qe.weight * me.weight) AS s FROM qe JOIN me USING (bucket) GROUP BY 1, 2),
 t AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY round(s, 9) DESC, doc_id) AS r FROM d)

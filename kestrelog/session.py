@@ -21,19 +21,21 @@ def session(name: str = "kestrelog", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table and read again: cuts the plan, and survives lost executors.
-
-    The table stands in the folder that the cluster names in spark.checkpoint.dir, which is the cluster's to
-    clean. Only in local mode, where that setting is empty, a temporary folder takes its place.
-    """
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that the cluster names in spark.checkpoint.dir, which is the cluster's to clean.
+    Only in local mode, where that setting is empty, a temporary folder takes its place."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="kestrelog-")
-    path = f"{base.rstrip('/')}/kestrelog/{uuid.uuid4().hex}-{name}"
+    return f"{base.rstrip('/')}/kestrelog/{uuid.uuid4().hex}-{name}"
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a table and read again: cuts the plan, and survives lost executors."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
