@@ -15,6 +15,7 @@ from kestrelog.functions import text
 from kestrelog.operators import correlate, detect, graph, memory, parse, query, vectorindex
 from kestrelog.session import scratch
 from kestrelog.streaming import detect as streaming
+from kestrelog.streaming import metrics
 
 FLAGSHIP = "error_rate"
 DEPENDENCIES = [("svc-0", "svc-1"), ("svc-1", "svc-2"), ("svc-3", "svc-0")]
@@ -508,6 +509,26 @@ def recall(spark, sf_dir):
     return memory.similar(table(spark, sf_dir, "documents").select("doc_id", "text"), questions, "doc_id")
 
 
+# metrics
+
+
+@register("""WITH b AS (SELECT event_type, CASE WHEN value > 0 THEN CAST(ceil(ln(value) / ln(1.01::DOUBLE / 0.99::DOUBLE)) AS INT) ELSE -2147483648 END AS bucket, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY ALL),
+u AS (SELECT *, sum(n) OVER (PARTITION BY event_type ORDER BY bucket) AS up, sum(n) OVER (PARTITION BY event_type) AS total FROM b),
+q AS (SELECT event_type, share, min(bucket) AS bucket, max(total) AS n FROM u, (SELECT unnest([0.5, 0.95, 0.99])::DOUBLE AS share) WHERE up >= greatest(ceil(share * total), 1) GROUP BY ALL)
+SELECT event_type, CAST(n AS BIGINT) AS n, share, CASE WHEN bucket = -2147483648 THEN 0 ELSE round(exp(bucket * ln(1.01::DOUBLE / 0.99::DOUBLE)) * 0.99, 6) END AS value FROM q""")
+def value_quantiles(spark, sf_dir):
+    """Quantiles of a number by label, from mergeable histograms."""
+    found = metrics.quantiles(metrics.histogram(table(spark, sf_dir, "events"), ["event_type"], "value"), ["event_type"], [0.5, 0.95, 0.99])
+    return found.withColumn("value", F.round("value", 6))
+
+
+@register("SELECT 'u' || user_id AS label, max_by(value, (ts, value)) AS value, epoch_us(max(ts)) AS us FROM events WHERE value IS NOT NULL GROUP BY ALL")
+def last_values(spark, sf_dir):
+    """Each user's last number."""
+    rows = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("label"), "value", instant("ts").alias("timestamp"))
+    return metrics.gauges(rows, ["label"], "value").select("label", "value", F.unix_micros("at").alias("us"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
