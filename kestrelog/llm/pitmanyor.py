@@ -27,7 +27,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import lru_cache
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +45,26 @@ EDGE = 1
 EXACT = 64
 
 
+def _bytes(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets, from 0, and the bytes of an array of binaries."""
+    _, offsets, data = a.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[a.offset : a.offset + len(a) + 1] if len(a) else np.zeros(1, np.int32)
+    held = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.empty(0, np.uint8)
+    return offsets - offsets[0], held
+
+
+def _places(words: pa.Array, buckets: int) -> np.ndarray:
+    """A bucket for each word, by a polynomial of its bytes: equal words, wherever they stand, have one."""
+    offsets, data = _bytes(words)
+    with np.errstate(over="ignore"):
+        power = np.cumprod(np.full(len(data) + 1, 0x9E3779B97F4A7C15, np.uint64))
+        sums = np.r_[np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[1:])]
+        # the sum of a word that begins at k holds the factor power[k]; its inverse takes it away
+        back = np.cumprod(np.full(len(data) + 1, pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64))
+        value = (sums[offsets[1:]] - sums[offsets[:-1]]) * back[offsets[:-1]]
+    return (_mix(value) % np.uint64(buckets)).astype(np.int64)
+
+
 def _pack(**arrays) -> bytes:
     """Arrays of whole numbers and of binaries as one compressed block, after a line that says what it holds.
     Numbers are kept by byte planes, which pack better."""
@@ -53,8 +72,8 @@ def _pack(**arrays) -> bytes:
     for name, a in arrays.items():
         if isinstance(a, pa.Array):
             head.append(f"{name} bytes {len(a)}")
-            sizes = pc.binary_length(a).to_numpy(zero_copy_only=False).astype(np.int32)
-            body += [sizes.tobytes(), b"".join(a.to_pylist())]
+            offsets, data = _bytes(a)
+            body += [np.diff(offsets).tobytes(), data.tobytes()]
             continue
         small = len(a) == 0 or (a.min() >= -(1 << 31) and a.max() < 1 << 31)
         a = np.ascontiguousarray(a, np.int32 if small else np.int64)
@@ -97,49 +116,48 @@ def _rows(rows: list[tuple], ddl: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-class _Numbers(dict):
-    def __missing__(self, key):
-        value = self[key] = len(self)
-        return value
-
-
 def _chunks(docs: DataFrame, learn: Column, size: int) -> DataFrame:
     """(chunk, tokens, train_tokens, train_docs, data): texts as numbers of the chunk's own words."""
     ddl = "chunk long, tokens long, train_tokens long, train_docs long, data binary"
 
-    def chunk(number: int, ids: list, learned: list, texts: list, words: _Numbers) -> pa.RecordBatch:
-        lengths = np.array([len(t) for t in texts], np.int64)
-        tokens = np.concatenate(texts) if texts else np.empty(0, np.int32)
-        training = np.array(learned, bool)
-        names, often = list(words), np.argsort(-np.bincount(tokens, minlength=len(words)), kind="stable")
+    def chunk(number: int, parts: list[tuple]) -> pa.RecordBatch:
+        ids, learned, lengths, values = zip(*parts)
+        lengths, training, ids = np.concatenate(lengths), np.concatenate(learned), pa.concat_arrays(ids)
+        found = pa.concat_arrays(values).dictionary_encode()
+        tokens, words = found.indices.to_numpy(), found.dictionary.cast(pa.binary())
+        often = np.argsort(-np.bincount(tokens, minlength=len(words)), kind="stable")
         place = np.empty(len(often), np.int32)
         place[often] = np.arange(len(often))  # frequent words get small numbers, which pack well
-        tokens, names = place[tokens], [names[i] for i in often]
-        counts = np.bincount(tokens[np.repeat(training, lengths)], minlength=len(names))
-        nameless = np.array([i is None for i in ids], np.int8)
-        data = _pack(doc_id=np.array([i or 0 for i in ids], np.int64), nameless=nameless, training=training.astype(np.int8), lengths=lengths, tokens=tokens, words=pa.array(names, pa.binary()), counts=counts)
-        here = int((lengths[training] + 1).sum())
-        return _rows([(number, int(lengths.sum()) + len(texts), here, int(training.sum()), data)], ddl)
+        tokens, words = place[tokens], words.take(pa.array(often))
+        counts = np.bincount(tokens[np.repeat(training, lengths)], minlength=len(words))
+        nameless = ids.is_null().to_numpy(zero_copy_only=False).astype(np.int8)
+        data = _pack(doc_id=ids.fill_null(0).to_numpy(), nameless=nameless, training=training.astype(np.int8), lengths=lengths, tokens=tokens, words=words, counts=counts)
+        return _rows([(number, int(lengths.sum()) + len(lengths), int((lengths[training] + 1).sum()), int(training.sum()), data)], ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId() << 32  # a task's chunks are written once, with the table
-        ids, learned, texts, words, held = [], [], [], _Numbers(), 0
+        number, held, tokens = TaskContext.get().partitionId() << 32, [], 0  # a task's chunks are written once, with the table
         for batch in batches:
-            for doc_id, training, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                # bytes know ASCII alone: lower() takes A-Z, split() the blank and \x09-\x0D
-                found = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
-                ids.append(doc_id)
-                learned.append(training)
-                texts.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
-                held += len(found) + 1
-                if held >= size:
-                    yield chunk(number, ids, learned, texts, words)
-                    number, ids, learned, texts, words, held = number + 1, [], [], [], _Numbers(), 0
-        if ids:
-            yield chunk(number, ids, learned, texts, words)
-        ids = texts = words = None
+            # both know ASCII alone: the one takes A-Z, the other the blank and \x09-\x0D
+            lists = pc.ascii_split_whitespace(pc.ascii_lower(batch.column(2).fill_null("")))
+            values, real = lists.flatten(), pc.not_equal(lists.flatten(), "").to_numpy(zero_copy_only=False)
+            ends = np.r_[0, np.cumsum(real)][lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+            values, learned = values.filter(pa.array(real)), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            begin = 0
+            while begin < batch.num_rows:  # rows up to the one that fills the chunk
+                rows = np.arange(begin, batch.num_rows)
+                full = np.flatnonzero(tokens + ends[rows + 1] - ends[begin] + rows + 1 - begin >= size)
+                end = int(rows[full[0]]) + 1 if len(full) else batch.num_rows
+                held.append((batch.column(0).slice(begin, end - begin), learned[begin:end], np.diff(ends[begin : end + 1]), values.slice(ends[begin], ends[end] - ends[begin])))
+                tokens += int(ends[end] - ends[begin]) + end - begin
+                begin = end
+                if tokens >= size:
+                    yield chunk(number, held)
+                    number, held, tokens = number + 1, [], 0
+        if held:
+            yield chunk(number, held)
+        held = lists = values = None
         give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(learn, F.lit(True)).alias("training"), "text")
@@ -158,8 +176,7 @@ def _word_numbers(chunks: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for number, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 held = _unpack(data)
-                place = np.fromiter(map(crc32, held["words"].to_pylist()), np.int64, len(held["words"])) % buckets
-                for bucket, at in _split(place):
+                for bucket, at in _split(_places(held["words"], buckets)):
                     yield _rows([(bucket, number, _pack(at=at, words=held["words"].take(pa.array(at)), counts=held["counts"][at]))], asked)
         give_back()
 
