@@ -109,6 +109,7 @@ def kept(kind: str, key, make):
     if (kind, key) not in _kept:
         if _kept:
             _kept.clear()
+            gc.collect()
             give_back()
         _kept[kind, key] = make()
     return _kept[kind, key]
@@ -116,7 +117,6 @@ def kept(kind: str, key, make):
 
 def give_back() -> None:
     """Return a worker process's free memory to the system: it stays alive for later tasks of other stages."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # where the C library can
         ctypes.CDLL(None).malloc_trim(0)

@@ -543,14 +543,14 @@ def score(docs: DataFrame, learn: Column, burn_in: int = 1, samples: int = 2, ch
                     n[real[at]] = counted[bucket]
                 n_pair = np.where(known, n[index], 0)
 
-                probability, many = np.zeros(len(dish)), n > 0
+                probability, many = np.zeros(len(dish)), n > 1  # one customer has one table
                 u, w, customers = context[first[many]], dish[first[many]], np.where(number[context] > 0, count[context], 0)
                 opened = [state[f"t{burn_in + i}"] for i in range(samples + 1)]
                 parent = [_parent(state[f"n{burn_in + i}"], state[f"s{burn_in + i}"], history[i]) for i in range(samples + 1)]
                 for i in range(samples):
                     # the sweep's own draw again, from the state before it, so that all dishes' tables sum to the context's
                     strength, discount = history[i]["strength"], history[i]["discount"]
-                    seated = np.zeros(len(unique))
+                    seated = np.ones(len(unique))
                     seated[many] = tables(n[many], (strength + discount * opened[i][u]) * parent[i][w], discount, _mix(unique[many]) + np.uint64(burn_in + i + 1))
                     strength, discount = history[i + 1]["strength"], history[i + 1]["discount"]
                     new = opened[i + 1][context]
@@ -558,7 +558,7 @@ def score(docs: DataFrame, learn: Column, burn_in: int = 1, samples: int = 2, ch
                     own = np.where(n_pair > 0, (n_pair - discount * seated[index]) / (strength + customers), 0.0)
                     probability += (own + backed * parent[i + 1][dish]) / samples
                 rows = len(held["lengths"])
-                base = np.log10((count[dish] + 0.5) / (train_tokens + 0.5 * (distinct + 1)))
+                base = np.log10((count + 0.5) / (train_tokens + 0.5 * (distinct + 1)))[dish]
                 model = np.log10(probability)
                 columns = [
                     pa.array(held["doc_id"], pa.int64(), mask=held["nameless"] > 0),
