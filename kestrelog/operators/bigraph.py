@@ -273,7 +273,8 @@ def root_candidates(g: Big, weight: Column, score, top: int) -> DataFrame:
     # the incidents' own numbers: a row each
     roots = c.nodes.join(c.edges.select(F.col("t").alias("id")), "id", "left_anti").join(span, "incident_id")
     bounds = spread(c.nodes.select("id", "block", F.col("last").alias("v0"), (-F.col("id")).alias("v1")), _turned(c.edges), "max")
-    seconds = lambda a, b: (F.col(a).cast("double") - F.col(b).cast("double"))
+    seconds = lambda a, b: (F.unix_micros(a) - F.unix_micros(b)) / 1e6
+    digits = lambda x: F.round(x * 1e4) / 1e4  # as the kernel's
     early = 1 - seconds("first_at", "low") / F.greatest(seconds("high", "low"), F.lit(1e-9))
     roots = roots.join(bounds.select("id", F.col("v0").alias("b0"), F.col("v1").alias("b1")), "id")
     roots = roots.withColumn("early", early).withColumn("most", score(F.least(F.lit(1.0), (F.col("b0") + F.col("b1") + 1) / F.col("n")), F.col("early"), F.col("impact")) + 1e-4)
@@ -284,7 +285,7 @@ def root_candidates(g: Big, weight: Column, score, top: int) -> DataFrame:
             break
         below = counted(c, batch.select("incident_id", "id", "bit"))
         exact = batch.join(below.select("id", "below"), "id").withColumn("part", (F.col("below") + F.col("members")) / F.col("n"))
-        exact = exact.withColumn("total", F.round(score(F.col("part"), F.col("early"), F.col("impact")), 4))
+        exact = exact.withColumn("total", digits(score(F.col("part"), F.col("early"), F.col("impact"))))
         seen = exact if done is None else done.unionByName(exact, allowMissingColumns=True)
         done = settled(_top(seen, [F.desc("total"), F.asc("id")], top, "rank").select("incident_id", "id", "event_id", "members", "early", "impact", "part", "total", "rank"), "candidates")
         last = done.filter(F.col("rank") == top - 1).select("incident_id", F.col("total").alias("bar"))
@@ -293,7 +294,7 @@ def root_candidates(g: Big, weight: Column, score, top: int) -> DataFrame:
         discard(old)
     if done is None:
         done = batch.select("incident_id", "id", "event_id", "members", "early", "impact", F.lit(0.0).alias("part"), F.lit(0.0).alias("total"), F.col("bit").alias("rank"))
-    return done.select("incident_id", (F.col("rank") + 1).cast("int").alias("rank"), "event_id", F.col("total").alias("score"), F.round("part", 4).alias("reach"), F.round("early", 4).alias("earliness"), "impact", "members")
+    return done.select("incident_id", (F.col("rank") + 1).cast("int").alias("rank"), "event_id", F.col("total").alias("score"), digits(F.col("part")).alias("reach"), digits(F.col("early")).alias("earliness"), "impact", "members")
 
 
 def timelines(g: Big) -> DataFrame:

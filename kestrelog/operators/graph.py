@@ -77,12 +77,20 @@ def components_of(n: int, out: list[list[int]]) -> list[int]:
     return comp
 
 
+def digits(x: float) -> float:
+    """``x``, not negative, to four digits, halves up as in SQL; round() takes many of them down."""
+    whole = math.floor(x * 1e4)
+    return (whole + (x * 1e4 - whole >= 0.5)) / 1e4
+
+
 class Graph:
     """One incident's graph in memory."""
 
     def __init__(self, vertices: pd.DataFrame, edges: pd.DataFrame):
         v = vertices.sort_values(["timestamp", "ord", "event_id"]).reset_index(drop=True)
-        self.ids, self.at = v["event_id"].tolist(), [t.timestamp() for t in v["timestamp"]]
+        if v["timestamp"].isna().any():
+            raise ValueError("event without a timestamp")
+        self.ids, self.at = v["event_id"].tolist(), [t.value // 1000 for t in v["timestamp"]]  # whole microseconds
         self.rows = v
         place = {e: i for i, e in enumerate(self.ids)}
         self.place = place
@@ -112,18 +120,18 @@ class Graph:
         if not n:
             return []
         entered = {d for c in range(self.size) for d in self.next[c]}
-        reach, low, span = self.below(), min(self.at), max(max(self.at) - min(self.at), 1e-9)
+        reach, low, span = self.below(), min(self.at), max((max(self.at) - min(self.at)) / 1e6, 1e-9)
         out = []
         for c in range(self.size):
             if c in entered:
                 continue
             first = self.members[c][0]
             part = (reach[c].bit_count() + len(self.members[c])) / n
-            early = 1 - (self.at[first] - low) / span
+            early = 1 - (self.at[first] - low) / 1e6 / span
             weight = lambda s: 1.0 if s >= 50 else 0.9 if s >= 40 else 0.6 if s >= 30 else 0.3
             impact = max(max(weight(self.rows["severity"][i]), boost.get(self.ids[i], 0.0)) for i in self.members[c])
-            total = round(REACH * part + EARLY * early + IMPACT * impact, 4)
-            out.append((-total, first, round(part, 4), round(early, 4), impact, len(self.members[c])))
+            total = digits(REACH * part + EARLY * early + IMPACT * impact)
+            out.append((-total, first, digits(part), digits(early), impact, len(self.members[c])))
         return [(self.ids[f], -t, r, e, i, k) for t, f, r, e, i, k in sorted(out)[:top]]
 
     def chain(self, source, sink) -> tuple[list, float]:

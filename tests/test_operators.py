@@ -151,6 +151,17 @@ def test_graph_roots_and_cycles(spark):
     assert graph.root_candidates(*graph_frames(spark, "a", [("a", "a", 1)])).count() == 1
 
 
+def test_graph_root_scores_round_halves_up(spark):
+    """The first of 24 events, alone, scores 0.54375: in four digits as much as a later one with 0.54381."""
+    at = [0, 437.3, *range(500, 521), 1000]
+    rows = [("i", f"e{k:02}", BASE + timedelta(seconds=t), k, 30 if k else 40, None) for k, t in enumerate(at)]
+    v = spark.createDataFrame(rows, "incident_id string, event_id string, timestamp timestamp, ord long, severity int, boost double")
+    e = spark.createDataFrame([("i", "e01", f"e{k:02}", 0.5) for k in range(2, 13)], "incident_id string, source_event string, target_event string, composite_score double")
+    for limit in (100, 1):  # in one task, and by rounds
+        found = graph.root_candidates(v, e, top=2, limit=limit).orderBy("rank").collect()
+        assert [(x.event_id, x.score, x.reach, x.earliness) for x in found] == [("e00", 0.5438, 0.0417, 1.0), ("e01", 0.5438, 0.5, 0.5627)]
+
+
 def test_strongest_chain(spark):
     rng = np.random.default_rng(1)
     names = [f"n{i:02d}" for i in range(9)]
