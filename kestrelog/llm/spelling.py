@@ -102,7 +102,8 @@ def near_pairs(counted: DataFrame) -> DataFrame:
     found = counted.select("word", "n").mapInArrow(run, ddl)
     short = found.filter("not longer").select("key", F.col("word").alias("a"), F.col("n").alias("a_n"))
     other = found.select("key", "longer", F.col("word").alias("b"), F.col("n").alias("b_n"))
-    pairs = short.join(other, "key").filter("longer or a < b")
+    # Spark takes the keys to be about as large as the words' compressed files and would broadcast them
+    pairs = short.join(other.hint("merge"), "key").filter("longer or a < b")
     # the built-in distance gives -1 beyond its bound; equal words differ in length by none and aren't paired
     return pairs.filter(F.levenshtein("a", "b", 1) == 1).select("a", "a_n", "b", "b_n").distinct()
 
@@ -111,14 +112,15 @@ def roots(forms: DataFrame) -> DataFrame:
     """(word, root) of every row of ``forms(word, form)``: the last word that its forms lead to.
 
     A form is twice as frequent as its word, so chains have at most 62 steps and no cycles; each round
-    doubles the steps that a row has taken, and the loop ends when no row moves on.
+    doubles the steps that a row has taken, and the loop ends when no row moves on. Compressed files are
+    much smaller than their rows, so nothing here may be broadcast.
     """
     steps = materialize(forms.select("word", F.col("form").alias("root")), "spelling-roots")
     for _ in range(7):
         on = steps.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        if on.join(steps, "root", "left_semi").isEmpty():
+        if on.join(steps.hint("merge"), "root", "left_semi").isEmpty():
             break
-        step = materialize(steps.join(on, "root", "left").select("word", F.coalesce("next", "root").alias("root")), "spelling-roots")
+        step = materialize(steps.join(on.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root")), "spelling-roots")
         remove(step.sparkSession, steps)
         steps = step
     return steps
@@ -134,7 +136,7 @@ def variants(docs: DataFrame, damage: int | None = 97, least: int = 3) -> DataFr
     known = materialize(counted.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(-F.col("best.n") >= 2 * F.col("n"), F.col("best")).alias("best")), "spelling-forms")
     known = known.select("word", F.col("best.near").alias("form"), "n", "n_near", (-F.col("best.n")).alias("form_n"))
     last = roots(known.filter("form is not null"))
-    return known.join(last, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return known.join(last.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 SQL = r"""

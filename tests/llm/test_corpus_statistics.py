@@ -99,6 +99,19 @@ def test_spelling_roots_follow_forms_to_the_last(spark):
     assert got == {w: (v, chain[-1]) for w, v in zip(chain, [*chain[1:], None])}
 
 
+def test_spelling_keys_are_not_broadcast(spark, tmp_path):
+    """Millions of keys come from a file of words below Spark's threshold: they would not fit the driver."""
+    spark.createDataFrame([("house", 9), ("horse", 3)], "word string, n long").write.parquet(f"{tmp_path}/words")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        pairs = spelling.near_pairs(spark.read.parquet(f"{tmp_path}/words"))
+        assert pairs.collect() == [("horse", 3, "house", 9)]
+        assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_spelling_of_odd_rows_and_an_empty_table(odd):
     got = check_variants(odd)
     assert "ünïcödé" not in got or got["ünïcödé"][2] >= 3  # only A-Z are lower-cased
