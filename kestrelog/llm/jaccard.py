@@ -328,26 +328,37 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, chance:
     equal = (F.col("p.n") == F.col("q.n")) & (F.col("p.f1") == F.col("q.f1")) & (F.col("p.f2") == F.col("q.f2"))
     likely = materialize(joined.filter(_possible("p", "q", percent)).select("a", "b", equal.alias("equal")), "likely")
 
-    members = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = kept("shingler", width, lambda: Shingler(width))
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], names=["doc_id", "items"])
 
-    texts = docs.selectExpr("cast(doc_id as long) doc_id", "text", "xxhash64(text) as t").join(members, "doc_id", "left_semi").dropDuplicates(["doc_id", "t"])
-    sets = materialize(texts.select("doc_id", "text").mapInArrow(shingles, "doc_id long, items binary"), "items")
-
-    release(spark)
-    links = materialize(likely.filter("equal").select("a", "b").union(_verify(likely.filter("not equal"), sets, percent)), "links")
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """The links among a table of pairs. Only its documents' sets are written, and go with the shuffles: the
+        larger the corpus, the more documents share some signature, but not the more of them are like others."""
+        release(spark)
+        if pairs.isEmpty():
+            return pairs
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        texts = docs.selectExpr("cast(doc_id as long) doc_id", "text", "xxhash64(text) as t").join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id", "t"])
+        sets = materialize(texts.select("doc_id", "text").mapInArrow(shingles, "doc_id long, items binary"), "items")
+        release(spark)
+        found = materialize(_verify(pairs, sets, percent), name)
+        remove(spark, sets)
+        release(spark)
+        return found
+
+    checked = verified(likely.filter("not equal").select("a", "b"), "checked")
+    links = likely.filter("equal").select("a", "b").union(checked)
     labels = components(links, "labels")
 
     # few documents of a group may miss its smallest one: other members, a different one by each signature
     near = _across_stars(_labelled(edges, labels), small, percent).join(likely.select("a", "b"), ["a", "b"], "left_anti")
-    near = materialize(_verify(near, sets, percent), "stars")
+    near = materialize(near, "near")
+    stars = verified(near, "stars")
     every = links
-    if not near.isEmpty():
-        every = links.union(near)
+    if not stars.isEmpty():
+        every = links.union(stars)
         remove(spark, labels)
         labels = components(every, "labels1")
     release(spark)
@@ -364,15 +375,15 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, chance:
     across = p.join(q, (F.col("p.sig") == F.col("q.sig")) & (F.col("p.component") < F.col("q.component")) & _possible("p", "q", percent))
     across = across.select(F.least("p.doc_id", "q.doc_id").alias("a"), F.greatest("p.doc_id", "q.doc_id").alias("b")).distinct()
     across = across.join(likely.select("a", "b"), ["a", "b"], "left_anti")
-    more = materialize(_verify(across, sets, percent), "links2")
-    release(spark)
+    across = materialize(across, "across")
+    more = verified(across, "links2")
     if more.isEmpty():
         final = labels
     else:
         final = components(every.union(more), "labels2")
         remove(spark, labels)
     known = materialize(described.select("doc_id", F.col("n").alias("n_shingles")), "sizes")
-    for done in (index, likely, sets, links, near, groups, more):  # what the result doesn't read
+    for done in (index, likely, checked, near, stars, groups, across, more):  # what the result doesn't read
         remove(spark, done)
     nameless = docs.filter("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_shingles"))
     out = known.union(nameless).join(final, F.col("doc_id") == F.col("node"), "left")

@@ -262,6 +262,24 @@ def test_jaccard_odd_rows(spark, odd, empty):
     assert jaccard.jaccard_classes(empty).count() == 0
 
 
+def test_jaccard_writes_sets_of_likely_links_alone(spark, monkeypatch):
+    """Texts that share a passage, and so signatures, are no reason to write and shuffle their sets."""
+    passage = " ".join(f"shared{k}" for k in range(40))
+    texts = [f"{passage} " + " ".join(f"t{i}w{k}" for k in range(40)) for i in range(30)] + [" ".join(f"n{k}" for k in range(80))] * 2
+    texts[-1] += " more"
+    written, write = [], jaccard.materialize
+
+    def counting(df, name):
+        out = write(df, name)
+        written.append(out.count() if name == "items" else 0)
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", counting)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_classes(docs, 5, 80).collect()}
+    assert got == {i: min(i, 30) for i in range(32)} and sum(written) == 2
+
+
 def test_jaccard_links_by_each_text_of_an_id(spark):
     a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(60))
     df = spark.createDataFrame([(1, a), (2, a + " x"), (2, b), (3, b), (4, b + " z"), (5, "c"), (None, b)], "doc_id long, text string")
