@@ -7,10 +7,12 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -148,6 +150,45 @@ def map_rows(docs: DataFrame, run, ddl: str, carry: bool) -> DataFrame:
     return docs.select(doc_id, F.struct("*").alias("row")).mapInArrow(lambda batches: run(with_text(batches)), schema.add("row", docs.schema))
 
 
+def sieve(ids: DataFrame) -> Callable[[Column], Column]:
+    """A test for long columns: false where no row of ``ids`` (one long column) has the value, true where one has.
+
+    A Bloom filter of 16 bits an id and 4 MB at most lets few others through (more, where ids are very many),
+    so what has to be exact joins what is left. Long texts are thus picked by id, or left out, where they are
+    read: only those that pass, not all of them, are shuffled for the join.
+    """
+    spark = ids.sparkSession
+    bits = 1 << min(25, max(16, (16 * ids.count()).bit_length()))
+
+    def places(values: pa.Array) -> np.ndarray:
+        x = values.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        for factor in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+            x = (x ^ (x >> np.uint64(31))) * np.uint64(factor)
+        x ^= x >> np.uint64(31)
+        return ((x + np.arange(4, dtype=np.uint64)[:, None] * (x >> np.uint64(32) | np.uint64(1))) & np.uint64(bits - 1)).astype(np.int64)
+
+    def marks(batches):
+        for batch in batches:
+            at = places(batch.column(0)).ravel()
+            words, which = np.unique(at >> 6, return_inverse=True)
+            held = np.zeros(len(words), np.uint64)
+            np.bitwise_or.at(held, which, np.uint64(1) << (at & 63).astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(held.view(np.int64))], names=["word", "held"])
+
+    found = ids.mapInArrow(marks, "word long, held long").groupBy("word").agg(F.bit_or("held").alias("held")).toArrow()
+    words = np.zeros(bits >> 6, np.uint64)
+    words[found["word"].to_numpy()] = found["held"].to_numpy().view(np.uint64)
+    shared = spark.sparkContext.broadcast(words)
+
+    @F.arrow_udf("boolean")
+    def among(values: pa.Array) -> pa.Array:
+        at = places(values)
+        seen = (shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).all(axis=0)
+        return pa.array(seen & values.is_valid().to_numpy(zero_copy_only=False))
+
+    return among
+
+
 def _contract(batches):
     """Union-find over the edges of one partition: (node, smallest node it reaches there)."""
     parent: dict[int, int] = {}

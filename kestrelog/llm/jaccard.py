@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrelog.llm.common import Memo, arrow_type, components, kept, materialize, modest_batches, release, remove
+from kestrelog.llm.common import Memo, arrow_type, components, kept, materialize, modest_batches, release, remove, sieve
 
 U64 = np.uint64
 GOLD = 0x9E3779B97F4A7C15
@@ -334,13 +334,15 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, chance:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], names=["doc_id", "items"])
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """The links among a table of pairs. Only its documents' sets are written, and go with the shuffles: the
-        larger the corpus, the more documents share some signature, but not the more of them are like others."""
+        """The links among a table of pairs. Only its documents' texts are shuffled and their sets written, and
+        go with the shuffles: the larger the corpus, the more documents share some signature, but not the more
+        of them are like others."""
         release(spark)
         if pairs.isEmpty():
             return pairs
         needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        texts = docs.selectExpr("cast(doc_id as long) doc_id", "text", "xxhash64(text) as t").join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id", "t"])
+        texts = docs.selectExpr("cast(doc_id as long) doc_id", "text").filter(sieve(needed)("doc_id"))
+        texts = texts.withColumn("t", F.xxhash64("text")).join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id", "t"])
         sets = materialize(texts.select("doc_id", "text").mapInArrow(shingles, "doc_id long, items binary"), "items")
         release(spark)
         found = materialize(_verify(pairs, sets, percent), name)

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kestrelog.llm import bpe, decontaminate, html, huffman, jaccard, langid, licenses, linededup, queries, toxicity, trie
-from kestrelog.llm.common import components
+from kestrelog.llm.common import components, sieve
 
 SF = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, row string, hits string"
@@ -280,6 +280,48 @@ def test_jaccard_writes_sets_of_likely_links_alone(spark, monkeypatch):
     assert got == {i: min(i, 30) for i in range(32)} and sum(written) == 2
 
 
+def shuffled(spark):
+    """Bytes that the session's stages have shuffled so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+@pytest.fixture
+def unlike(spark, tmp_path):
+    """Documents of which two are near copies, where Spark broadcasts nothing but a list of files; and the bytes of their texts."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.bytes(8).hex() for _ in range(1500)) for _ in range(120)]
+    texts.append(texts[0] + " more")
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1).write.parquet(path)
+    once, running = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    before = spark.conf.get(once)
+    spark.conf.set(once, "200")
+    spark.conf.set(running, "-1")
+    yield spark.read.parquet(path), sum(map(len, texts))
+    spark.conf.set(once, before)
+    spark.conf.unset(running)
+
+
+def test_jaccard_shuffles_texts_of_likely_links_alone(spark, unlike):
+    docs, size = unlike
+    before = shuffled(spark)
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_classes(docs, 3, 90).collect()}
+    assert got == {i: i % 120 for i in range(121)}
+    assert shuffled(spark) - before < size / 2
+
+
+def test_sieve_passes_every_id_and_few_others(spark):
+    ids = spark.range(-5000, 5000).selectExpr("id * 7919 as id")
+    rows = spark.range(-40_000, 40_000).selectExpr("id * 7919 as id").union(spark.sql("select cast(null as long)"))
+    passed = rows.filter(sieve(ids)("id")).withColumn("there", F.expr("id between -5000 * 7919 and 4999 * 7919"))
+    assert passed.filter("there").count() == 10_000 and passed.filter("not there or id is null").count() < 700
+    assert rows.filter(sieve(ids.limit(0))("id")).count() == 0
+    assert rows.filter(~sieve(ids)("id")).filter("id is null").count() == 1
+
+
 def test_jaccard_links_by_each_text_of_an_id(spark):
     a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(60))
     df = spark.createDataFrame([(1, a), (2, a + " x"), (2, b), (3, b), (4, b + " z"), (5, "c"), (None, b)], "doc_id long, text string")
