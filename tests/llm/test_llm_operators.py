@@ -933,3 +933,13 @@ def test_pipeline_stages_on_odd_rows(spark, empty, tmp_path):
     assert len(out) == len(want) and {r.decoded_sha256 for r in out} == {sha(t) for t, _ in want}
     for name, stage in stages.items():
         assert stage(spark, empty, SF).count() == 0, name
+
+
+def test_near_copies_go_without_a_shuffle_of_the_others(spark, unlike):
+    import corpus_pipeline
+
+    docs, size = unlike
+    left = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    before = shuffled(spark)
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == sorted((r.doc_id, r.text) for r in docs.filter("doc_id < 120").collect())
+    assert shuffled(spark) - before < size / 2
